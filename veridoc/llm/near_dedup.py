@@ -28,6 +28,7 @@ from .textvec import Texts, mix, over
 BANDS = 40
 ROWS = 5
 STRIDE = 0x9E3779B1
+BITS = 2048
 
 
 def signature(x: np.ndarray, size: int) -> np.ndarray:
@@ -57,8 +58,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """Whether the elements in each of BITS places are odd in number, 64 places to a long."""
+    odd = np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, shingle: int, lower: bool) -> DataFrame:
-    """Of each row (doc_id, text): doc_id, n_shingles, a and b (128-bit name of the set), bands."""
+    """Of each row (doc_id, text): doc_id, n_shingles, a and b (128-bit name of the set), bands, parity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -69,9 +76,10 @@ def sketches(docs: DataFrame, shingle: int, lower: bool) -> DataFrame:
         bands = [band_keys(signature(values[a:b], BANDS * ROWS)) if b > a else np.zeros(0, np.int64) for a, b in zip(at, at[1:], strict=False)]
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32))
         listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(names[0]), pa.array(names[1]), listed], ["doc_id", "n_shingles", "a", "b", "bands"])
+        odd = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity(values[a:b]) for a, b in zip(at, at[1:], strict=False)])), BITS // 64).cast(pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(names[0]), pa.array(names[1]), listed, odd], ["doc_id", "n_shingles", "a", "b", "bands", "parity"])
 
-    return docs.mapInArrow(over(work), f"doc_id {kind}, n_shingles long, a long, b long, bands array<long>")
+    return docs.mapInArrow(over(work), f"doc_id {kind}, n_shingles long, a long, b long, bands array<long>, parity array<long>")
 
 
 def sets(docs: DataFrame, shingle: int, lower: bool) -> DataFrame:
@@ -138,8 +146,9 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool =
     linked = base.where("n_shingles > 0 and doc_id is not null")
     reps = stored(linked.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")))
     # a representative's row may be repeated; one is enough
-    found = linked.join(reps.select("a", "b", "n_shingles", F.col("rep").alias("doc_id")), ["a", "b", "n_shingles", "doc_id"]).groupBy("doc_id", "n_shingles", "a", "b").agg(F.first("bands").alias("bands"))
-    keyed = found.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    found = linked.join(reps.select("a", "b", "n_shingles", F.col("rep").alias("doc_id")), ["a", "b", "n_shingles", "doc_id"]).groupBy("doc_id", "n_shingles", "a", "b").agg(F.first("bands").alias("bands"), F.first("parity").alias("parity"))
+    found = found.withColumnRenamed("doc_id", "id")
+    keyed = found.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowd = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("least")).where("size > 1")
     members = stored(keyed.join(crowd, "bucket").select("bucket", "id", "n", "least"))
     near = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
@@ -152,9 +161,12 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool =
     named = members.join(comp, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
     groups = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
     largest = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1").select("bucket", F.col("top.c").alias("top"))
-    mixed = stored(named.join(largest, "bucket"))
+    odd = found.select("id", "parity")
+    mixed = stored(named.join(largest, "bucket").join(odd, "id"))
     out, all_ = mixed.where("c <> top").alias("p"), mixed.alias("q")
-    pairs = out.join(all_, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.c") != F.col("q.c")) & near(F.col("p.n"), F.col("q.n")))
+    apart = F.aggregate(F.zip_with("p.parity", "q.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    can = apart * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
+    pairs = out.join(all_, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.c") != F.col("q.c")) & near(F.col("p.n"), F.col("q.n")) & can)
     pairs = pairs.select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y")).distinct().join(stars, ["x", "y"], "left_anti")
     more = stored(verified(stored(pairs), items, percent))
     if more.limit(1).count():
