@@ -101,8 +101,9 @@ class WordIds:
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def places(self, t: Texts) -> np.ndarray:
-        """Of each word of the texts its place in at."""
+        """Of each word of the texts its place in at; distinct and which: the words' hashes, once each."""
         distinct, first, which = np.unique(t.hashes(), return_index=True, return_inverse=True)
+        self.distinct, self.which = distinct, which
         if len(self.hashes) + len(distinct) > self.KEPT:
             self.clear()
         found = np.searchsorted(self.hashes, distinct)
@@ -123,7 +124,7 @@ class WordIds:
 
     def of(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after the other, and where each text's begin."""
-        word = self.places(t) if len(t.starts) else np.zeros(0, np.int64)
-        many = np.diff(self.at)[word] if len(word) else np.zeros(0, np.int64)
+        word = self.places(t)
+        many = (self.at[1:] - self.at[:-1])[word]
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.at[:-1][word], many)
         return self.ids[place], np.concatenate(([0], np.cumsum(np.bincount(t.row, many, t.n).astype(np.int64))))
