@@ -15,6 +15,7 @@ goes over whole texts of all documents in Arrow batches.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .textvec import Texts, over
+from .textvec import Texts, over, parts
 
 SAMPLE = 4000
 POOL = 2000
@@ -46,13 +47,23 @@ def presence(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key // WORDS, key % WORDS
 
 
-def text_view(t: Texts, idf: np.ndarray) -> linear.Sparse:
+def gathered(texts: list[str], of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, bucket) pairs of a list of texts, worked off in slices."""
+    rows, buckets, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for part in parts(texts):
+        row, bucket = of(part)
+        rows.append(row + base)
+        buckets.append(bucket)
+        base += len(part)
+    return np.concatenate(rows), np.concatenate(buckets)
+
+
+def text_view(row: np.ndarray, bucket: np.ndarray, n: int, idf: np.ndarray) -> linear.Sparse:
     """Presence of words times idf, rows of length one; words with idf 0 are left out."""
-    row, bucket = presence(t.row, t.hashes())
     value = idf[bucket]
     row, bucket, value = row[value > 0], bucket[value > 0], value[value > 0]
-    norm = np.sqrt(np.bincount(row, value * value, t.n))
-    return linear.Sparse(bucket, value / norm[row], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=t.n)))))
+    norm = np.sqrt(np.bincount(row, value * value, n))
+    return linear.Sparse(bucket, value / norm[row], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))))
 
 
 def beginnings(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -61,32 +72,30 @@ def beginnings(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return presence(np.concatenate((t.row, t.row)), np.concatenate((t.hashes(), begin)))
 
 
-def toxic_view(t: Texts, use: np.ndarray) -> linear.Sparse:
+def toxic_view(row: np.ndarray, bucket: np.ndarray, n: int, use: np.ndarray) -> linear.Sparse:
     """Which of the telling words and beginnings a text has."""
-    row, bucket = beginnings(t)
     on = use[bucket]
     row, bucket = row[on], bucket[on]
-    return linear.Sparse(bucket, np.ones(len(row)), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=t.n)))))
+    return linear.Sparse(bucket, np.ones(len(row)), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))))
 
 
 def train_toxic(rows: list) -> dict:
     """The TELLING buckets that are most significantly more frequent in toxic rows, and a calibrated regression on them."""
     rows = [r for r in rows if r["toxic"] is not None]
     y = np.array([float(r["toxic"]) for r in rows])
-    t = Texts(pa.array([r["text"] for r in rows], pa.large_string()), lower=True)
     held = np.arange(len(y)) % 4 == 3
     n1, n0 = ((y > 0) & ~held).sum(), ((y == 0) & ~held).sum()
     use, none = np.zeros(WORDS, bool), {"use": np.zeros(WORDS, bool), "w": np.zeros(WORDS, np.float32), "b": -30.0, "cal": (1.0, 0.0)}
     if not n1 or not n0:
         return none
-    row, bucket = beginnings(t)
-    row, bucket = row[~held[row]], bucket[~held[row]]
+    every = gathered([r["text"] for r in rows], lambda part: beginnings(Texts(part, lower=True)))
+    row, bucket = every[0][~held[every[0]]], every[1][~held[every[0]]]
     of1, of0 = np.bincount(bucket[y[row] > 0], minlength=WORDS), np.bincount(bucket[y[row] == 0], minlength=WORDS)
     share = (of1 + of0) / (n1 + n0)
     z = (of1 / n1 - of0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-9)
     best = np.argsort(-z, kind="stable")[:TELLING]
     use[best[(z[best] > 3) & ((of1 + of0)[best] >= MIN_DOCS)]] = True
-    x = toxic_view(t, use)
+    x = toxic_view(*every, len(y), use)
     w, b = linear.fit(x.take(np.flatnonzero(~held)), y[~held], WORDS, 1e-5, STEPS, 0.1)
     return {"use": use, "w": w.astype(np.float32), "b": b, "cal": linear.calibrate(x.take(np.flatnonzero(held)).dot(w) + b, y[held])}
 
@@ -131,10 +140,16 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, pool: int) -> list:
 
 
 def train(rows: list, rounds: int = ROUNDS) -> dict:
-    texts = Texts(pa.array([r["text"] for r in rows], pa.large_string()))
-    seen = np.bincount(presence(texts.row, texts.hashes())[1], minlength=WORDS)
-    idf = np.where(seen >= MIN_DOCS, np.log((1 + texts.n) / (1 + seen)), 0.0).clip(0)
-    views = [text_view(texts, idf), meta_view(texts, [r["lang"] for r in rows], [r["source"] for r in rows])]
+    texts = [r["text"] for r in rows]
+    words = gathered(texts, lambda part: (lambda t: presence(t.row, t.hashes()))(Texts(part)))
+    seen = np.bincount(words[1], minlength=WORDS)
+    idf = np.where(seen >= MIN_DOCS, np.log((1 + len(texts)) / (1 + seen)), 0.0).clip(0)
+    metas, base = [], 0
+    for part in parts(texts):
+        own = rows[base : base + len(part)]
+        metas.append(meta_view(Texts(part), [r["lang"] for r in own], [r["source"] for r in own]))
+        base += len(part)
+    views = [text_view(*words, len(texts), idf), linear.Sparse.join(metas)]
     sizes, l2 = (WORDS, META), (1e-6, 1e-5)
     y = np.array([float("nan") if r["y"] is None else float(r["y"]) for r in rows])
     labelled = np.flatnonzero(~np.isnan(y))
@@ -170,11 +185,11 @@ def scores(batch: pa.RecordBatch, model: dict) -> dict[str, np.ndarray]:
     """Calibrated probabilities of good quality by the text view, the metadata view and both, of being toxic, and the verdict."""
     get = lambda c: batch.column(batch.schema.get_field_index(c))
     t = Texts(get("text"))
-    views = [text_view(t, model["idf"]), meta_view(t, get("lang").to_pylist(), get("source").to_pylist())]
+    views = [text_view(*presence(t.row, t.hashes()), t.n, model["idf"]), meta_view(t, get("lang").to_pylist(), get("source").to_pylist())]
     z = [model["cal"][v][0] * (views[v].dot(model["w"][v]) + model["b"][v]) + model["cal"][v][1] for v in range(2)]
     m = model["mix"]
     toxic = model["toxic"]
-    bad = toxic_view(Texts(get("text"), lower=True), toxic["use"]).dot(toxic["w"]) + toxic["b"]
+    bad = toxic_view(*beginnings(Texts(get("text"), lower=True)), t.n, toxic["use"]).dot(toxic["w"]) + toxic["b"]
     out = {"text_score": linear.sigmoid(z[0]), "meta_score": linear.sigmoid(z[1]), "score": linear.sigmoid(m[0] * z[0] + m[1] * z[1] + m[2]), "toxic_score": linear.sigmoid(toxic["cal"][0] * bad + toxic["cal"][1])}
     return out | {"kept": (out["score"] >= KEEP_AT) & (out["toxic_score"] < TOXIC_AT)}
 

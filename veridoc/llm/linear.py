@@ -13,8 +13,8 @@ class Sparse:
     """Rows of (index, value) pairs; at: where each row begins, and the end."""
 
     def __init__(self, index: np.ndarray, value: np.ndarray, at: np.ndarray):
-        self.index, self.value, self.at = index.astype(np.int64), value.astype(np.float32), at
-        self.row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        self.index, self.value, self.at = index.astype(np.int32), value.astype(np.float32), at
+        self.row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
 
     def __len__(self) -> int:
         return len(self.at) - 1
@@ -22,6 +22,13 @@ class Sparse:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.index], len(self))
 
+    @staticmethod
+    def join(parts: list[Sparse]) -> Sparse:
+        many = np.concatenate([np.diff(p.at) for p in parts]) if parts else np.zeros(0, np.int64)
+        index = np.concatenate([p.index for p in parts]) if parts else np.zeros(0, np.int32)
+        value = np.concatenate([p.value for p in parts]) if parts else np.zeros(0, np.float32)
+        return Sparse(index, value, np.concatenate(([0], np.cumsum(many))).astype(np.int64))
+
     def take(self, rows: np.ndarray) -> Sparse:
         many = np.diff(self.at)[rows]
         at = np.concatenate(([0], np.cumsum(many)))

@@ -121,6 +121,13 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(a, b - a)
 
 
+def parts(texts: list[str]) -> Iterator[pa.Array]:
+    """Texts as Arrow strings, in runs of about SLICE_BYTES."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    for part in slices(batch):
+        yield part.column(0)
+
+
 def over(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text") -> Callable:
     """For mapInArrow: work on each slice of each batch."""
 
