@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .textvec import Texts, mix, over
+from .textvec import Texts, mix, over, parts
 
-SAMPLE = 3000
+SAMPLE = 2500
 #: Buckets of each kind of n-gram, a power of two.
 BUCKETS = 1 << 16
 KEEP_AT = 0.4
@@ -75,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Weights, bias and calibration. Without labelled rows every text gets probability 0.5."""
     rows = labelled_sample(docs, labels, label, sample)
     y = np.array([float(r["y"]) for r in rows])
-    x = features(Texts(pa.array([r["text"] for r in rows], pa.large_string())))
+    x = linear.Sparse.join([features(Texts(part)) for part in parts([r["text"] for r in rows])])
     held = np.arange(len(y)) % 4 == 3
     w, b = linear.fit(x.take(np.flatnonzero(~held)), y[~held], 3 * BUCKETS, l2=1e-7)
     a, c = linear.calibrate(x.take(np.flatnonzero(held)).dot(w) + b, y[held])
