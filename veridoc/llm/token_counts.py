@@ -22,8 +22,8 @@ from .common import stored
 
 #: The split of byte-level BPE vocabularies, white space being what has the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Distinct pre-tokens that may be broadcast (a hash and a count each); beyond that the join shuffles.
-BROADCAST_ROWS = 4_000_000
+#: The most frequent pre-tokens, so many at most, are broadcast (a hash and a count each); the others' join shuffles.
+HEAD = 1_000_000
 #: Entries of the map from pre-token to hash that a Python worker keeps.
 KEPT = 300_000
 LIMIT = 1024
@@ -65,14 +65,14 @@ class Hashes(dict):
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:
-    """Distinct pre-tokens of the corpus: hash, pieces."""
+    """Distinct pre-tokens of the corpus: hash, pieces, many (how often the corpus has it)."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(path), set()
+        split, seen = splitter(path), Counter()
 
         def out() -> pa.RecordBatch:
             names = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(map(hash_of, names), pa.int64()), pa.array(names, pa.string())], ["hash", "token"])
+            return pa.RecordBatch.from_arrays([pa.array(map(hash_of, names), pa.int64()), pa.array(names, pa.string()), pa.array(seen.values(), pa.int64())], ["hash", "token", "many"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -92,10 +92,10 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
         merge, special = t.model.tokenize, {x.content for x in t.get_added_tokens_decoder().values()}
         for batch in batches:
             many = [1 if x in special else len(merge(byte_letters(x))) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many, pa.int64())], ["hash", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many, pa.int64()), batch.column(2)], ["hash", "pieces", "many"])
 
-    distinct = docs.select("text").mapInArrow(tokens, "hash long, token string").groupBy("hash").agg(F.first("token").alias("token"))
-    return distinct.mapInArrow(count, "hash long, pieces long")
+    distinct = docs.select("text").mapInArrow(tokens, "hash long, token string, many long").groupBy("hash").agg(F.first("token").alias("token"), F.sum("many").alias("many"))
+    return distinct.mapInArrow(count, "hash long, pieces long, many long")
 
 
 def frequencies(rows: DataFrame, path: str) -> DataFrame:
@@ -137,9 +137,20 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     need not be the same in a rerun. Rows of one document leave a task together, so the sum shuffles a row per document.
     """
     known = stored(pieces(docs, path))
-    rows = known.count()
-    rows_of = docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text")
-    found = frequencies(rows_of, path)
-    joined = found.join(F.broadcast(known) if rows <= BROADCAST_ROWS else known, "hash", "left")
-    total = joined.groupBy("n", "doc_id", "n_bytes").agg(F.sum(F.coalesce(F.col("many") * F.col("pieces"), F.lit(0))).cast("long").alias("n_tokens"))
+    # the least power of two that HEAD pre-tokens at most reach in frequency
+    levels = {r["level"]: r["n"] for r in known.groupBy(F.floor(F.log2("many")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    level = max(levels, default=0) + 1
+    while level > 0 and sum(n for k, n in levels.items() if k >= level - 1) <= HEAD:
+        level -= 1
+    often = F.col("many") >= 2**level
+    head = known.where(often).select("hash", F.col("pieces").cast("int").alias("pieces"))
+    tail = known.where(~often).select(F.col("hash").alias("tail"), F.col("pieces").alias("tail_pieces"))
+    found = frequencies(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text"), path)
+    met = found.join(F.broadcast(head), "hash", "left")  # HEAD rows at most
+    row = ["n", "doc_id", "n_bytes"]
+    # what the head knows becomes one row per document in the task that read it; the rest keeps a row per pre-token
+    summed = met.groupBy(*row, F.when(F.col("pieces").isNull(), F.col("hash")).alias("rest")).agg(F.sum(F.coalesce(F.col("many") * F.col("pieces"), F.lit(0))).alias("tokens"), F.sum("many").alias("many"))
+    # rows without a rest get keys of their own, or they would all meet in one task
+    joined = summed.withColumn("key", F.coalesce("rest", F.xxhash64("n"))).join(tail, (F.col("key") == F.col("tail")) & F.col("rest").isNotNull(), "left")
+    total = joined.groupBy(*row).agg(F.sum(F.col("tokens") + F.coalesce(F.col("many") * F.col("tail_pieces"), F.lit(0))).cast("long").alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
