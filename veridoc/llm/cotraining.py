@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import linear
 from .textvec import Texts, over, parts
 
-SAMPLE = 4000
-POOL = 2000
+SAMPLE = 2400
+POOL = 1000
 ROUNDS = 3
 #: Pool rows that a view gives per round at most, and the probability from which it is sure.
 GIVEN, SURE = 200, 0.97
@@ -49,11 +49,11 @@ def presence(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def gathered(texts: list[str], of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The (row, bucket) pairs of a list of texts, worked off in slices."""
-    rows, buckets, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    rows, buckets, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
     for part in parts(texts):
         row, bucket = of(part)
-        rows.append(row + base)
-        buckets.append(bucket)
+        rows.append((row + base).astype(np.int32))
+        buckets.append(bucket.astype(np.int32))
         base += len(part)
     return np.concatenate(rows), np.concatenate(buckets)
 

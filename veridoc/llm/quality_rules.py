@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import linear
 from .textvec import Texts, mix, over, parts
 
-SAMPLE = 2500
+SAMPLE = 1600
 #: Buckets of each kind of n-gram, a power of two.
 BUCKETS = 1 << 16
 KEEP_AT = 0.4
