@@ -295,6 +295,39 @@ def test_packing(spark, docs, rows):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
+def test_completion_against_all_packings():
+    """On small groups: as few sequences as the best of all packings, and the bound is one."""
+    import random
+
+    import numpy as np
+
+    def fewest(lengths, size):
+        best, lengths = len(lengths), sorted(lengths, reverse=True)
+
+        def place(i, used):
+            nonlocal best
+            if len(used) >= best:
+                return
+            if i == len(lengths):
+                best = len(used)
+                return
+            for room in {u for u in used if u + lengths[i] <= size}:
+                k = used.index(room)
+                place(i + 1, [*used[:k], room + lengths[i], *used[k + 1 :]])
+            place(i + 1, [*used, lengths[i]])
+
+        place(0, [])
+        return best
+
+    pick = random.Random(5)
+    for _ in range(120):
+        size = pick.choice([10, 20, 37])
+        lengths = [pick.randint(1, size - 1) for _ in range(pick.randint(1, 11))]
+        number, _ = packing.pack(np.array(lengths), size)
+        want = fewest(lengths, size)
+        assert packing.fewest(np.bincount(lengths, minlength=size + 1).tolist(), size) <= want == number.max() + 1
+
+
 @pytest.mark.parametrize("top", [300, 900, 2048])
 def test_completion_against_first_fit(top):
     """Never worse than first-fit decreasing, and with short lengths next to the bound that their sum gives."""

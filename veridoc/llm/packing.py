@@ -2,18 +2,19 @@
 
 Only documents longer than a sequence are cut, into whole sequences and a rest. Rests are packed in groups: each group
 is a random part of the rests, so it has the lengths of the whole in small, and is packed by itself. Within a group
-only the counts of each length matter. A sequence is completed around the largest rest that is left: first the best fit
-(the fewest free tokens that the largest fitting lengths give, greedily) is the incumbent; then a depth-first search
-enumerates completions and keeps the one with the least waste. A branch ends when even its lengths that are left
-can't beat the incumbent, when its completion is dominated (a longer length could take the place of a chosen one and
-still fit), or when the waste bound of the group, its sum against its sequences, allows no better.
+only the counts of each length matter. Best fit, the longest first, gives the incumbent. If it has more sequences than
+the lower bound, a depth-first search over sequences looks for a packing with fewer: a sequence is filled around the
+longest rest that is left, by the undominated fillings (nothing left fits in, and no longer length could take the
+place of a chosen one), the least waste first. A branch ends when its waste exceeds what a packing better than the
+incumbent can have. The numbers of fillings and steps are bounded; where they run out the incumbent stays.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,10 +27,10 @@ from .common import stored
 from .textvec import Texts, over
 
 SIZE = 2048
-#: Rests in a group at most, near enough; a group's last sequence may be part empty.
-GROUP = 20_000
-#: Nodes of the search of one sequence; the incumbent holds from there.
-NODES = 400
+#: Rests in a group on average; a group's last sequence may be part empty.
+GROUP = 5_000
+#: Of one sequence: nodes of the enumeration and fillings kept. Of a group: sequences taken back.
+NODES, FILLINGS, RETRIES = 300, 3, 200
 END = 0
 
 
@@ -70,94 +71,159 @@ def document_pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     return rows.mapInArrow(run, f"n long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def complete(counts: np.ndarray, lengths: list[int], room: int, slack: int, nodes: int = NODES) -> list[int]:
-    """Lengths from the counted ones (ascending list of those left) that fill room best, by branch-and-bound.
+class Left:
+    """The lengths that are left, with their counts."""
+
+    def __init__(self, counts: list[int]) -> None:
+        self.counts = list(counts)
+        self.distinct = [x for x, c in enumerate(counts) if c]
+
+    def take(self, x: int) -> None:
+        self.counts[x] -= 1
+        if not self.counts[x]:
+            del self.distinct[bisect_left(self.distinct, x)]
+
+    def give(self, x: int) -> None:
+        if not self.counts[x]:
+            insort(self.distinct, x)
+        self.counts[x] += 1
+
+
+def best_fit(counts: list[int], size: int) -> list[list[int]]:
+    """Sequences, as lists of lengths: each length, the longest first, goes where the least room is left over."""
+    out: list[list[int]] = []
+    rooms: list[int] = []  # distinct rooms, ascending
+    at: dict[int, list[int]] = {}  # sequences with such a room
+    for x in range(len(counts) - 1, 0, -1):
+        for _ in range(counts[x]):
+            i = bisect_left(rooms, x)
+            if i == len(rooms):
+                k, room = len(out), size
+                out.append([])
+            else:
+                room = rooms[i]
+                k = at[room].pop()
+                if not at[room]:
+                    del rooms[i], at[room]
+            out[k].append(x)
+            if room - x:
+                if room - x not in at:
+                    at[room - x] = []
+                    insort(rooms, room - x)
+                at[room - x].append(k)
+    return out
+
+
+def fewest(counts: list[int], size: int) -> int:
+    """A lower bound on the sequences: for every k, lengths above half a sequence stand alone and those from k to half
+    of one fill at most the room beside them, where lengths above size - k leave none."""
+    n = np.asarray(counts, np.int64)
+    x = np.arange(len(n))
+    best = -(-int((n * x).sum()) // size)
+    half = size // 2
+    many, total = np.cumsum(n[::-1])[::-1], np.cumsum((n * x)[::-1])[::-1]  # of lengths from x on
+    upto = lambda of, k: int(of[k]) if k < len(of) else 0
+    for k in range(1, half + 1):
+        big = upto(many, size - k + 1)
+        middle = upto(many, half + 1) - big
+        room = middle * size - (upto(total, half + 1) - upto(total, size - k + 1))
+        small = upto(total, k) - upto(total, half + 1)
+        best = max(best, big + middle + max(0, -(-(small - room) // size)))
+    return best
 
-    slack: waste that costs nothing, as the group's last sequence has it to spare; the search ends there.
-    """
 
-    def greedy(room: int, top: int) -> tuple[list[int], int]:
-        chosen: list[int] = []
-        left: dict[int, int] = {}
-        while room > 0:
-            i = bisect_right(lengths, room, 0, top) - 1
-            while i >= 0 and left.get(lengths[i], counts[lengths[i]]) == 0:
-                i -= 1
-            if i < 0:
-                break
-            x = lengths[i]
-            left[x] = left.get(x, counts[x]) - 1
-            chosen.append(x)
-            room -= x
-            top = i + 1
-        return chosen, room
-
-    best, waste = greedy(room, len(lengths))
-    if waste <= slack or not lengths:
-        return best
-    budget = nodes
+def fillings(left: Left, room: int, most: int) -> list[tuple[int, list[int]]]:
+    """(waste, lengths) of undominated fillings of room that waste at most `most`, the least waste first.
+
+    Lengths are chosen in descending order, the longest first, so the first filling is the greedy one. A filling
+    without waste ends the enumeration: it is best whatever else there is.
+    """
+    counts, distinct = left.counts, left.distinct
+    found: list[tuple[int, list[int]]] = []
     taken: dict[int, int] = {}
+    budget = NODES
 
-    def search(room: int, top: int, chosen: list[int]) -> bool:
-        """Branches whose next length is among the first `top`; true: good enough or out of nodes."""
-        nonlocal best, waste, budget
-        # the largest length is tried first: a smaller one leaves a dominated completion unless others fill its gap
-        i = bisect_right(lengths, room, 0, top) - 1
-        while i >= 0:
-            x = lengths[i]
-            if taken.get(x, 0) < counts[x]:
-                budget -= 1
-                if room - x < waste:
-                    best, waste = [*chosen, x], room - x
-                if waste <= slack or budget <= 0:
+    def spare(x: int) -> bool:
+        return counts[x] > taken.get(x, 0)
+
+    def dominated(chosen: list[int], waste: int) -> bool:
+        """Something left fits in, or a longer length fits in the place of a chosen one."""
+        for x in {0, *chosen}:
+            for i in range(bisect_right(distinct, x), bisect_right(distinct, x + waste)):
+                if spare(distinct[i]):
                     return True
-                # what is left to choose is at most x: prune where nothing fits any more
-                if room - x >= lengths[0]:
-                    taken[x] = taken.get(x, 0) + 1
-                    stop = search(room - x, i + 1, [*chosen, x])
-                    taken[x] -= 1
-                    if stop:
-                        return True
-                # two smaller lengths can at most fill the room with 2 * x: below half of it a pair can't win any more
-                if not chosen and x * 8 < room - waste:
-                    break
-            i -= 1
         return False
 
-    search(room, len(lengths), [])
-    return best
+    def search(room: int, top: int, chosen: list[int]) -> bool:
+        """True: out of nodes, or nothing better is left to find."""
+        nonlocal budget
+        leaf = True
+        for i in range(bisect_right(distinct, room, 0, top) - 1, -1, -1):
+            x = distinct[i]
+            if not spare(x):
+                continue
+            leaf = False
+            budget -= 1
+            taken[x] = taken.get(x, 0) + 1
+            stop = search(room - x, i + 1, [*chosen, x])
+            taken[x] -= 1
+            if stop or budget <= 0:
+                return True
+        if leaf and room <= most and not (room and dominated(chosen, room)):
+            insort(found, (room, chosen))
+            del found[FILLINGS:]
+            return room == 0
+        return False
+
+    search(room, len(distinct), [])
+    return found[:1] if found and not found[0][0] else found
+
+
+def bin_completion(counts: list[int], size: int, most: int) -> list[list[int]] | None:
+    """A packing into at most `most` sequences; None where there is none or the steps ran out."""
+    left = Left(counts)
+    waste_left = most * size - sum(x * c for x, c in enumerate(counts))
+    path: list[tuple[list[int], list[tuple[int, list[int]]]]] = []
+    retries = RETRIES
+    while left.distinct:
+        longest = left.distinct[-1]
+        left.take(longest)
+        options = [(w, [longest, *chosen]) for w, chosen in fillings(left, size - longest, waste_left)]
+        left.give(longest)
+        while not options:
+            if not path or not retries:
+                return None
+            retries -= 1
+            chosen, options = path.pop()
+            waste_left += size - sum(chosen)
+            for x in chosen:
+                left.give(x)
+        (waste, chosen), *others = options
+        for x in chosen:
+            left.take(x)
+        waste_left -= waste
+        path.append((chosen, others))
+    return [chosen for chosen, _ in path]
 
 
 def pack(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset of each length, in as few sequences as bin completion finds."""
+    counts = np.bincount(lengths, minlength=size + 1).tolist()
+    best = best_fit(counts, size)
+    bound = fewest(counts, size)
+    while len(best) > bound:
+        better = bin_completion(counts, size, len(best) - 1)
+        if better is None:
+            break
+        best = better
+    # rows of one length stand together in this order, and are dealt out one by one
     order = np.argsort(lengths, kind="stable")
-    counts = np.bincount(lengths, minlength=size + 1)
-    ends = np.cumsum(counts)
-    use = ends - counts  # the next row, in order, of each length
-    left = counts.tolist()
-    distinct = np.flatnonzero(counts).tolist()
-    total = int(lengths.sum())
-    spare = -(-total // size) * size - total  # waste that the lower bound on sequences allows in all
+    placed = np.array([x for b in best for x in b], np.int64)
+    rows = np.empty(len(lengths), np.int64)
+    rows[np.argsort(placed, kind="stable")] = order
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    k = 0
-
-    def put(x: int, at: int) -> int:
-        row = order[use[x]]
-        use[x] += 1
-        left[x] -= 1
-        sequence[row], offset[row] = k, at
-        if not left[x]:
-            distinct.remove(x)
-        return at + x
-
-    while distinct:
-        at = put(distinct[-1], 0)
-        if at < size and distinct:
-            chosen = complete(left, distinct, size - at, 0)
-            for x in chosen:
-                at = put(x, at)
-        spare -= size - at
-        k += 1
+    sequence[rows] = np.repeat(np.arange(len(best)), [len(b) for b in best])
+    offset[rows] = [o for b in best for o in accumulate(b[:-1], initial=0)]
     return sequence, offset
 
 
