@@ -19,8 +19,9 @@ BINS = 256
 BITS = 8
 WORDS = 5
 _SHIFT = 63 - (BINS.bit_length() - 1)
-#: An empty bin's first probes are random bins, tried in these runs; after them come all bins, at an odd step.
-RUNS = ((1, 8), (9, 64))
+#: An empty bin's first probes are random bins, tried in these runs (a later one only if those before found nothing);
+#: after them come all bins, at an odd step.
+RUNS = ((1, 2), (3, 5), (6, 11), (12, 23), (24, 64))
 
 
 def probe(i: Column, t: Column) -> Column:
@@ -50,9 +51,10 @@ def fingerprint(df: DataFrame, text: str, out: str, size: int = WORDS) -> DataFr
     runs = F.transform(F.col("fp_b"), lambda b, t: F.concat(F.array(t + 1), gap(t, b)))
     df = df.withColumn("fp_p", F.concat(F.array_repeat(F.lit(0), F.coalesce(F.get(F.col("fp_b"), F.lit(0)), F.lit(0))), F.flatten(runs)))
     place = lambda j: F.get(F.col("fp_p"), j)
-    found = lambda run, of: F.get(F.filter(F.transform(F.sequence(*map(F.lit, run)), of), lambda p: p > 0), F.lit(0))
+    found = lambda run, of: F.aggregate(F.sequence(*map(F.lit, run)), F.lit(0), lambda got, t: F.when(got > 0, got).otherwise(of(t)))
+    some = lambda run, of: F.nullif(found(run, of), F.lit(0))
     every = lambda i: found((1, BINS), lambda t: place(F.pmod(i + t * 101, F.lit(BINS))))
-    source = lambda i: F.coalesce(*[found(run, lambda t: place(probe(i, t))) for run in RUNS], every(i))
+    source = lambda i: F.coalesce(*[some(run, lambda t: place(probe(i, t))) for run in RUNS], every(i))
     low = lambda at: F.element_at(F.col("fp_m"), at).bitwiseAND(2**BITS - 1)
     values = F.transform(F.col("fp_p"), lambda at, i: F.when(at > 0, low(at)).otherwise(low(source(i))))
     df = df.withColumn("fp_v", F.when(F.size("fp_m") > 0, values))
