@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, stored
 
 LEAN = (0.5, 2.0)
 #: Bins of the Pareto rank within a source: the running sum over a source goes bin by bin.
@@ -53,7 +53,8 @@ def pareto_mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
         F.col("no_source").alias("aim_none"), F.col("source").alias("aim_name"), "source_size", "target", (F.col("source_size") / F.col("docs")).alias("mean"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
     )
-    aim = aim.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    # written, so that its size is known: few sources are broadcast, more are joined by a shuffle
+    aim = stored(aim.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
     lean = F.greatest(F.lit(LEAN[0]), F.least(F.lit(LEAN[1]), F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(1.0)))
     joined = rows.join(aim, (F.col("no_source") == F.col("aim_none")) & (F.col("name") == F.col("aim_name")))
