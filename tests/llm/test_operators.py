@@ -371,5 +371,22 @@ def test_licenses(spark, docs, rows):
     assert licenses.license_labels(empty(spark)).count() == 0
 
 
+def test_licenses_are_told_apart(spark):
+    """Notices of one family differ in a word, which must be there; a template of any length is found."""
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3", "Licensed under the GNU Lesser General Public License, version 3.": "lgpl-3",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3", "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3",
+        "This work is licensed under the GNU General Public License, version 2.": "", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by-sa",
+        "Released under the license.": "", "Mit Dank. This work is licensed under the GNU General Public License, version 3.": "gpl-3", "Released under the MIT License.": "mit", "Licensed under the license, version 2.0": "", "Licensed under the Apache License, Version 2.0.": "apache-2",
+        "Subject to the terms of the Eclipse Public License, v. 2.0.": "", "Subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(notices)], "doc_id long, text string")
+    assert {k: r["labels"] for k, r in zip(notices, sorted(licenses.license_labels(docs).collect()), strict=True)} == notices
+    whole = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(0, " ".join(["x"] * 777 + whole[:250] + ["y"] * 99)), (1, " ".join(whole[:239])), (2, "w1 sa")], "key long, text string")
+    found = licenses.matches(docs, "key", {"whole": [" ".join(whole)], "short": ["w1 sa"]}).collect()
+    assert {(r["key"], r["label"]) for r in found} == {(0, "whole"), (2, "short")} and max(r["containment"] for r in found if r["key"] == 0) == 250 / 300
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))

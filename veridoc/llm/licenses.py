@@ -9,17 +9,23 @@ order, the rarest in the corpus first. For a template of n words of which it nee
 * position: from the first shared word at places i and j, 1 + min(n - i - 1, m - j - 1) must reach r.
 
 Blocks are cut to the words that occur in templates, which changes no overlap. What passes is verified on whole sets.
+
+Licenses of one family differ in a word or two, which a share of words alone doesn't ask for. So the templates of names
+are such that THRESHOLD needs the naming words, and a match must also have what NAMING asks of its label in the block,
+word by word: "gnu general public" is not in a notice of the lesser license.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-#: Words in a block, and from one block to the next. A template may have BLOCK - STEP words.
+#: Words in a block, and from one block to the next, for templates of up to BLOCK - STEP words; both are doubled until
+#: a longer template fits.
 BLOCK, STEP = 64, 32
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -27,15 +33,27 @@ PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2
 
 #: Names of well-known licenses as notices give them, with the notice's own words.
 TEMPLATES = {
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
+    "mit": ["under mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
     "apache-2": ["licensed under the apache license version 2 0"],
     "gpl-3": ["this work is licensed under the gnu general public license version 3"],
-    "lgpl-3": ["licensed under the gnu lesser general public license version 3"],
-    "agpl-3": ["licensed under the gnu affero general public license version 3"],
+    "lgpl-3": ["gnu lesser general public license lgpl"],
+    "agpl-3": ["gnu affero general public license agpl"],
     "mpl-2": ["subject to the terms of the mozilla public license v 2 0"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
     "cc-by-nc": ["licensed under cc by nc 4 0"],
-    "cc-by-sa": ["licensed under cc by sa 4 0"],
+    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike"],
+}
+_V2, _V3 = (["version " + v, "v " + v, "v" + v, "license " + v] for v in "23")
+#: Phrases that name a license: of each list one must stand in the block. Labels that aren't here need none.
+NAMING = {
+    "mit": [["mit license", "mit licence", "permission is hereby granted"]],  # mit is a German word, too
+    "apache-2": [["apache"], _V2],
+    "gpl-3": [["gnu general public"], _V3],
+    "lgpl-3": [["lesser general public"], _V3],
+    "agpl-3": [["affero general public"], _V3],
+    "mpl-2": [["mozilla"], _V2],
+    "cc-by-nc": [["by nc"]],
+    "cc-by-sa": [["by sa", "attribution sharealike"]],
 }
 
 
@@ -57,10 +75,30 @@ def global_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def matches(docs: DataFrame, key: str, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (key, block, label, template, containment) of docs (key, text) at the threshold."""
-    sets = [(label, k, list(dict.fromkeys(t.split()))) for label, texts in sorted(templates.items()) for k, t in enumerate(texts)]
-    if any(len(t.split()) > BLOCK - STEP for texts in templates.values() for t in texts):
-        raise ValueError(f"a template has more than {BLOCK - STEP} words")
+    """Every (key, block, label, template, containment) of docs (key, text) at the threshold.
+
+    Blocks of templates of one size are numbered by themselves.
+    """
+    by_size: dict[int, list[tuple[str, int, list[str]]]] = {}
+    for label, texts in sorted(templates.items()):
+        for k, t in enumerate(texts):
+            times = 1
+            while len(t.split()) > times * (BLOCK - STEP):
+                times *= 2
+            by_size.setdefault(times, []).append((label, k, list(dict.fromkeys(t.split()))))
+    out = [matches_of(docs, key, sets, threshold, times * BLOCK, times * STEP) for times, sets in sorted(by_size.items())]
+    return reduce(DataFrame.unionByName, out)
+
+
+def named(words: Column) -> Column:
+    """The labels whose phrases of NAMING stand in a block."""
+    s = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    some = lambda phrases: reduce(Column.__or__, [F.contains(s, F.lit(f" {p} ")) for p in phrases])
+    return F.array_compact(F.array(*[F.when(reduce(Column.__and__, map(some, lists)), F.lit(label)) for label, lists in NAMING.items()]))
+
+
+def matches_of(docs: DataFrame, key: str, sets: list[tuple[str, int, list[str]]], threshold: float, size: int, step: int) -> DataFrame:
+    """Matches with templates (label, template, distinct words), none of more than size - step words, in blocks of size words."""
     order = global_order(docs, sorted({w for *_, t in sets for w in t}))
     place = {w: i for i, w in enumerate(order)}
     spark = docs.sparkSession
@@ -76,19 +114,21 @@ def matches(docs: DataFrame, key: str, templates: dict[str, list[str]] = TEMPLAT
     least = min(r[5] for r in rows)
     all_words = scan_words(F.col("text"))
     some = docs.select(key, all_words.alias("w")).where(F.arrays_overlap(F.col("w"), F.lit(sorted({x[0] for x in index}))))
-    last = F.greatest(F.lit(0), F.ceil((F.size("w") - (BLOCK - STEP)) / STEP).cast("int") - 1)
+    last = F.greatest(F.lit(0), F.ceil((F.size("w") - (size - step)) / step).cast("int") - 1)
     blocks = some.select(key, "w", F.explode(F.sequence(F.lit(0), last)).alias("block"))
     # array_intersect keeps the order of its first argument, here the global one
-    blocks = blocks.select(key, "block", F.array_intersect(F.lit(order), F.slice("w", F.col("block") * STEP + 1, BLOCK)).alias("tokens")).where(F.size("tokens") >= least)
+    blocks = blocks.select(key, "block", F.slice("w", F.col("block") * step + 1, size).alias("w"))
+    blocks = blocks.select(key, "block", "w", F.array_intersect(F.lit(order), "w").alias("tokens")).where(F.size("tokens") >= least)
     m = F.size("tokens")
-    pairs = blocks.select(key, "block", "tokens", m.alias("m"), F.posexplode("tokens").alias("j", "word")).join(F.broadcast(prefixes), "word")
+    pairs = blocks.select(key, "block", "tokens", named(F.col("w")).alias("named"), m.alias("m"), F.posexplode("tokens").alias("j", "word")).join(F.broadcast(prefixes), "word")
     pairs = pairs.where((F.col("m") >= F.col("needed")) & (F.col("j") <= F.col("m") - F.col("needed")))
     # the first shared word of a pair is its earliest in both orders, so it alone decides by position
-    first = pairs.groupBy(key, "block", "t").agg(F.min_by(F.struct("i", "j", "tokens", "m"), "i").alias("f"), F.first("n").alias("n"), F.first("needed").alias("needed"))
+    first = pairs.groupBy(key, "block", "t").agg(F.min_by(F.struct("i", "j", "tokens", "m", "named"), "i").alias("f"), F.first("n").alias("n"), F.first("needed").alias("needed"))
     first = first.where(1 + F.least(F.col("n") - F.col("f.i") - 1, F.col("f.m") - F.col("f.j") - 1) >= F.col("needed"))
-    both = first.select(key, "block", "t", F.col("f.tokens").alias("found")).join(F.broadcast(known), "t")
+    both = first.select(key, "block", "t", F.col("f.tokens").alias("found"), F.col("f.named").alias("named")).join(F.broadcast(known), "t")
     shared = F.size(F.array_intersect("tokens", "found"))
-    return both.where(shared >= F.col("needed")).select(key, "block", "label", "template", (shared / F.col("n")).alias("containment"))
+    name_stands = ~F.col("label").isin(list(NAMING)) | F.array_contains("named", F.col("label"))
+    return both.where((shared >= F.col("needed")) & name_stands).select(key, "block", "label", "template", (shared / F.col("n")).alias("containment"))
 
 
 def license_labels(docs: DataFrame) -> DataFrame:
