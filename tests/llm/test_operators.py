@@ -159,6 +159,22 @@ def test_language_model_beats_word_counts(spark):
     assert unseen[0] > unseen[1]
 
 
+def test_language_model_trains_on_every_token(spark):
+    """Each id of each training text, and its end, is a target of one window, and the symbol before each is the one before."""
+    import numpy as np
+
+    texts = [list(range(1, 1 + n)) for n in (0, 1, 31, 32, 33, 64, 500)]
+    train = spark.createDataFrame([(k, np.array(t, "<u2").tobytes()) for k, t in enumerate(texts)], "n long, ids binary")
+    symbol = np.arange(attention_lm.VOCABULARY).astype(np.int16)
+    got = defaultdict(list)
+    for r in attention_lm.training_windows(train, symbol).collect():
+        w = np.frombuffer(r["w"], "<i2").tolist()
+        got[r["n"]] += [(r["place"] + i, x, y) for i, (x, y) in enumerate(zip(w, w[1:], strict=False)) if y >= 0]
+    for k, t in enumerate(texts):
+        s = [0, *t, 0]
+        assert sorted(got[k]) == [(i, x, y) for i, (x, y) in enumerate(zip(s, s[1:], strict=False))]
+
+
 def test_language_model_gradient():
     import numpy as np
 

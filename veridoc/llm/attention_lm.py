@@ -10,10 +10,10 @@ self-attention layer over the symbols of the window. The others are smoothed cor
 the edge. In windows of WINDOW inputs, of which each scores its last STRIDE, every token is scored once, with at least
 WINDOW - STRIDE symbols of context where the text has them.
 
-Corpus. Ids, pairs of symbols and words are counted over all training documents. Attention trains on a window at every
-APART-th id of each of them, so training grows with the corpus: parts of the windows are trained apart from the same
-start and their parameters averaged, ROUNDS times. What reaches the driver is bounded: tables of M symbols, the
-parameters, and the HEAD most frequent words.
+Corpus. Ids, pairs of symbols and words are counted over all training documents. Attention trains on consecutive
+windows of each of them, so every token is a target once. The windows are dealt to ROUNDS rounds by a hash of their
+place; in a round, parts of its windows are trained apart from the same start and their parameters averaged. What
+reaches the driver is bounded: tables of M symbols, the parameters, and the HEAD most frequent words.
 """
 
 from __future__ import annotations
@@ -35,9 +35,8 @@ CLASSES = 32
 WIDTH = 16
 WINDOW = 32
 STRIDE = 24
-#: Documents whose ids are handled at once.
-ROWS = 200
-APART = 2048
+#: Documents whose ids are handled at once, and windows that are made of them at once.
+ROWS, WINDOWS = 200, 4096
 ROUNDS = 2
 #: Windows in a part, windows in a step, and the steps that a small part is repeated to.
 PART, BATCH, STEPS = 4000, 64, 60
@@ -321,22 +320,27 @@ def table_of_pairs(train: DataFrame, symbol: np.ndarray) -> np.ndarray:
 
 
 def training_windows(train: DataFrame, symbol: np.ndarray) -> DataFrame:
-    """Windows of WINDOW + 1 symbols, -1 after the end, one at every APART-th place of each text."""
+    """Consecutive windows of each text: w, WINDOW + 1 symbols, -1 after the end, of which the first is the one before.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column(0):
-                s = np.concatenate(([0], symbol[np.frombuffer(x.as_buffer(), "<u2")], [0]))
-                for k in range(0, len(s) - 1, APART):
-                    w = np.full(WINDOW + 1, -1, "<i2")
-                    part = s[k : k + WINDOW + 1]
-                    w[: len(part)] = part
-                    out.append(w.tobytes())
-            if out:
-                yield arrow("w", pa.array(out, pa.binary()))
+    Every token, the edge at the end included, is a target of one window. n: row number; place: where the window begins.
+    """
 
-    return train.select("ids").mapInArrow(work, "w binary")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few(batches):
+            ids, at = ids_of(part.column(1))
+            many = np.diff(at) + 1  # targets
+            windows = -(-many // WINDOW)
+            row = np.repeat(np.arange(len(many)), windows)
+            first = (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
+            for k in range(0, len(row), WINDOWS):
+                r, f = row[k : k + WINDOWS], first[k : k + WINDOWS]
+                place = f[:, None] + np.arange(WINDOW + 1)
+                inside = (place >= 1) & (place < many[r, None])
+                w = np.where(place <= many[r, None], 0, -1).astype("<i2")
+                w[inside] = symbol[ids[(at[r, None] + place - 1)[inside]]]
+                yield arrow("n place w", part.column(0).take(pa.array(r)), f, pa.array([x.tobytes() for x in w], pa.binary()))
+
+    return train.select("n", "ids").mapInArrow(work, "n long, place long, w binary")
 
 
 def averaged(parts: DataFrame) -> np.ndarray | None:
@@ -360,9 +364,10 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
 def trained(windows: DataFrame, tables: dict, rounds: int = ROUNDS) -> np.ndarray:
     spark = windows.sparkSession
     shared = spark.sparkContext.broadcast((tables["class"], tables["prior"]))
-    parts = windows.repartition(max(1, -(-windows.count() // PART)), "w")
+    turn = F.pmod(F.xxhash64(F.lit("round"), "n", "place"), F.lit(rounds))
+    parts = windows.withColumn("turn", turn).repartition(max(1, -(-windows.count() // (rounds * PART))), "w")
     p = initial()
-    for _ in range(rounds):
+    for k in range(rounds):
         start = spark.sparkContext.broadcast(p)
 
         def work(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -373,7 +378,7 @@ def trained(windows: DataFrame, tables: dict, rounds: int = ROUNDS) -> np.ndarra
                 out = train_part(start.value, w, *shared.value)
                 yield arrow("weight p", np.array([float(len(w))]), pa.array([(out.astype(np.float64) * len(w)).tobytes()], pa.binary()))
 
-        mean = averaged(parts.mapInArrow(work, "weight double, p binary"))
+        mean = averaged(parts.where(F.col("turn") == k).select("w").mapInArrow(work, "weight double, p binary"))
         p = p if mean is None else mean.astype(np.float32)
     return p
 
