@@ -175,6 +175,20 @@ def test_language_model_trains_on_every_token(spark):
         assert sorted(got[k]) == [(i, x, y) for i, (x, y) in enumerate(zip(s, s[1:], strict=False))]
 
 
+def test_language_model_deals_equal_windows_apart(spark):
+    """Copies of one window go to all partitions, and a partition is read in runs of PART."""
+    import numpy as np
+    import pyarrow as pa
+
+    part = attention_lm.PART
+    same = np.zeros(attention_lm.WINDOW + 1, "<i2").tobytes()
+    windows = spark.range(10 * part).select(F.col("id").alias("n"), F.lit(0).cast("long").alias("place"), F.lit(same).alias("w"))
+    sizes = [r["count"] for r in attention_lm.dealt(windows, 1, 10 * part).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 10 * part and max(sizes) < 4 * part
+    batch = pa.RecordBatch.from_arrays([pa.array([same] * (2 * part + 1), pa.binary())], ["w"])
+    assert [len(w) for w in attention_lm.runs(iter([batch, batch]))] == [part] * 4 + [2]
+
+
 def test_language_model_gradient():
     import numpy as np
 

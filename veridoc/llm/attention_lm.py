@@ -361,20 +361,40 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(r["p"], np.float64) for r in rows) / sum(r["weight"] for r in rows) if rows else None
 
 
-def trained(windows: DataFrame, tables: dict, rounds: int = ROUNDS) -> np.ndarray:
-    spark = windows.sparkSession
+def dealt(windows: DataFrame, rounds: int, many: int) -> DataFrame:
+    """Windows (n, place, w) with the turn they are trained in, in partitions of some PART windows of each turn.
+
+    Turn, partition and order come from the window's place, not its content, so equal windows are apart.
+    """
+    salt = F.xxhash64("n", "place")
+    rows = windows.select("w", salt.alias("salt"), F.pmod(F.xxhash64(F.lit("turn"), "n", "place"), F.lit(rounds)).alias("turn"))
+    return rows.repartition(max(1, -(-many // (rounds * PART))), "salt").sortWithinPartitions("salt")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The windows in runs of PART rows at most."""
+    have: list[np.ndarray] = []
+    for batch in batches:
+        for x in batch.column(0):
+            have.append(np.frombuffer(x.as_py(), "<i2"))
+            if len(have) == PART:
+                yield np.stack(have).astype(np.int64)
+                have = []
+    if have:
+        yield np.stack(have).astype(np.int64)
+
+
+def trained(train: DataFrame, tables: dict, rounds: int = ROUNDS) -> np.ndarray:
+    spark = train.sparkSession
     shared = spark.sparkContext.broadcast((tables["class"], tables["prior"]))
-    turn = F.pmod(F.xxhash64(F.lit("round"), "n", "place"), F.lit(rounds))
-    parts = windows.withColumn("turn", turn).repartition(max(1, -(-windows.count() // (rounds * PART))), "w")
+    many = train.agg(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / WINDOW))).first()[0] or 0
+    parts = stored(dealt(training_windows(train, tables["symbol"]), rounds, many))
     p = initial()
     for k in range(rounds):
         start = spark.sparkContext.broadcast(p)
 
         def work(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            rows = [np.frombuffer(x.as_buffer(), "<i2") for batch in batches for x in batch.column(0)]
-            if rows:
-                w = np.stack(sorted(rows, key=bytes)).astype(np.int64)
-                w = w[np.random.default_rng(len(w)).permutation(len(w))]
+            for w in runs(batches):
                 out = train_part(start.value, w, *shared.value)
                 yield arrow("weight p", np.array([float(len(w))]), pa.array([(out.astype(np.float64) * len(w)).tobytes()], pa.binary()))
 
@@ -410,7 +430,7 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
     tables = symbol_tables(table_of_ids(train), ends)
     pairs = table_of_pairs(train, tables["symbol"])
     tables |= class_tables(pairs)
-    p = trained(stored(training_windows(train, tables["symbol"])), tables)
+    p = trained(train, tables)
     shared = spark.sparkContext.broadcast((p, tables))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
