@@ -189,6 +189,24 @@ def test_language_model_deals_equal_windows_apart(spark):
     assert [len(w) for w in attention_lm.runs(iter([batch, batch]))] == [part] * 4 + [2]
 
 
+def test_language_model_context():
+    """A token's score depends on the symbol 12 places before the one before it, where the text has it."""
+    import numpy as np
+
+    m, c = attention_lm.M, attention_lm.CLASSES
+    rng = np.random.default_rng(0)
+    tables = {"symbol": np.arange(attention_lm.VOCABULARY).astype(np.int16), "id_score": np.zeros(attention_lm.VOCABULARY), "prior": np.zeros((m, c), np.float32), "within": np.zeros((m, m), np.float32), "class": np.arange(m) % c}
+    score = attention_lm.Scorer(rng.normal(0, 0.3, len(attention_lm.initial())).astype(np.float32), tables)
+    text = rng.integers(1, m - 1, 100)
+    # the score of a token: that of the text up to it, without that of other tokens, as only it differs
+    last = lambda ids, k: [score(np.append(ids[:k], y), np.array([0, k + 1]))[0] for y in (1, 2)]
+    for k in range(40, 80):
+        other = text.copy()
+        other[k - 13] = text[k - 13] % (m - 2) + 1
+        (a, b), (c1, d) = last(text, k), last(other, k)
+        assert abs((a - b) - (c1 - d)) > 1e-7, k
+
+
 def test_language_model_gradient():
     import numpy as np
 

@@ -34,7 +34,7 @@ M = 2048
 CLASSES = 32
 WIDTH = 16
 WINDOW = 32
-STRIDE = 24
+STRIDE = 20
 #: Documents whose ids are handled at once, and windows that are made of them at once.
 ROWS, WINDOWS = 200, 4096
 ROUNDS = 2
