@@ -376,6 +376,14 @@ def test_completion_against_all_packings():
         assert packing.fewest(np.bincount(lengths, minlength=size + 1).tolist(), size) <= want == number.max() + 1
 
 
+def test_completion_branches_on_all_fillings():
+    """A filling without waste isn't best whatever else there is."""
+    import numpy as np
+
+    number, _ = packing.pack(np.array([6, 5, 5, 5, 4, 3, 3, 3, 2]), 12)
+    assert number.max() + 1 == 3 and np.bincount(number, [6, 5, 5, 5, 4, 3, 3, 3, 2]).tolist() == [12, 12, 12]
+
+
 @pytest.mark.parametrize("top", [300, 900, 2048])
 def test_completion_against_first_fit(top):
     """Never worse than first-fit decreasing, and with short lengths next to the bound that their sum gives."""

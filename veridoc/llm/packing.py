@@ -5,8 +5,10 @@ is a random part of the rests, so it has the lengths of the whole in small, and
 only the counts of each length matter. Best fit, the longest first, gives the incumbent. If it has more sequences than
 the lower bound, a depth-first search over sequences looks for a packing with fewer: a sequence is filled around the
 longest rest that is left, by the undominated fillings (nothing left fits in, and no longer length could take the
-place of a chosen one), the least waste first. A branch ends when its waste exceeds what a packing better than the
-incumbent can have. The numbers of fillings and steps are bounded; where they run out the incumbent stays.
+place of a chosen one). They are enumerated as far as they are asked for: in runs of NODES nodes, of each run the least
+waste first, and on the way back from a branch the next ones. A branch ends when its waste exceeds what a packing better
+than the incumbent can have. Only the steps of a whole search are bounded: where they don't run out the packing has the
+fewest sequences, and where they do the incumbent stays.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from .textvec import Texts, over
 SIZE = 2048
 #: Rests in a group on average; a group's last sequence may be part empty.
 GROUP = 5_000
-#: Of one sequence: nodes of the enumeration and fillings kept. Of a group: sequences taken back.
-NODES, FILLINGS, RETRIES = 300, 3, 200
+#: Nodes in a run of the enumeration of one sequence's fillings, and of a whole search.
+NODES, STEPS = 300, 1_000_000
 END = 0
 
 
@@ -132,21 +134,31 @@ def fewest(counts: list[int], size: int) -> int:
     return best
 
 
-def fillings(left: Left, room: int, most: int) -> list[tuple[int, list[int]]]:
-    """(waste, lengths) of undominated fillings of room that waste at most `most`, the least waste first.
+class Steps:
+    """Nodes that a search may still visit."""
 
-    Lengths are chosen in descending order, the longest first, so the first filling is the greedy one. A filling
-    without waste ends the enumeration: it is best whatever else there is.
-    """
-    counts, distinct = left.counts, left.distinct
-    found: list[tuple[int, list[int]]] = []
-    taken: dict[int, int] = {}
-    budget = NODES
+    def __init__(self, left: int) -> None:
+        self.left = left
 
-    def spare(x: int) -> bool:
-        return counts[x] > taken.get(x, 0)
 
-    def dominated(chosen: list[int], waste: int) -> bool:
+def fillings(left: Left, size: int, most: int, steps: Steps) -> Iterator[tuple[int, list[int]]]:
+    """(waste, lengths) of all undominated fillings around the longest length that waste at most `most`.
+
+    Lengths are chosen in descending order, the longest first, so the first filling is the greedy one. A run ends after
+    NODES nodes, or early at a filling without waste, and gives its fillings, the least waste first; the next run goes
+    on from there. When the next filling is asked for, left must be as it was. A single length that fills the room
+    dominates all other fillings.
+    """
+    counts, distinct = left.counts, left.distinct
+    longest = distinct[-1]
+    taken = {longest: 1}
+    spare = lambda x: counts[x] > taken.get(x, 0)
+    room = size - longest
+    if 0 < room < len(counts) and spare(room):
+        yield 0, [longest, room]
+        return
+
+    def dominated(waste: int) -> bool:
         """Something left fits in, or a longer length fits in the place of a chosen one."""
         for x in {0, *chosen}:
             for i in range(bisect_right(distinct, x), bisect_right(distinct, x + waste)):
@@ -154,55 +166,67 @@ def fillings(left: Left, room: int, most: int) -> list[tuple[int, list[int]]]:
                     return True
         return False
 
-    def search(room: int, top: int, chosen: list[int]) -> bool:
-        """True: out of nodes, or nothing better is left to find."""
-        nonlocal budget
-        leaf = True
-        for i in range(bisect_right(distinct, room, 0, top) - 1, -1, -1):
+    chosen = [longest]
+    # of each depth: the next index to try, and whether nothing fitted so far
+    at, leaf = [bisect_right(distinct, room) - 1], [True]
+    found: list[tuple[int, list[int]]] = []
+    nodes = 0
+    while at and steps.left > 0:
+        i = at[-1]
+        while i >= 0 and not spare(distinct[i]):
+            i -= 1
+        if i >= 0:
             x = distinct[i]
-            if not spare(x):
-                continue
-            leaf = False
-            budget -= 1
+            at[-1], leaf[-1] = i - 1, False
             taken[x] = taken.get(x, 0) + 1
-            stop = search(room - x, i + 1, [*chosen, x])
+            chosen.append(x)
+            room -= x
+            nodes += 1
+            steps.left -= 1
+            at.append(bisect_right(distinct, room, 0, i + 1) - 1)
+            leaf.append(True)
+            continue
+        full = False
+        if leaf[-1] and room <= most and not (room and dominated(room)):
+            insort(found, (room, list(chosen)))
+            full = room == 0
+        at.pop()
+        leaf.pop()
+        if at:
+            x = chosen.pop()
             taken[x] -= 1
-            if stop or budget <= 0:
-                return True
-        if leaf and room <= most and not (room and dominated(chosen, room)):
-            insort(found, (room, chosen))
-            del found[FILLINGS:]
-            return room == 0
-        return False
-
-    search(room, len(distinct), [])
-    return found[:1] if found and not found[0][0] else found
+            room += x
+        if full or nodes >= NODES:
+            yield from found
+            found, nodes = [], 0
+    yield from found
 
 
-def bin_completion(counts: list[int], size: int, most: int) -> list[list[int]] | None:
+def bin_completion(counts: list[int], size: int, most: int, steps: int = STEPS) -> list[list[int]] | None:
     """A packing into at most `most` sequences; None where there is none or the steps ran out."""
     left = Left(counts)
     waste_left = most * size - sum(x * c for x, c in enumerate(counts))
-    path: list[tuple[list[int], list[tuple[int, list[int]]]]] = []
-    retries = RETRIES
+    path: list[tuple[list[int], Iterator[tuple[int, list[int]]]]] = []
+    budget = Steps(steps)
+    options = fillings(left, size, waste_left, budget)
     while left.distinct:
-        longest = left.distinct[-1]
-        left.take(longest)
-        options = [(w, [longest, *chosen]) for w, chosen in fillings(left, size - longest, waste_left)]
-        left.give(longest)
-        while not options:
-            if not path or not retries:
+        option = next(options, None)
+        while option is None:
+            if not path or budget.left <= 0:
                 return None
-            retries -= 1
+            budget.left -= 1
             chosen, options = path.pop()
             waste_left += size - sum(chosen)
             for x in chosen:
                 left.give(x)
-        (waste, chosen), *others = options
+            option = next(options, None)
+        waste, chosen = option
         for x in chosen:
             left.take(x)
         waste_left -= waste
-        path.append((chosen, others))
+        path.append((chosen, options))
+        if left.distinct:
+            options = fillings(left, size, waste_left, budget)
     return [chosen for chosen, _ in path]
 
 
