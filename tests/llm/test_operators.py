@@ -308,6 +308,26 @@ def test_cotraining_exchange():
     assert min(model["given"]) > 50
 
 
+def test_cotraining_exchange_sees_all_documents(spark, monkeypatch):
+    """The only documents that a view can be sure of are few among many, and are given all the same."""
+    text = lambda word, k: " ".join(f"{word}{(k * 7 + i) % 30}" for i in range(40)) + ("" if word == "good" else "\n" * 20)
+    known = [(k, text("good" if k % 2 else "bad", k), "en", "a" if k % 2 else "b") for k in range(400)]
+    plain = [(k, "", None, None) for k in range(1000, 5000)]
+    rare = [(k, text("good" if k % 2 else "bad", k), "en", "a" if k % 2 else "b") for k in range(9000, 9060)]
+    docs = spark.createDataFrame(known + plain + rare, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got, surest = set(), cotraining.surest
+
+    def spy(*args):
+        out = surest(*args)
+        got.update((r["doc_id"], r["value"]) for r in out)
+        return out
+
+    monkeypatch.setattr(cotraining, "surest", spy)
+    cotraining.corpus_model(docs, labels)
+    assert {(k, float(k % 2)) for k in range(9000, 9060)} <= got
+
+
 def test_token_counts(spark, docs, rows):
     from tokenizers import Tokenizer
 

@@ -1,21 +1,22 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text content (hashed words) and its page metadata (language, source, length, line and
-character layout). A classifier per view is trained on labelled rows; for some rounds each gives the pool rows of which
-it is surest, with its pseudo-labels, to the other's training set. At the end both are calibrated on held-out labelled
+character layout). A classifier per view is trained on labelled rows; for some rounds each scores all documents without
+labels, in tasks, and gives those of which it is surest, with its pseudo-labels, to the other's training set. At the end both are calibrated on held-out labelled
 rows, and a small regression on the two calibrated log odds gives one probability.
 
 Toxic documents are not kept either. Metadata can't tell them, so they are no matter for exchange: a second classifier
 of the text view finds them by the presence of the words and word beginnings that set labelled toxic rows apart.
 
-Training takes at most SAMPLE labelled rows and POOL rows without labels, each the first by a hash of doc_id; scoring
-goes over whole texts of all documents in Arrow batches.
+Training takes at most SAMPLE labelled rows, the first by a hash of doc_id, and what is given: GIVEN documents of each
+kind, view and round at most. Scoring goes over whole texts of all documents in Arrow batches.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
+from .common import stored
 from .textvec import Texts, over, parts
 
 SAMPLE = 2400
-POOL = 1000
 ROUNDS = 3
-#: Pool rows that a view gives per round at most, and the probability from which it is sure.
+#: Documents of each kind that a view gives per round at most, and the probability from which it is sure.
 GIVEN, SURE = 200, 0.97
 #: Words and beginnings that the toxic classifier looks at, at most, and the steps that fit it.
 TELLING, STEPS = 256, 150
@@ -139,23 +140,70 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, pool: int) -> list:
     return sorted(one.select("doc_id", "y", "toxic", "r.*").collect(), key=lambda r: str(r["doc_id"]))
 
 
-def train(rows: list, rounds: int = ROUNDS) -> dict:
-    texts = [r["text"] for r in rows]
-    words = gathered(texts, lambda part: (lambda t: presence(t.row, t.hashes()))(Texts(part)))
-    seen = np.bincount(words[1], minlength=WORDS)
-    idf = np.where(seen >= MIN_DOCS, np.log((1 + len(texts)) / (1 + seen)), 0.0).clip(0)
-    metas, base = [], 0
-    for part in parts(texts):
-        own = rows[base : base + len(part)]
-        metas.append(meta_view(Texts(part), [r["lang"] for r in own], [r["source"] for r in own]))
-        base += len(part)
-    views = [text_view(*words, len(texts), idf), linear.Sparse.join(metas)]
+def surest(docs: DataFrame, known: DataFrame, model: dict, given: list) -> list:
+    """Of all documents without a label: GIVEN of each view and kind at most, of those the view is sure of, the surest first.
+
+    given: (doc_id, view) that a view has given before. Rows (doc_id, text, lang, source, view, value).
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        get = lambda c: batch.column(batch.schema.get_field_index(c))
+        t = Texts(get("text"))
+        out = []
+        for v, x in enumerate(view_rows(t, get("lang").to_pylist(), get("source").to_pylist(), model["idf"])):
+            a, c = model["cal"][v]
+            p = linear.sigmoid(a * (x.dot(model["w"][v]) + model["b"][v]) + c)
+            out += [(np.flatnonzero(sure >= SURE), v, value, sure) for sure, value in ((p, 1.0), (1 - p, 0.0))]
+        at = np.concatenate([o[0] for o in out])
+        many = [len(o[0]) for o in out]
+        columns = [batch.column(0).take(pa.array(at)), pa.array(np.repeat([o[1] for o in out], many).astype(np.int32)), pa.array(np.repeat([o[2] for o in out], many)), pa.array(np.concatenate([o[3][o[0]] for o in out]))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "view", "value", "sure"])
+
+    rows = docs.select("doc_id", *COLUMNS).where("doc_id is not null")
+    sure = rows.mapInArrow(over(work), f"doc_id {kind}, view int, value double, sure double").join(known.select("doc_id"), "doc_id", "left_anti")
+    if given:
+        sure = sure.join(F.broadcast(docs.sparkSession.createDataFrame(given, f"doc_id {kind}, view int")), ["doc_id", "view"], "left_anti")
+    sure = stored(sure.groupBy("doc_id", "view", "value").agg(F.max("sure").alias("sure")))
+    best = [sure.where((F.col("view") == v) & (F.col("value") == value)).orderBy(F.col("sure").desc(), F.xxhash64("doc_id"), "doc_id").limit(GIVEN) for v in range(2) for value in (0.0, 1.0)]
+    chosen = stored(reduce(DataFrame.unionByName, best).drop("sure"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # 4 * GIVEN rows at most, but for repeated doc_ids
+    one = rows.groupBy("doc_id", "view", "value").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "source")).alias("r"))
+    return sorted(one.select("doc_id", "view", "value", "r.*").collect(), key=lambda r: (str(r["doc_id"]), r["view"], r["value"]))
+
+
+def view_rows(t: Texts, langs: list, sources: list, idf: np.ndarray) -> list[linear.Sparse]:
+    return [text_view(*presence(t.row, t.hashes()), t.n, idf), meta_view(t, langs, sources)]
+
+
+def train(rows: list, rounds: int = ROUNDS, ask: Callable[[dict, list], list] | None = None) -> dict:
+    """ask: from a model and what has been given, the rows that its views give; without it they give of the rows without y."""
+    rows = list(rows)
+    words, metas = (np.zeros(0, np.int32), np.zeros(0, np.int32)), []
+    idf, views, read = np.zeros(WORDS), [], 0
+
+    def add_views() -> None:
+        """The views of all rows; those that came since the last call are read."""
+        nonlocal words, idf, views, read
+        texts = [r["text"] for r in rows[read:]]
+        row, bucket = gathered(texts, lambda part: (lambda t: presence(t.row, t.hashes()))(Texts(part)))
+        words = np.concatenate((words[0], (row + read).astype(np.int32))), np.concatenate((words[1], bucket))
+        for part in parts(texts):
+            own = rows[read : read + len(part)]
+            metas.append(meta_view(Texts(part), [r["lang"] for r in own], [r["source"] for r in own]))
+            read += len(part)
+        seen = np.bincount(words[1], minlength=WORDS)
+        idf = np.where(seen >= MIN_DOCS, np.log((1 + len(rows)) / (1 + seen)), 0.0).clip(0)
+        views = [text_view(*words, len(rows), idf), linear.Sparse.join(metas)]
+
+    add_views()
     sizes, l2 = (WORDS, META), (1e-6, 1e-5)
     y = np.array([float("nan") if r["y"] is None else float(r["y"]) for r in rows])
     labelled = np.flatnonzero(~np.isnan(y))
     held, base = labelled[3::4], np.delete(labelled, np.arange(3, len(labelled), 4))
     pool = np.flatnonzero(np.isnan(y))
     guess = [y.copy(), y.copy()]  # what each view's training set says
+    first, given, place = rows, [], {}
     models = []
     for k in range(rounds + 1):
         models = []
@@ -163,8 +211,24 @@ def train(rows: list, rounds: int = ROUNDS) -> dict:
             own = np.concatenate((base, pool[~np.isnan(guess[v][pool])]))
             trust = np.where(np.isnan(y[own]), 0.5, 1.0)
             models.append(linear.fit(views[v].take(own), guess[v][own], sizes[v], l2[v], weight=trust))
-        if k == rounds or not len(pool) or not len(held):
+        if k == rounds or not (len(pool) or ask) or not len(held):
             break
+        if ask:
+            model = {"idf": idf.astype(np.float32), "w": [w.astype(np.float32) for w, _ in models], "b": [b for _, b in models]}
+            model["cal"] = [linear.calibrate((views[v].dot(models[v][0]) + models[v][1])[held], y[held]) for v in range(2)]
+            got = ask(model, given)
+            given = given + [(r["doc_id"], r["view"]) for r in got]
+            fresh = {r["doc_id"]: r for r in got if r["doc_id"] not in place}
+            place |= {i: len(rows) + n for n, i in enumerate(fresh)}
+            rows = rows + [*fresh.values()]
+            y, *guess = (np.concatenate((a, np.full(len(fresh), np.nan))) for a in (y, *guess))
+            pool = np.flatnonzero(np.isnan(y))
+            for r in got:
+                other = guess[1 - r["view"]]
+                if np.isnan(other[place[r["doc_id"]]]):
+                    other[place[r["doc_id"]]] = r["value"]
+            add_views()
+            continue
         for v in range(2):
             z = views[v].dot(models[v][0]) + models[v][1]
             a, c = linear.calibrate(z[held], y[held])
@@ -178,14 +242,14 @@ def train(rows: list, rounds: int = ROUNDS) -> dict:
     cal = [linear.calibrate(z[held, v], y[held]) for v in range(2)]
     both = np.stack([cal[0][0] * z[held, 0] + cal[0][1], cal[1][0] * z[held, 1] + cal[1][1], np.ones(len(held))], 1)
     mixed = linear.newton(both, y[held], np.array([0.5, 0.5, 0.0]), ridge=1.0) if len(held) and y[held].min() != y[held].max() else np.array([0.5, 0.5, 0.0])
-    return {"idf": idf.astype(np.float32), "toxic": train_toxic(rows), "w": [models[0][0].astype(np.float32), models[1][0].astype(np.float32)], "b": [models[0][1], models[1][1]], "cal": cal, "mix": mixed, "given": [int((~np.isnan(g[pool])).sum()) for g in guess]}
+    return {"idf": idf.astype(np.float32), "toxic": train_toxic(first), "w": [models[0][0].astype(np.float32), models[1][0].astype(np.float32)], "b": [models[0][1], models[1][1]], "cal": cal, "mix": mixed, "given": [int((~np.isnan(g[pool])).sum()) for g in guess]}
 
 
 def scores(batch: pa.RecordBatch, model: dict) -> dict[str, np.ndarray]:
     """Calibrated probabilities of good quality by the text view, the metadata view and both, of being toxic, and the verdict."""
     get = lambda c: batch.column(batch.schema.get_field_index(c))
     t = Texts(get("text"))
-    views = [text_view(*presence(t.row, t.hashes()), t.n, model["idf"]), meta_view(t, get("lang").to_pylist(), get("source").to_pylist())]
+    views = view_rows(t, get("lang").to_pylist(), get("source").to_pylist(), model["idf"])
     z = [model["cal"][v][0] * (views[v].dot(model["w"][v]) + model["b"][v]) + model["cal"][v][1] for v in range(2)]
     m = model["mix"]
     toxic = model["toxic"]
@@ -197,13 +261,19 @@ def scores(batch: pa.RecordBatch, model: dict) -> dict[str, np.ndarray]:
 RESULT = {"text_score": "double", "meta_score": "double", "score": "double", "toxic_score": "double", "kept": "boolean"}
 
 
+def corpus_model(docs: DataFrame, labels: DataFrame) -> dict:
+    """Trained on labelled rows and what the views give of all documents without labels."""
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
+    return train(sample(docs, labels, SAMPLE, 0), ask=lambda model, given: surest(docs, known, model, given))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Of each document: doc_id, text_score, meta_score, score, toxic_score, kept (score at least KEEP_AT and not toxic).
 
     Nulls in text, language or source are values like others; without labelled rows of both kinds the scores are the
     smoothed share of good rows and nothing is toxic. Repeated rows are scored one by one.
     """
-    model = train(sample(docs, labels, SAMPLE, POOL))
+    model = corpus_model(docs, labels)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = scores(batch, model)
@@ -215,5 +285,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    model = train(sample(docs, labels, SAMPLE, POOL))
+    model = corpus_model(docs, labels)
     return docs.mapInArrow(over(lambda batch: batch.filter(pa.array(scores(batch, model)["kept"]))), docs.schema)
