@@ -18,7 +18,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cotraining.keep_good(docs, read(spark, sf_dir, "labels"))
+    """Fitted on labelled rows of all documents: most rows of low quality are not in docs any more."""
+    return cotraining.keep_good(docs, read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -464,5 +464,25 @@ def test_licenses_are_told_apart(spark):
     assert {(r["key"], r["label"]) for r in found} == {(0, "whole"), (2, "short")} and max(r["containment"] for r in found if r["key"] == 0) == 250 / 300
 
 
+def test_labelled_sample_is_of_the_documents(spark):
+    """Labels of other documents take no places of the sample."""
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "s") for k in range(20)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(2000)], "doc_id long, quality int, toxic int")
+    assert [len(quality_rules.labelled_sample(docs, labels, "quality", 20)), len(cotraining.sample(docs, labels, 20, 0))] == [20, 20]
+
+
+def test_pipeline(spark):
+    """The stages' documents are some of those before, and the packed pieces are those of the mixed documents."""
+    import corpus_pipeline
+
+    before = docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, DIR))
+        assert docs.columns == before.columns and docs.exceptAll(before).count() == 0 if name != "mix" else docs.subtract(before).count() == 0, name
+        before = docs
+    packed = corpus_pipeline.run(spark, DIR)
+    assert packed.where("piece = 0").count() == docs.count() > 0
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))

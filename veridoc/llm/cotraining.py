@@ -132,7 +132,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, pool: int) -> list:
     """Rows (doc_id, text, lang, source, y, toxic): at most `most` with a label and `pool` without (nulls)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("y"), (F.max("toxic") > 0).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    first = known.orderBy(*order).limit(most)
+    first = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(most)
     free = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
     chosen = first.unionByName(free.withColumns({c: F.lit(None).cast("boolean") for c in ("y", "toxic")}))
     rows = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id")  # most + pool rows at most
@@ -261,10 +261,10 @@ def scores(batch: pa.RecordBatch, model: dict) -> dict[str, np.ndarray]:
 RESULT = {"text_score": "double", "meta_score": "double", "score": "double", "toxic_score": "double", "kept": "boolean"}
 
 
-def corpus_model(docs: DataFrame, labels: DataFrame) -> dict:
-    """Trained on labelled rows and what the views give of all documents without labels."""
+def corpus_model(docs: DataFrame, labels: DataFrame, originals: DataFrame | None = None) -> dict:
+    """Trained on labelled rows, of originals if given, and what the views give of all docs without labels."""
     known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
-    return train(sample(docs, labels, SAMPLE, 0), ask=lambda model, given: surest(docs, known, model, given))
+    return train(sample(docs if originals is None else originals, labels, SAMPLE, 0), ask=lambda model, given: surest(docs, known, model, given))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", *COLUMNS).mapInArrow(over(work), schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    model = corpus_model(docs, labels)
+def keep_good(docs: DataFrame, labels: DataFrame, originals: DataFrame | None = None) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns. The labelled rows are those of originals if given."""
+    model = corpus_model(docs, labels, originals)
     return docs.mapInArrow(over(lambda batch: batch.filter(pa.array(scores(batch, model)["kept"]))), docs.schema)

@@ -66,7 +66,7 @@ def logits(t: Texts, w: np.ndarray, b: float) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list:
     """At most `most` rows (doc_id, text, y) with a label, the first by a hash of doc_id."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `most` rows at most
     return sorted(rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect(), key=lambda r: str(r["doc_id"]))
 
