@@ -363,6 +363,15 @@ def test_packing(spark, docs, rows):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("long", [None, 9007199254740993, 5, 5, -(2**63)]), ("string", [None, "9007199254740993", "", "x", "x"])])
+def test_packing_keeps_ids(spark, kind, ids):
+    """Ids come back as they are: nulls, repeated ones, numbers that a double can't hold, strings."""
+    docs = spark.createDataFrame([(i, f"text {k}", k) for k, i in enumerate(ids)], f"doc_id {kind}, text string, length int")
+    out = packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    assert sorted(map(str, [r["doc_id"] for r in out.collect()])) == sorted(map(str, ids))
+    assert out.schema["doc_id"].dataType.simpleString() == docs.schema["doc_id"].dataType.simpleString()
+
+
 def test_completion_against_all_packings():
     """On small groups: as few sequences as the best of all packings, and the bound is one."""
     import random

@@ -19,7 +19,6 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,8 +253,10 @@ def pack(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """Every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one token, the end. Repeated rows are packed one by one. Sequence numbers are unique, not
-    gapless.
+    Null and empty texts are one token, the end. Repeated rows are packed one by one, rows with a null doc_id too; doc_id
+    keeps its type and value, whatever it is. A text of any length is cut into whole sequences and a rest. Pieces of one
+    length tie and may change places. An empty table gives an empty result; other columns of docs are not looked at.
+    Sequence numbers are unique, not gapless.
     """
     pieces = stored(document_pieces(docs, path, size))
     rests = pieces.where(F.col("length") < size)
@@ -263,13 +264,14 @@ def pack_documents(docs: DataFrame, path: str, size: int = SIZE, group: int = GR
     groups = max(1, -(-many // group))
     key = F.pmod(F.xxhash64("doc_id", "ids_crc32", "n"), F.lit(groups)).cast("long")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "n"], kind="stable").reset_index(drop=True)
-        number, offset = pack(rows["length"].to_numpy(), size)
-        return rows.assign(sequence_id=rows["g"] + groups * (number + 1), offset=offset).drop(columns=["g", "n"])
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "ascending"), ("doc_id", "ascending"), ("n", "ascending")])
+        number, offset = pack(rows.column("length").to_numpy(), size)
+        sequence = pa.array(rows.column("g").to_numpy() + groups * (number + 1))
+        return rows.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", sequence).append_column("offset", pa.array(offset))
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    packed = rests.withColumn("g", key).groupBy("g").applyInPandas(one, schema)
+    packed = rests.withColumn("g", key).groupBy("g").applyInArrow(one, schema)
     # whole sequences take negative numbers
     whole = pieces.where(F.col("length") == size)
     whole = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
