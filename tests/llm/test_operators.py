@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridoc.llm import attention_lm, cotraining, fingerprints, licenses, mixing, near_dedup, packing, quality_rules, sharding, token_counts
-from veridoc.llm.queries import QUERIES, tokenizer
+from veridoc.llm.queries import ORACLE, QUERIES, tokenizer
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, hash string, key string, id string, size string, a string"
@@ -91,6 +91,40 @@ def test_mixing(spark, docs, rows):
     assert mixing.pareto_mix(empty(spark)).count() == 0
 
 
+def test_mixing_inclusion(spark):
+    """Documents of each length are taken as often as their inclusion probabilities say, which sum to the sample."""
+    lengths = [1, 10, 20, 40, 90]
+    text = F.array_join(F.array_repeat(F.lit("w"), F.element_at(F.lit(lengths), (F.col("id") % 5).cast("int") + 1)), " ")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    for share, whole in ((0.3, 0), (1.3, 1)):
+        got = {r["size"]: r["taken"] / r["all"] for r in mixing.pareto_mix(docs, share=share).groupBy("size").agg((F.sum("copies") - whole * F.count("*")).alias("taken"), F.count("*").alias("all")).collect()}
+        mean = sum(lengths) / 5
+        lean = {n: max(0.5, min(2, n / mean)) for n in lengths}
+        low, high = 0.0, 2.0
+        for _ in range(60):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(1, c * lean[n]) * n for n in lengths) < 0.3 * sum(lengths) else (low, c)
+        for n in lengths:
+            assert got[n] == pytest.approx(min(1, c * lean[n]), abs=0.03), (share, n)
+    # where much is left, long documents are certain
+    got = {r["size"]: r["copies"] for r in mixing.pareto_mix(docs, share=0.8).groupBy("size").agg(F.avg("copies").alias("copies")).collect()}
+    assert got[90] == 1.0 and got[1] < 0.6
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.sql(ORACLE[name])
+    columns = sorted(want.columns)
+    got = QUERIES[name](spark, folder)
+    assert sorted(got.columns) == columns
+    assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, want.select(*columns).fetchall()))
+
+
 def shingles(text, n):
     w = WORD.findall(low(text or ""))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())

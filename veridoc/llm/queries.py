@@ -33,4 +33,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_join": lambda spark, d: licenses.license_labels(read(spark, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+WORDS = r"[^\x20\x09-\x0D]+"
+
+#: op2 in SQL: targets by the level at which sources fill up, then Pareto ranks and their running sums.
+PARETO_MIX = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(source, '') AS name, source IS NULL AS none, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size,
+    (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM documents),
+s AS (SELECT none, name, sum(size)::BIGINT AS source_size, count(*)::BIGINT AS docs FROM d GROUP BY none, name),
+w AS (SELECT *, ([3, 1, 2]::DOUBLE[])[(row_number() OVER (ORDER BY none, name) - 1) % 3 + 1] AS weight, source_size * 2::DOUBLE AS top FROM s),
+f AS (
+  SELECT *, coalesce(sum(top) OVER before, 0) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_weight, sum(source_size) OVER () * 1.5::DOUBLE AS budget
+  FROM w WINDOW before AS (ORDER BY top / weight, none, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (budget - filled) / open_weight AS level FROM f),
+m AS (SELECT (min({{'a': top / weight, 'level': level}}) FILTER (level * weight <= top)).level AS level FROM l),
+t AS (SELECT none, name, source_size, docs, CASE WHEN m.level IS NULL THEN top ELSE least(m.level * weight, top) END AS target FROM l, m),
+a AS (SELECT *, target - whole * source_size AS rest FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t)),
+r AS (
+  SELECT d.*, source_size, target, whole, rest, greatest(0.5::DOUBLE, least(2::DOUBLE, CASE WHEN source_size > 0 THEN (size * docs)::DOUBLE / source_size ELSE 1::DOUBLE END)) AS lean
+  FROM d JOIN a USING (none, name)),
+e AS (SELECT none, name, rest, lean, sum(size)::DOUBLE AS words FROM r GROUP BY none, name, rest, lean),
+g AS (
+  SELECT none, name, lean, rest - coalesce(sum(words) OVER (down ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_left, sum(lean * words) OVER (down ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pull
+  FROM e WINDOW down AS (PARTITION BY none, name ORDER BY lean DESC)),
+c AS (SELECT none, name, arg_max(c, lean) AS scale FROM (SELECT *, CASE WHEN pull > 0 THEN words_left / pull ELSE 0 END AS c FROM g) WHERE c * lean < 1 GROUP BY none, name),
+p AS (SELECT r.*, least(1::DOUBLE, coalesce(scale, 0) * lean) AS p FROM r LEFT JOIN c USING (none, name)),
+k AS (SELECT *, CASE WHEN p >= 1 THEN u - 1 WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) ELSE 1e300 * u END AS rank FROM p),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY none, name ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+n AS (SELECT *, (whole + least(CASE WHEN 2 * before + size <= 2 * rest THEN 1 ELSE 0 END, 2 - whole))::BIGINT AS copies FROM o)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM n
+"""
+
+ORACLE: dict[str, str] = {"op2_pareto_mix": PARETO_MIX}
