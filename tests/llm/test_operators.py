@@ -154,7 +154,7 @@ def test_near_duplicates(spark, docs, rows, n):
     out = near_dedup.near_duplicates(docs, n).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == sorted((r["doc_id"], len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"]) for r in rows)
     kept = near_dedup.keep_one(docs, n)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows if find(r["doc_id"]) == r["doc_id"])
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({r["doc_id"] for r in rows if find(r["doc_id"]) == r["doc_id"]})
 
 
 def test_near_duplicates_bridged_groups(spark):
@@ -170,6 +170,35 @@ def test_near_duplicates_bridged_groups(spark):
     assert near_dedup.near_duplicates(empty(spark), 2).count() == 0
 
 
+def test_near_duplicates_in_chunks(spark, monkeypatch):
+    """Buckets of many texts of one site, whose links are few: the same classes whatever the chunks."""
+    import random
+
+    pick = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"d{k}w{i}" for i in range(pick.randint(18, 30))] if k % 3 else [f"d{k // 12}v{i}" for i in range(24)] + [f"d{k}"]
+        rows.append((k, " ".join(common + own)))
+    rows += [(k, t) for k, t in rows[:5]] + [(None, rows[0][1])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {k: shingles(t, 2) for k, t in rows if k is not None}
+    root = {k: k for k in sets}
+    for i in sorted(sets):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                p, q = sorted((root[i], root[j]))
+                root = {k: p if r == q else r for k, r in root.items()}
+    assert 60 < len(set(root.values())) < 100
+    for chunk in (7, 1000):
+        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+        out = near_dedup.near_duplicates(docs, 2).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in out if r["doc_id"] is not None) == sorted((k, root[k]) for k, _ in rows if k is not None)
+    kept = near_dedup.keep_one(docs, 2).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(root.values())) and sum(r["doc_id"] is None for r in kept) == 2
+
+
 def test_language_model(spark, docs, rows):
     tokens = {id(r): [*WORD.findall(low(r["text"] or "")), "\n"] for r in rows}
     held = {id(r): zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0 for r in rows}

@@ -6,16 +6,19 @@ argument shifted circularly. The coordinates are cut into BANDS bands of ROWS; d
 bucket. A pair of likeness 0.8 misses all buckets with a probability of (1 - 0.8^5)^40, some 1 in 10^7.
 
 Scale. Documents with equal sets are one class, and only its representative goes on. A bucket is never paired out:
-first each member meets the bucket's least member only (a star). Verified links give components. Then only buckets
-whose members lie in different components are looked at again, and there only members outside the bucket's largest
-component meet the members of other components: pairs inside a component can't change it. Whatever is compared, the
-sizes alone and then a bound from 64 counts (the sets' numbers by their low bits) turn most pairs away before whole
-sets are fetched and intersected.
+first each member meets the least member of its chunk of the bucket, and those meet the bucket's least member (stars).
+Verified links give components. Then only buckets whose members lie in different components are looked at again, and
+there only members outside the bucket's largest component meet the members of other components, chunk by chunk and in
+neighbouring size bands: pairs inside a component can't change it. Whatever is compared, the sizes alone and then a
+bound from the parities of BITS counts (the sets' numbers by their low bits) turn most pairs away before whole sets are
+fetched and intersected. A bucket of many texts that are alike by less than the threshold still has all its pairs
+looked at by these bounds, as there is no other way to lose none; the chunks spread them over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ BANDS = 40
 ROWS = 5
 STRIDE = 0x9E3779B1
 BITS = 2048
+#: Members of a bucket in a chunk, on average: a bucket's comparisons are dealt to tasks chunk by chunk.
+CHUNK = 1000
 
 
 def signature(x: np.ndarray, size: int) -> np.ndarray:
@@ -139,7 +144,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool =
     """Of each row of docs: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     Rows whose text has no words have no links: null and empty texts. Null doc_ids can't be named by others: such rows
-    are left alone, with a null component. Rows with one doc_id share its component.
+    are left alone, with a null component. Rows with one doc_id share its component. Texts of any length count whole;
+    an empty table gives an empty result; other columns of docs are not looked at.
     """
     rows = docs.select("doc_id", "text")
     base = stored(sketches(rows, shingle, lower))
@@ -150,23 +156,36 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool =
     found = found.withColumnRenamed("doc_id", "id")
     keyed = found.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowd = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("least")).where("size > 1")
-    members = stored(keyed.join(crowd, "bucket").select("bucket", "id", "n", "least"))
+    # a bucket is dealt to chunks of some CHUNK members; each chunk has a hub, which meets the bucket's least member
+    members = keyed.join(crowd, "bucket").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    members = stored(members.select("bucket", "id", "n", "least", "chunks", "chunk"))
+    hubs = members.where("chunks > 1").groupBy("bucket", "chunk").agg(F.min(F.struct("id", "n")).alias("hub"))
     near = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    stars = stored(members.where((F.col("id") != F.col("least.id")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.id").alias("x"), F.col("id").alias("y")).distinct())
+    centred = members.join(hubs, ["bucket", "chunk"], "left").select("id", "n", F.when(F.col("id") == F.col("hub.id"), F.col("least")).otherwise(F.coalesce("hub", "least")).alias("centre"))
+    stars = centred.where((F.col("id") != F.col("centre.id")) & near(F.col("n"), F.col("centre.n")))
+    stars = stored(stars.select(F.least("centre.id", "id").alias("x"), F.greatest("centre.id", "id").alias("y")).distinct())
     ids = members.select("id").distinct()
     items = stored(sets(rows.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), shingle, lower).dropDuplicates(["id"]))
     links = stored(verified(stars, items, percent))
     comp = components(links)
     # buckets whose members are not all in one component yet
-    named = members.join(comp, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+    named = members.join(comp, "id", "left").select("bucket", "id", "n", "chunks", "chunk", F.coalesce("component", "id").alias("c"))
     groups = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
     largest = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "c")).alias("top")).where("parts > 1").select("bucket", F.col("top.c").alias("top"))
     odd = found.select("id", "parity")
-    mixed = stored(named.join(largest, "bucket").join(odd, "id"))
-    out, all_ = mixed.where("c <> top").alias("p"), mixed.alias("q")
+    # sizes of a ratio of percent are in one size band or in neighbouring ones
+    mixed = named.join(largest, "bucket").join(odd, "id").withColumn("band", F.floor(F.log("n") / F.lit(log(100 / percent) + 1e-9)).cast("int"))
+    mixed = stored(mixed)
+    # those outside the bucket's largest component go to every chunk of it, in their size band and its neighbours
+    out = mixed.where("c <> top").select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("to_chunk"))
+    out = out.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("to_band")).alias("p")
+    all_ = mixed.alias("q")
     apart = F.aggregate(F.zip_with("p.parity", "q.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     can = apart * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
-    pairs = out.join(all_, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.c") != F.col("q.c")) & near(F.col("p.n"), F.col("q.n")) & can)
+    meet = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.to_chunk") == F.col("q.chunk")) & (F.col("p.to_band") == F.col("q.band"))
+    # of two members outside the largest component the lesser looks for the other
+    once = (F.col("q.c") == F.col("q.top")) | (F.col("p.id") < F.col("q.id"))
+    pairs = out.join(all_, meet & (F.col("p.c") != F.col("q.c")) & once & near(F.col("p.n"), F.col("q.n")) & can)
     pairs = pairs.select(F.least("p.id", "q.id").alias("x"), F.greatest("p.id", "q.id").alias("y")).distinct().join(stars, ["x", "y"], "left_anti")
     more = stored(verified(stored(pairs), items, percent))
     if more.limit(1).count():
@@ -183,6 +202,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One document of each class, with all its columns; rows without doc_id or words stay."""
-    named = classes(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_anti")
+    """One row of each class, with all its columns: of those with its least doc_id any one. Rows without doc_id stay.
+
+    A row without words is a class of its own, but for rows that repeat its doc_id.
+    """
+    named = classes(docs, shingle).where("doc_id is not null")
+    flags = stored(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("doc_id") != F.col("component_id")).alias("out")).where("out or many > 1"))
+    again = flags.where("not out").select("doc_id")
+    whole = docs.join(flags.select("doc_id"), "doc_id", "left_anti")
+    return whole.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
