@@ -362,11 +362,14 @@ def test_cotraining(spark, docs, rows, labels):
 
 def test_cotraining_exchange():
     """Rows without labels enter the other view's training set."""
+    import pyarrow as pa
+
     rows = []
     for k in range(400):
         good = k % 2 == 0
         text = " ".join(f"{'good' if good else 'bad'}{(k * 7 + i) % 30}" for i in range(40)) + ("" if good else "\n" * 20)
-        rows.append({"doc_id": k, "text": text, "lang": "en", "source": "a" if good else "b", "y": good if k < 120 else None, "toxic": None})
+        views = {name: x[0] for name, x in cotraining.features(pa.array([text]), ["en"], ["a" if good else "b"]).items()}
+        rows.append({"doc_id": k, "y": good if k < 120 else None, "toxic": None} | views)
     model = cotraining.train(rows)
     assert min(model["given"]) > 50
 
@@ -540,7 +543,7 @@ def test_labelled_sample_is_of_the_documents(spark):
     """Labels of other documents take no places of the sample."""
     docs = spark.createDataFrame([(k, f"text {k}", "en", "s") for k in range(20)], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(2000)], "doc_id long, quality int, toxic int")
-    assert [len(quality_rules.labelled_sample(docs, labels, "quality", 20)), len(cotraining.sample(docs, labels, 20, 0))] == [20, 20]
+    assert [len(quality_rules.labelled_sample(docs, labels, "quality", 20)), len(cotraining.sample(docs, labels, 20))] == [20, 20]
 
 
 def test_pipeline(spark):

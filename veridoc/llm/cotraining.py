@@ -1,15 +1,16 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text content (hashed words) and its page metadata (language, source, length, line and
-character layout). A classifier per view is trained on labelled rows; for some rounds each scores all documents without
-labels, in tasks, and gives those of which it is surest, with its pseudo-labels, to the other's training set. At the end both are calibrated on held-out labelled
-rows, and a small regression on the two calibrated log odds gives one probability.
+character layout). A classifier per view is trained on labelled rows; for some rounds each scores all documents without labels, in
+tasks, and gives those of which it is surest, with its pseudo-labels, to the other's training set. At the end both are
+calibrated on held-out labelled rows, and a small regression on the two calibrated log odds gives one probability.
 
 Toxic documents are not kept either. Metadata can't tell them, so they are no matter for exchange: a second classifier
 of the text view finds them by the presence of the words and word beginnings that set labelled toxic rows apart.
 
 Training takes at most SAMPLE labelled rows, the first by a hash of doc_id, and what is given: GIVEN documents of each
-kind, view and round at most. Scoring goes over whole texts of all documents in Arrow batches.
+kind, view and round at most, so that what a view is sure of doesn't outweigh the labels. Tasks read the texts; the driver
+gets hashed features of those rows. Scoring goes over whole texts of all documents in Arrow batches.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .common import stored
-from .textvec import Texts, over, parts
+from .textvec import Texts, over
 
-SAMPLE = 2400
+SAMPLE = 4000
 ROUNDS = 3
 #: Documents of each kind that a view gives per round at most, and the probability from which it is sure.
 GIVEN, SURE = 200, 0.97
@@ -48,17 +49,6 @@ def presence(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key // WORDS, key % WORDS
 
 
-def gathered(texts: list[str], of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The (row, bucket) pairs of a list of texts, worked off in slices."""
-    rows, buckets, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
-    for part in parts(texts):
-        row, bucket = of(part)
-        rows.append((row + base).astype(np.int32))
-        buckets.append(bucket.astype(np.int32))
-        base += len(part)
-    return np.concatenate(rows), np.concatenate(buckets)
-
-
 def text_view(row: np.ndarray, bucket: np.ndarray, n: int, idf: np.ndarray) -> linear.Sparse:
     """Presence of words times idf, rows of length one; words with idf 0 are left out."""
     value = idf[bucket]
@@ -80,7 +70,13 @@ def toxic_view(row: np.ndarray, bucket: np.ndarray, n: int, use: np.ndarray) ->
     return linear.Sparse(bucket, np.ones(len(row)), np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))))
 
 
-def train_toxic(rows: list) -> dict:
+def pairs(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the rows' buckets."""
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    return row, np.concatenate([np.zeros(0, np.int32), *lists])
+
+
+def train_toxic(rows: list[dict]) -> dict:
     """The TELLING buckets that are most significantly more frequent in toxic rows, and a calibrated regression on them."""
     rows = [r for r in rows if r["toxic"] is not None]
     y = np.array([float(r["toxic"]) for r in rows])
@@ -89,7 +85,7 @@ def train_toxic(rows: list) -> dict:
     use, none = np.zeros(WORDS, bool), {"use": np.zeros(WORDS, bool), "w": np.zeros(WORDS, np.float32), "b": -30.0, "cal": (1.0, 0.0)}
     if not n1 or not n0:
         return none
-    every = gathered([r["text"] for r in rows], lambda part: beginnings(Texts(part, lower=True)))
+    every = pairs([r["begin"] for r in rows])
     row, bucket = every[0][~held[every[0]]], every[1][~held[every[0]]]
     of1, of0 = np.bincount(bucket[y[row] > 0], minlength=WORDS), np.bincount(bucket[y[row] == 0], minlength=WORDS)
     share = (of1 + of0) / (n1 + n0)
@@ -97,8 +93,8 @@ def train_toxic(rows: list) -> dict:
     best = np.argsort(-z, kind="stable")[:TELLING]
     use[best[(z[best] > 3) & ((of1 + of0)[best] >= MIN_DOCS)]] = True
     x = toxic_view(*every, len(y), use)
-    w, b = linear.fit(x.take(np.flatnonzero(~held)), y[~held], WORDS, 1e-5, STEPS, 0.1)
-    return {"use": use, "w": w.astype(np.float32), "b": b, "cal": linear.calibrate(x.take(np.flatnonzero(held)).dot(w) + b, y[held])}
+    w, b = linear.fit(x, y, WORDS, 1e-5, STEPS, 0.1, weight=np.where(held, 0.0, 1.0))
+    return {"use": use, "w": w.astype(np.float32), "b": b, "cal": linear.calibrate((x.dot(w) + b)[held], y[held])}
 
 
 def _bucket(name: str, value: object) -> int:
@@ -128,22 +124,40 @@ def meta_view(t: Texts, langs: list, sources: list) -> linear.Sparse:
     return linear.Sparse(index.ravel(), np.full(index.size, 1 / 3), np.arange(t.n + 1) * len(columns))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, pool: int) -> list:
-    """Rows (doc_id, text, lang, source, y, toxic): at most `most` with a label and `pool` without (nulls)."""
+def featured(rows: DataFrame, names: list[str]) -> list[dict]:
+    """Rows (names, text, lang, source) with text, layout and beginnings as buckets: words, meta, begin. Tasks read the texts."""
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", words binary, meta binary, begin binary"
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        get = lambda c: batch.column(batch.schema.get_field_index(c))
+        got = features(get("text"), get("lang").to_pylist(), get("source").to_pylist())
+        return pa.RecordBatch.from_arrays([*map(get, names), *(pa.array([x.tobytes() for x in got[k]], pa.binary()) for k in got)], [*names, *got])
+
+    out = rows.select(*names, *COLUMNS).mapInArrow(over(work), schema).collect()
+    return [r.asDict() | {k: np.frombuffer(r[k], np.int32) for k in ("words", "meta", "begin")} for r in out]
+
+
+def features(texts: pa.Array, langs: list, sources: list) -> dict[str, list[np.ndarray]]:
+    """Of each row its distinct buckets of words, of the page's properties and of beginnings."""
+    t, low = Texts(texts), Texts(texts, lower=True)
+    split = lambda row, bucket: np.split(bucket.astype(np.int32), np.cumsum(np.bincount(row, minlength=t.n))[:-1])
+    meta = meta_view(t, langs, sources)
+    return {"words": split(*presence(t.row, t.hashes())), "meta": split(meta.row, meta.index), "begin": split(*beginnings(low))}
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int) -> list[dict]:
+    """At most `most` rows (doc_id, y, toxic, words, meta, begin) with a label, the first by a hash of doc_id."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("y"), (F.max("toxic") > 0).alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    first = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(most)
-    free = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(*order).limit(pool)
-    chosen = first.unionByName(free.withColumns({c: F.lit(None).cast("boolean") for c in ("y", "toxic")}))
-    rows = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id")  # most + pool rows at most
+    first = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", *COLUMNS).join(F.broadcast(first), "doc_id")  # `most` rows at most
     one = rows.groupBy("doc_id", "y", "toxic").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "source")).alias("r"))
-    return sorted(one.select("doc_id", "y", "toxic", "r.*").collect(), key=lambda r: str(r["doc_id"]))
+    return sorted(featured(one.select("doc_id", "y", "toxic", "r.*"), ["doc_id", "y", "toxic"]), key=lambda r: str(r["doc_id"]))
 
 
 def surest(docs: DataFrame, known: DataFrame, model: dict, given: list) -> list:
     """Of all documents without a label: GIVEN of each view and kind at most, of those the view is sure of, the surest first.
 
-    given: (doc_id, view) that a view has given before. Rows (doc_id, text, lang, source, view, value).
+    given: (doc_id, view) that a view has given before. Rows (doc_id, view, value, words, meta, begin).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -169,38 +183,31 @@ def surest(docs: DataFrame, known: DataFrame, model: dict, given: list) -> list:
     chosen = stored(reduce(DataFrame.unionByName, best).drop("sure"))
     rows = rows.join(F.broadcast(chosen), "doc_id")  # 4 * GIVEN rows at most, but for repeated doc_ids
     one = rows.groupBy("doc_id", "view", "value").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "source")).alias("r"))
-    return sorted(one.select("doc_id", "view", "value", "r.*").collect(), key=lambda r: (str(r["doc_id"]), r["view"], r["value"]))
+    return sorted(featured(one.select("doc_id", "view", "value", "r.*"), ["doc_id", "view", "value"]), key=lambda r: (str(r["doc_id"]), r["view"], r["value"]))
 
 
 def view_rows(t: Texts, langs: list, sources: list, idf: np.ndarray) -> list[linear.Sparse]:
     return [text_view(*presence(t.row, t.hashes()), t.n, idf), meta_view(t, langs, sources)]
 
 
-def train(rows: list, rounds: int = ROUNDS, ask: Callable[[dict, list], list] | None = None) -> dict:
+def train(rows: list[dict], rounds: int = ROUNDS, ask: Callable[[dict, list], list] | None = None) -> dict:
     """ask: from a model and what has been given, the rows that its views give; without it they give of the rows without y."""
     rows = list(rows)
-    words, metas = (np.zeros(0, np.int32), np.zeros(0, np.int32)), []
-    idf, views, read = np.zeros(WORDS), [], 0
+    idf, views = np.zeros(WORDS), []
 
     def add_views() -> None:
-        """The views of all rows; those that came since the last call are read."""
-        nonlocal words, idf, views, read
-        texts = [r["text"] for r in rows[read:]]
-        row, bucket = gathered(texts, lambda part: (lambda t: presence(t.row, t.hashes()))(Texts(part)))
-        words = np.concatenate((words[0], (row + read).astype(np.int32))), np.concatenate((words[1], bucket))
-        for part in parts(texts):
-            own = rows[read : read + len(part)]
-            metas.append(meta_view(Texts(part), [r["lang"] for r in own], [r["source"] for r in own]))
-            read += len(part)
+        nonlocal idf, views
+        words, meta = pairs([r["words"] for r in rows]), pairs([r["meta"] for r in rows])
         seen = np.bincount(words[1], minlength=WORDS)
         idf = np.where(seen >= MIN_DOCS, np.log((1 + len(rows)) / (1 + seen)), 0.0).clip(0)
-        views = [text_view(*words, len(rows), idf), linear.Sparse.join(metas)]
+        at = np.concatenate(([0], np.cumsum([len(r["meta"]) for r in rows]))).astype(np.int64)
+        views = [text_view(*words, len(rows), idf), linear.Sparse(meta[1], np.full(len(meta[1]), 1 / 3), at)]
 
     add_views()
     sizes, l2 = (WORDS, META), (1e-6, 1e-5)
     y = np.array([float("nan") if r["y"] is None else float(r["y"]) for r in rows])
     labelled = np.flatnonzero(~np.isnan(y))
-    held, base = labelled[3::4], np.delete(labelled, np.arange(3, len(labelled), 4))
+    held = labelled[3::4]
     pool = np.flatnonzero(np.isnan(y))
     guess = [y.copy(), y.copy()]  # what each view's training set says
     first, given, place = rows, [], {}
@@ -208,9 +215,9 @@ def train(rows: list, rounds: int = ROUNDS, ask: Callable[[dict, list], list] |
     for k in range(rounds + 1):
         models = []
         for v in range(2):
-            own = np.concatenate((base, pool[~np.isnan(guess[v][pool])]))
-            trust = np.where(np.isnan(y[own]), 0.5, 1.0)
-            models.append(linear.fit(views[v].take(own), guess[v][own], sizes[v], l2[v], weight=trust))
+            trust = np.where(np.isnan(guess[v]), 0.0, np.where(np.isnan(y), 0.5, 1.0))
+            trust[held] = 0
+            models.append(linear.fit(views[v], guess[v], sizes[v], l2[v], weight=trust))
         if k == rounds or not (len(pool) or ask) or not len(held):
             break
         if ask:
@@ -264,14 +271,16 @@ RESULT = {"text_score": "double", "meta_score": "double", "score": "double", "to
 def corpus_model(docs: DataFrame, labels: DataFrame, originals: DataFrame | None = None) -> dict:
     """Trained on labelled rows, of originals if given, and what the views give of all docs without labels."""
     known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
-    return train(sample(docs if originals is None else originals, labels, SAMPLE, 0), ask=lambda model, given: surest(docs, known, model, given))
+    return train(sample(docs if originals is None else originals, labels, SAMPLE), ask=lambda model, given: surest(docs, known, model, given))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Of each document: doc_id, text_score, meta_score, score, toxic_score, kept (score at least KEEP_AT and not toxic).
 
-    Nulls in text, language or source are values like others; without labelled rows of both kinds the scores are the
-    smoothed share of good rows and nothing is toxic. Repeated rows are scored one by one.
+    Nulls in text, language or source are values like others; texts of any length count whole. Without labelled rows of
+    both kinds the scores are the smoothed share of good rows and nothing is toxic. Repeated rows are scored one by one, and
+    rows with a null doc_id too, which have no label and give none. Of labels that differ for one doc_id the greater holds.
+    An empty table gives an empty result; other columns of docs are not looked at.
     """
     model = corpus_model(docs, labels)
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Pairs of a sparse sample that are worked on at once.
+RUN = 1 << 19
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
@@ -29,6 +33,15 @@ class Sparse:
         value = np.concatenate([p.value for p in parts]) if parts else np.zeros(0, np.float32)
         return Sparse(index, value, np.concatenate(([0], np.cumsum(many))).astype(np.int64))
 
+    def packed(self) -> list[tuple[bytes, bytes]]:
+        """Of each row its indices and values as bytes."""
+        return [(self.index[a:b].tobytes(), self.value[a:b].tobytes()) for a, b in zip(self.at, self.at[1:], strict=False)]
+
+    @staticmethod
+    def unpacked(rows: list[tuple[bytes, bytes]]) -> Sparse:
+        at = np.concatenate(([0], np.cumsum([len(i) // 4 for i, _ in rows]))).astype(np.int64)
+        return Sparse(np.frombuffer(b"".join(i for i, _ in rows), np.int32), np.frombuffer(b"".join(v for _, v in rows), np.float32), at)
+
     def take(self, rows: np.ndarray) -> Sparse:
         many = np.diff(self.at)[rows]
         at = np.concatenate(([0], np.cumsum(many)))
@@ -37,17 +50,28 @@ class Sparse:
 
 
 def fit(x: Sparse, y: np.ndarray, size: int, l2: float = 1e-4, steps: int = 80, rate: float = 0.3, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias, by Adam over the whole sample. Without rows of both classes: no weights and the smoothed log odds."""
+    """Weights and bias, by Adam over the whole sample, read in runs of rows; rows of weight 0 are left out.
+
+    Without rows of both classes: no weights and the smoothed log odds.
+    """
     weight = np.ones(len(y)) if weight is None else weight
-    odds = np.log(((y * weight).sum() + 1) / (((1 - y) * weight).sum() + 1))
+    on = weight > 0
+    odds = np.log(((y * weight)[on].sum() + 1) / (((1 - y) * weight)[on].sum() + 1))
     w, b = np.zeros(size, np.float64), float(odds)
-    if len(y) == 0 or y.min() == y.max():
+    if not on.any() or y[on].min() == y[on].max():
         return w, b
+    share = np.where(on, weight, 0) / weight[on].sum()
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    # rows of one run have some RUN pairs
+    cuts = np.unique(np.concatenate((np.searchsorted(x.at, np.arange(0, x.at[-1], RUN)), [len(x)])))
     for t in range(1, steps + 1):
-        error = (sigmoid(x.dot(w) + b) - y) * weight / weight.sum()
-        g = np.bincount(x.index, x.value * error[x.row], size) + l2 * w
-        gb = error.sum()
+        g, gb = l2 * w, 0.0
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            at = slice(x.at[p], x.at[q])
+            row = x.row[at] - p
+            error = (sigmoid(np.bincount(row, x.value[at] * w[x.index[at]], q - p) + b) - np.where(on[p:q], y[p:q], 0)) * share[p:q]
+            g += np.bincount(x.index[at], x.value[at] * error[row], size)
+            gb += error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t

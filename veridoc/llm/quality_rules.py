@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .textvec import Texts, mix, over, parts
+from .textvec import Texts, mix, over
 
-SAMPLE = 1600
+SAMPLE = 3000
 #: Buckets of each kind of n-gram, a power of two.
 BUCKETS = 1 << 16
 KEEP_AT = 0.4
@@ -64,21 +64,31 @@ def logits(t: Texts, w: np.ndarray, b: float) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list:
-    """At most `most` rows (doc_id, text, y) with a label, the first by a hash of doc_id."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    """At most `most` rows (doc_id, y, index, value) with a label, the first by a hash of doc_id.
+
+    Tasks make the features of whole texts; no text comes to the driver.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `most` rows at most
-    return sorted(rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect(), key=lambda r: str(r["doc_id"]))
+    texts = rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = features(Texts(batch.column(2))).packed()
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1))], ["doc_id", "y", "index", "value"])
+
+    got = texts.mapInArrow(over(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y double, index binary, value binary")
+    return sorted(got.collect(), key=lambda r: str(r["doc_id"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
     """Weights, bias and calibration. Without labelled rows every text gets probability 0.5."""
     rows = labelled_sample(docs, labels, label, sample)
     y = np.array([float(r["y"]) for r in rows])
-    x = linear.Sparse.join([features(Texts(part)) for part in parts([r["text"] for r in rows])])
+    x = linear.Sparse.unpacked([(r["index"], r["value"]) for r in rows])
     held = np.arange(len(y)) % 4 == 3
-    w, b = linear.fit(x.take(np.flatnonzero(~held)), y[~held], 3 * BUCKETS, l2=1e-7)
-    a, c = linear.calibrate(x.take(np.flatnonzero(held)).dot(w) + b, y[held])
+    w, b = linear.fit(x, y, 3 * BUCKETS, l2=1e-7, weight=np.where(held, 0.0, 1.0))
+    a, c = linear.calibrate((x.dot(w) + b)[held], y[held])
     return {"w": w.astype(np.float32), "b": b, "a": a, "c": c}
 
 
@@ -133,7 +143,9 @@ def judge(t: Texts, model: dict) -> dict[str, np.ndarray]:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Of each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality.
 
-    Null and empty texts have no words and fail. Repeated rows are judged one by one.
+    Null and empty texts have no words and fail; texts of any length count whole. Repeated rows are judged one by one,
+    whatever their doc_id, null too. Of labels that differ for one doc_id the greater holds. An empty table gives an empty
+    result; other columns of docs are not looked at.
     """
     model = train(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
