@@ -310,6 +310,42 @@ def test_fingerprints(spark, docs):
         same[text].add(out[i]["fingerprint"])
     assert all(len(x) == 1 for x in same.values())
     assert fingerprints.edited_fingerprints(empty(spark)).count() == 0
+    again = fingerprints.edited_fingerprints(one, 37)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.values()))
+
+
+def test_next_rows(spark):
+    """Keys of any type, with nulls, ties and repeated rows, in any number of chunks."""
+    import random
+
+    pick = random.Random(2)
+    keys = [None, None, *[pick.choice(["a", "b", "é", "", *map(str, range(60))]) for _ in range(300)]]
+    rows = [(k, pick.randint(0, 3), str(n)) for n, k in enumerate(keys)] + [("zz", 9, "x")] * 3
+    df = spark.createDataFrame(rows, "key string, tie long, v string")
+    order = sorted(((k is not None, (k or "").encode(), t) for k, t, _ in rows))
+    want = Counter(zip(order, order[1:] + order[:1], strict=True))
+    for chunks in (1, 2, 16):
+        got = Counter(((r["key"] is not None, (r["key"] or "").encode(), r["tie"]), (r["next_key"] is not None, (r["next_key"] or "").encode(), r["next_tie"])) for r in fingerprints.with_next(df, "key", "tie", ["key", "tie"], chunks).collect())
+        assert got == want, chunks
+
+
+def test_fingerprint_values(spark):
+    """Bins, minima, densification and packing, step by step in plain Python; the hashes are the engine's own."""
+    texts = [" ".join(f"w{k * i % 97}" for i in range(n)) for k, n in ((1, 3), (2, 5), (3, 9), (5, 60), (7, 1200))] + ["", " \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    hashed = df.withColumn("w", F.transform(F.array_remove(F.split("text", "[ \n]+"), ""), lambda w: F.xxhash64(w)))
+    size = F.size("w")
+    shingles_of = F.transform(F.sequence(F.lit(0), size - 5), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get("w", i + j) for j in range(5)]), 1))
+    raw = {r["k"]: r["h"] for r in hashed.select("k", F.when(size == 0, F.array().cast("array<long>")).when(size < 5, F.array(F.shiftrightunsigned(F.xxhash64("w"), 1))).otherwise(shingles_of).alias("h")).collect()}
+    bins = fingerprints.BINS
+    tries = spark.range(bins).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda t: fingerprints.probe(F.col("id").cast("int"), t)).alias("p")).collect()
+    probes = {r["id"]: [*r["p"], *[(r["id"] + t * 101) % bins for t in range(1, bins + 1)]] for r in tries}
+    for r in fingerprints.fingerprint(df, "text", "fp").select("k", fingerprints.as_hex(F.col("fp")).alias("hex")).collect():
+        least = {}
+        for h in raw[r["k"]]:
+            least[h >> 55] = min(h, least.get(h >> 55, h))
+        want = "".join(f"{least[i if i in least else next(b for b in probes[i] if b in least)] & 255:02x}" for i in range(bins)) if least else ""
+        assert r["hex"] == want, r["k"]
 
 
 def test_quality_rules(spark, docs, rows, labels):
@@ -559,5 +595,24 @@ def test_pipeline(spark):
     assert packed.where("piece = 0").count() == docs.count() > 0
 
 
+def test_null_ids(spark, labels):
+    """Rows without doc_id, and rows that repeat one, come back one by one with the results that other ids give."""
+    texts = ["one two three four five six under the MIT license", "one two three four five six under the MIT license", None, BASE + "\n" + BASE, "single", "cc by nc cc by nc"]
+    ids = [None, None, None, 5, 5, 9007199254740993]
+    schema = "doc_id long, text string, lang string, source string, label string"
+    given = spark.createDataFrame([(i, t, "en", "s", "x") for i, t in zip(ids, texts, strict=True)], schema)
+    plain = spark.createDataFrame([(k, t, "en", "s", "x") for k, t in enumerate(texts)], schema)
+    path = tokenizer("byte_bpe_50k.json")
+    for of in (lambda d: quality_rules.quality_rules(d, labels.limit(0)), lambda d: token_counts.token_counts(d, path), licenses.license_labels, lambda d: cotraining.quality_scores(d, labels.limit(0))):
+        got, want = ([tuple(r)[1:] for r in of(d).collect()] for d in (given, plain))
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        assert sorted(map(str, (r[0] for r in of(given).select("doc_id").collect()))) == sorted(map(str, ids))
+    for of in (sharding.shard_documents, mixing.pareto_mix, fingerprints.edited_fingerprints, lambda d: attention_lm.score_documents(d, path), lambda d: near_dedup.near_duplicates(d, 2)):
+        assert sorted(map(str, (r["doc_id"] for r in of(given).collect()))) == sorted(map(str, ids))
+    named = spark.createDataFrame([(None if i is None else f"id{i}", t, "en", "s", "x") for i, t in zip(ids, texts, strict=True)], schema.replace("doc_id long", "doc_id string"))
+    for of in (sharding.shard_documents, mixing.pareto_mix, fingerprints.edited_fingerprints, licenses.license_labels, lambda d: near_dedup.near_duplicates(d, 2), lambda d: attention_lm.score_documents(d, path)):
+        assert of(named).count() == len(ids)
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))

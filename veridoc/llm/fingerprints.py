@@ -18,6 +18,7 @@ from .common import partitions, words
 BINS = 256
 BITS = 8
 WORDS = 5
+PER_CHUNK = 50
 _SHIFT = 63 - (BINS.bit_length() - 1)
 #: An empty bin's first probes are random bins, tried in these runs (a later one only if those before found nothing);
 #: after them come all bins, at an odd step.
@@ -82,39 +83,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(estimate)
 
 
-def below(value: Column, cuts: list[int]) -> Column:
+def below(value: Column, cuts: list[Column]) -> Column:
     """How many of the ascending cuts are less than value, by binary search."""
     steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    table = F.lit(cuts)
+    table = F.array(*cuts)
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1) < value, F.lit(False)), at + s).otherwise(at))
 
 
 def with_next(df: DataFrame, key: str, tie: str, columns: list[str], chunks: int) -> DataFrame:
     """df with next_<column> of the row that follows by key and tie; after the last row comes the first.
 
-    Rows are dealt out once, to chunks of key ranges cut at approximate quantiles. A copy of the first row of each
-    chunk goes along to the end of the chunk before, as the follower of that chunk's last row. Null keys come first.
+    Rows are dealt out once, to chunks of ranges of (key, tie), cut at the quantiles of a random sample of some PER_CHUNK
+    of these per chunk, which only the balance depends on. A copy of the first row of each chunk goes along to the end
+    of the chunk before, as the follower of that chunk's last row. Null keys come first; keys may be of any type that
+    has an order. Rows equal in key and tie are in one chunk.
     """
-    found = df.agg(F.percentile_approx(key, [k / chunks for k in range(1, chunks)], 10 * chunks)).first()[0] if chunks > 1 else None
-    cuts = sorted(set(found or []))
-    chunk = (F.when(F.col(key).isNull(), F.lit(0)).otherwise(below(F.col(key), cuts) + 1) if cuts else F.lit(0)).cast("int")
-    df = df.withColumn("nx_chunk", chunk)
+    place = F.struct(F.col(key).alias("a"), F.col(tie).alias("b"))
+    cuts: list = []
+    if chunks > 1:
+        many = df.count()
+        of = max(1, many // (PER_CHUNK * chunks))
+        drawn = df.select(place.alias("at")).where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(of)) == 0).limit(4 * PER_CHUNK * chunks)
+        ranked = drawn.select("at", F.row_number().over(Window.orderBy("at")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # a bounded sample
+        cuts = [r["at"] for r in ranked.where(F.floor(F.col("k") * chunks / F.col("n")) > F.floor((F.col("k") - 1) * chunks / F.col("n"))).select("at").distinct().orderBy("at").collect()]
+    types = df.select(place.alias("at")).schema["at"].dataType
+    edges = [F.struct(*[F.lit(c[f.name]).cast(f.dataType).alias(f.name) for f in types.fields]) for c in cuts]
+    df = df.withColumn("nx_place", place).withColumn("nx_chunk", (below(F.col("nx_place"), edges) if edges else F.lit(0)).cast("int"))
     # one row per chunk, at most as many as chunks
     every = Window.orderBy("nx_at")
-    heads = df.groupBy(F.col("nx_chunk").alias("nx_at")).agg(F.min(key).alias("nx_key"))
+    heads = df.groupBy(F.col("nx_chunk").alias("nx_at")).agg(F.min("nx_place").alias("nx_first"))
     heads = heads.withColumn("nx_to", F.coalesce(F.lag("nx_at").over(every), F.max("nx_at").over(Window.partitionBy())))
     here = lambda at, copy: F.struct(at.alias("at"), F.lit(copy).alias("copy"))
-    both = F.when(F.col(key).eqNullSafe(F.col("nx_key")), F.array(here(F.col("nx_chunk"), 0), here(F.col("nx_to"), 1))).otherwise(F.array(here(F.col("nx_chunk"), 0)))
+    both = F.when(F.col("nx_place").eqNullSafe(F.col("nx_first")), F.array(here(F.col("nx_chunk"), 0), here(F.col("nx_to"), 1))).otherwise(F.array(here(F.col("nx_chunk"), 0)))
     dealt = df.join(F.broadcast(heads), F.col("nx_chunk") == F.col("nx_at")).select(*df.columns, F.explode(both).alias("nx"))
     inside = Window.partitionBy("nx.at").orderBy("nx.copy", key, tie)
     led = dealt.withColumns({f"next_{c}": F.lead(c).over(inside) for c in columns})
-    return led.where("nx.copy = 0").drop("nx", "nx_chunk")
+    return led.where("nx.copy = 0").drop("nx", "nx_chunk", "nx_place")
 
 
 def edited_fingerprints(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, whose last half is the beginning of the next document.
 
-    Null text is empty. Documents with one doc_id follow each other by the hash of their text. A single document
+    Null text is empty; texts of any length count whole. An empty table gives an empty result; other columns of docs are
+    not looked at. A null doc_id comes before all others. Documents with one doc_id follow each other by the hash of their text. A single document
     follows itself. Texts without words have empty fingerprints, alike only to each other. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """

@@ -136,9 +136,11 @@ def license_labels(docs: DataFrame) -> DataFrame:
 
     Base labels come from phrases that stand word by word, the others from the join. The score is the best containment
     of a template, 1 where a base phrase stands, 0 where nothing is found. Null text is empty; repeated rows count one
-    by one. Strings of labels are sorted and empty where there are none.
+    by one, rows with a null doc_id too. A text of any length is scanned whole. Strings of labels are sorted and empty
+    where there are none. An empty table gives an empty result; other columns of docs are not looked at.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()).alias("key"))
+    # rows of one doc_id and one text have the same labels, so they may share a key
+    rows = docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"))
     found = matches(rows.select("key", "text"), "key").groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")).withColumnRenamed("key", "found_key")
     base = rows.select("doc_id", "key", scan_words(F.col("text")).alias("w"))
     anchors = F.arrays_overlap(F.col("w"), F.lit(["license", "cc"]))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -22,7 +22,7 @@ from .common import stored
 
 #: The split of byte-level BPE vocabularies, white space being what has the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: The most frequent pre-tokens, so many at most, are broadcast (a hash and a count each); the others' join shuffles.
+#: The most frequent pre-tokens, so many at most, are broadcast (a hash and a count each, 16 bytes); the others' join shuffles.
 HEAD = 1_000_000
 #: Entries of the map from pre-token to hash that a Python worker keeps.
 KEPT = 300_000
@@ -50,14 +50,21 @@ def splitter(path: str):
     return split
 
 
-def hash_of(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
+def hash_of(token: str) -> tuple[int, int]:
+    """96 bits as a long and an int: among 10^11 pre-tokens two with one hash are not to be expected."""
+    h = xxhash.xxh3_128_intdigest(token.encode("utf-8", "surrogatepass"))
+    return (h & (1 << 64) - 1) - (1 << 63), (h >> 64 & (1 << 32) - 1) - (1 << 31)
+
+
+def hash_columns(hashes: Iterable[tuple[int, int] | None]) -> list[pa.Array]:
+    pairs = [h or (None, None) for h in hashes]
+    return [pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int32())]
 
 
 class Hashes(dict):
     """Pre-token to hash, emptied when it is full."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) >= KEPT:
             self.clear()
         value = self[token] = hash_of(token)
@@ -65,14 +72,14 @@ class Hashes(dict):
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:
-    """Distinct pre-tokens of the corpus: hash, pieces, many (how often the corpus has it)."""
+    """Distinct pre-tokens of the corpus: hash, check, pieces, many (how often the corpus has it)."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = splitter(path), Counter()
 
         def out() -> pa.RecordBatch:
             names = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(map(hash_of, names), pa.int64()), pa.array(names, pa.string()), pa.array(seen.values(), pa.int64())], ["hash", "token", "many"])
+            return pa.RecordBatch.from_arrays([*hash_columns(map(hash_of, names)), pa.array(names, pa.string()), pa.array(seen.values(), pa.int64())], ["hash", "check", "token", "many"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -91,27 +98,28 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
         t = Tokenizer.from_file(path)
         merge, special = t.model.tokenize, {x.content for x in t.get_added_tokens_decoder().values()}
         for batch in batches:
-            many = [1 if x in special else len(merge(byte_letters(x))) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many, pa.int64()), batch.column(2)], ["hash", "pieces", "many"])
+            many = [1 if x in special else len(merge(byte_letters(x))) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(many, pa.int64()), batch.column(3)], ["hash", "check", "pieces", "many"])
 
-    distinct = docs.select("text").mapInArrow(tokens, "hash long, token string, many long").groupBy("hash").agg(F.first("token").alias("token"), F.sum("many").alias("many"))
-    return distinct.mapInArrow(count, "hash long, pieces long, many long")
+    found = docs.select("text").mapInArrow(tokens, "hash long, check int, token string, many long")
+    distinct = found.groupBy("hash", "check").agg(F.first("token").alias("token"), F.sum("many").alias("many"))
+    return distinct.mapInArrow(count, "hash long, check int, pieces long, many long")
 
 
 def frequencies(rows: DataFrame, path: str) -> DataFrame:
-    """Of rows (n, doc_id, text): n, doc_id, n_bytes, hash, many for each distinct pre-token of each row; hash null for a row without any."""
+    """Of rows (n, doc_id, text): n, doc_id, n_bytes, hash, check, many for each distinct pre-token of each row; hash null for a row without any."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, hashes = splitter(path), Hashes()
         for batch in batches:
             take: list[int] = []
             size: list[int] = []
-            hashed: list[int | None] = []
+            hashed: list[tuple[int, int] | None] = []
             many: list[int] = []
 
             def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:  # noqa: B008
                 at = pa.array(take, pa.int64())
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(size, pa.int64()), pa.array(hashed, pa.int64()), pa.array(many, pa.int64())], ["n", "doc_id", "n_bytes", "hash", "many"])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(size, pa.int64()), *hash_columns(hashed), pa.array(many, pa.int64())], ["n", "doc_id", "n_bytes", "hash", "check", "many"])
 
             for k, text in enumerate(batch.column(2)):
                 text = text.as_py() or ""
@@ -127,13 +135,14 @@ def frequencies(rows: DataFrame, path: str) -> DataFrame:
             if take:
                 yield out()
 
-    return rows.mapInArrow(work, f"n long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, hash long, many long")
+    return rows.mapInArrow(work, f"n long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, hash long, check int, many long")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Of each document: doc_id, n_bytes, n_tokens, over_limit.
 
-    Null text is empty and has no tokens. Repeated rows are counted one by one: rows carry a number of their own, which
+    Null text is empty and has no tokens; a text of any length counts whole. An empty table gives an empty result; other
+    columns of docs are not looked at. Repeated rows, and rows with a null doc_id, are counted one by one: rows carry a number of their own, which
     need not be the same in a rerun. Rows of one document leave a task together, so the sum shuffles a row per document.
     """
     known = stored(pieces(docs, path))
@@ -143,14 +152,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     while level > 0 and sum(n for k, n in levels.items() if k >= level - 1) <= HEAD:
         level -= 1
     often = F.col("many") >= 2**level
-    head = known.where(often).select("hash", F.col("pieces").cast("int").alias("pieces"))
-    tail = known.where(~often).select(F.col("hash").alias("tail"), F.col("pieces").alias("tail_pieces"))
+    head = known.where(often).select("hash", "check", F.col("pieces").cast("int").alias("pieces"))
+    tail = known.where(~often).select(F.col("hash").alias("tail"), F.col("check").alias("tail_check"), F.col("pieces").alias("tail_pieces"))
     found = frequencies(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text"), path)
-    met = found.join(F.broadcast(head), "hash", "left")  # HEAD rows at most
+    met = found.join(F.broadcast(head), ["hash", "check"], "left")  # HEAD rows at most
     row = ["n", "doc_id", "n_bytes"]
     # what the head knows becomes one row per document in the task that read it; the rest keeps a row per pre-token
-    summed = met.groupBy(*row, F.when(F.col("pieces").isNull(), F.col("hash")).alias("rest")).agg(F.sum(F.coalesce(F.col("many") * F.col("pieces"), F.lit(0))).alias("tokens"), F.sum("many").alias("many"))
+    unmet = F.col("pieces").isNull()
+    summed = met.groupBy(*row, F.when(unmet, F.col("hash")).alias("rest"), F.when(unmet, F.col("check")).alias("rest_check")).agg(F.sum(F.coalesce(F.col("many") * F.col("pieces"), F.lit(0))).alias("tokens"), F.sum("many").alias("many"))
     # rows without a rest get keys of their own, or they would all meet in one task
-    joined = summed.withColumn("key", F.coalesce("rest", F.xxhash64("n"))).join(tail, (F.col("key") == F.col("tail")) & F.col("rest").isNotNull(), "left")
+    joined = summed.withColumn("key", F.coalesce("rest", F.xxhash64("n"))).join(tail, (F.col("key") == F.col("tail")) & (F.col("rest_check") == F.col("tail_check")), "left")
     total = joined.groupBy(*row).agg(F.sum(F.col("tokens") + F.coalesce(F.col("many") * F.col("tail_pieces"), F.lit(0))).cast("long").alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
