@@ -249,7 +249,7 @@ def test_language_model_deals_equal_windows_apart(spark):
     sizes = [r["count"] for r in attention_lm.dealt(windows, 1, 10 * part).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 10 * part and max(sizes) < 4 * part
     batch = pa.RecordBatch.from_arrays([pa.array([same] * (2 * part + 1), pa.binary())], ["w"])
-    assert [len(w) for w in attention_lm.runs(iter([batch, batch]))] == [part] * 4 + [2]
+    assert [len(w) for w in attention_lm.runs(iter([batch, batch.slice(0, 0), batch]))] == [2 * part, 2 * part, 2]
 
 
 def test_language_model_context():
@@ -270,6 +270,33 @@ def test_language_model_context():
         assert abs((a - b) - (c1 - d)) > 1e-7, k
 
 
+def test_language_model_scores():
+    """The batched score of a text is that of the training model's forward pass, token by token."""
+    import numpy as np
+
+    m, c, width = attention_lm.M, attention_lm.CLASSES, attention_lm.WINDOW
+    rng = np.random.default_rng(4)
+    p = rng.normal(0, 0.3, len(attention_lm.initial())).astype(np.float32)
+    prior, within = rng.normal(size=(m, c)).astype(np.float32), rng.normal(size=(m, m)).astype(np.float32)
+    symbol = (np.arange(attention_lm.VOCABULARY) % m).astype(np.int16)
+    tables = {"symbol": symbol, "id_score": rng.normal(size=attention_lm.VOCABULARY).astype(np.float32), "prior": prior, "within": within, "class": np.arange(m) % c}
+    texts = [rng.integers(0, attention_lm.VOCABULARY, n) for n in (0, 1, 19, 20, 21, 90)]
+    got = attention_lm.Scorer(p, tables)(np.concatenate(texts).astype(np.int64), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    e, wq, wk, wv, bias, u = attention_lm.unpack(p)
+    lead = width - attention_lm.STRIDE
+    for k, ids in enumerate(texts):
+        s = [0, *symbol[ids].tolist(), 0]
+        total = float(tables["id_score"][ids].sum())
+        for i in range(len(s) - 1):
+            first = i // attention_lm.STRIDE * attention_lm.STRIDE - lead
+            keys = list(range(max(first, 0), i + 1))
+            w = np.exp([float(e[s[i]] @ wq @ (e[s[j]] @ wk)) / attention_lm.WIDTH**0.5 + bias[i - j] for j in keys])
+            o = sum(a * (e[s[j]] @ wv) for a, j in zip(w / w.sum(), keys, strict=True))
+            z = prior[s[i]] + o @ u
+            total += float(z[(s[i + 1]) % c] - np.log(np.exp(z).sum()) + within[s[i], s[i + 1]])
+        assert got[k] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-4), k
+
+
 def test_language_model_gradient():
     import numpy as np
 

@@ -72,40 +72,52 @@ _DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
 _CAUSAL = np.where(_DISTANCE >= 0, 0, -1e9).astype(np.float32)
 
 
+_ONES = {n: np.ones((n, 1), np.float32) for n in (WINDOW, CLASSES)}
+#: Logits are held below this, in training and in scoring, so that no row's greatest must be sought first.
+TOP = 30
+
+
 def gradient(p: np.ndarray, x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean loss over windows of symbols x (with -1: no input) and classes y (-1: no target), and its gradient."""
     e_, wq, wk, wv, bias, u = unpack(p)
-    some = np.maximum(x, 0)
+    shape = (len(x), WINDOW, WIDTH)
+    some = np.maximum(x, 0).ravel()
     e = e_[some]
-    q, k, v = e @ wq, e @ wk, e @ wv
-    s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(WIDTH)) + bias[np.maximum(_DISTANCE, 0)] + _CAUSAL
-    s -= s.max(-1, keepdims=True)
-    a = np.exp(s)
-    a /= a.sum(-1, keepdims=True)
-    o = a @ v
-    z = prior[some] + o @ u
-    z -= z.max(-1, keepdims=True)
-    z = np.exp(z)
-    z /= z.sum(-1, keepdims=True)
-    on = y >= 0
+    root = np.float32(np.sqrt(WIDTH))
+    q, k, v = (e @ (wq / root)).reshape(shape), (e @ wk).reshape(shape), (e @ wv).reshape(shape)
+    a = q @ k.transpose(0, 2, 1)
+    a += bias[np.maximum(_DISTANCE, 0)] + _CAUSAL
+    np.minimum(a, TOP, out=a)
+    np.exp(a, out=a)
+    a /= a @ _ONES[WINDOW]
+    o = (a @ v).reshape(-1, WIDTH)
+    z = prior[some]
+    z += o @ u
+    np.minimum(z, TOP, out=z)
+    np.exp(z, out=z)
+    z /= z @ _ONES[CLASSES]
+    goal = y.ravel()
+    on = goal >= 0
     n = max(int(on.sum()), 1)
-    at = np.maximum(y, 0)[..., None]
-    loss = -float(np.log(np.take_along_axis(z, at, -1)[..., 0][on] + 1e-12).sum()) / n
-    np.put_along_axis(z, at, np.take_along_axis(z, at, -1) - 1, -1)
-    dz = z * (on[..., None] / np.float32(n))
-    du = np.einsum("blw,blc->wc", o, dz, optimize=True)
-    do = dz @ u.T
+    at = np.arange(len(goal)) * CLASSES + np.maximum(goal, 0)
+    flat = z.reshape(-1)
+    loss = -float(np.log(flat[at][on] + 1e-12).sum()) / n
+    flat[at] -= 1
+    z *= (on / np.float32(n)).astype(z.dtype)[:, None]
+    du = o.T @ z
+    do = (z @ u.T).reshape(shape)
     dv = a.transpose(0, 2, 1) @ do
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dbias = np.bincount(np.maximum(_DISTANCE, 0).ravel(), (ds.sum(0) * (_DISTANCE >= 0)).ravel(), WINDOW)
-    ds /= np.float32(np.sqrt(WIDTH))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    flat = e.reshape(-1, WIDTH)
-    dwq, dwk, dwv = (flat.T @ g.reshape(-1, WIDTH) for g in (dq, dk, dv))
-    de = (dq @ wq.T + dk @ wk.T + dv @ wv.T).reshape(-1, WIDTH)
-    dE = np.zeros_like(e_)
-    np.add.at(dE, some.ravel(), de)
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= (ds * a) @ _ONES[WINDOW]
+    ds *= a
+    dbias = np.bincount(np.maximum(_DISTANCE, 0).ravel(), (ds.reshape(len(x), -1).sum(0).reshape(WINDOW, WINDOW) * (_DISTANCE >= 0)).ravel(), WINDOW)
+    dq, dk, dv = ((ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), dv.reshape(-1, WIDTH))
+    dwq, dwk, dwv = e.T @ dq / root, e.T @ dk, e.T @ dv
+    de = dq @ (wq.T / root)
+    de += dk @ wk.T
+    de += dv @ wv.T
+    cell = (some[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    dE = np.bincount(cell, de.ravel(), e_.size)
     return loss, np.concatenate([g.ravel() for g in (dE, dwq, dwk, dwv, dbias, du)]).astype(np.float32)
 
 
@@ -118,9 +130,11 @@ def train_part(p: np.ndarray, windows: np.ndarray, classes: np.ndarray, prior: n
         w = windows[(t % steps) * BATCH : (t % steps + 1) * BATCH]
         y = np.where(w[:, 1:] >= 0, classes[np.maximum(w[:, 1:], 0)], -1)
         _, g = gradient(p, w[:, :-1], y, prior)
-        m = 0.9 * m + 0.1 * g
-        v = 0.99 * v + 0.01 * g * g
-        p -= rate * (m / (1 - 0.9 ** (t + 1))) / (np.sqrt(v / (1 - 0.99 ** (t + 1))) + 1e-8)
+        m *= 0.9
+        m += np.float32(0.1) * g
+        v *= 0.99
+        v += np.float32(0.01) * g * g
+        p -= np.float32(rate / (1 - 0.9 ** (t + 1))) * m / (np.sqrt(v / np.float32(1 - 0.99 ** (t + 1))) + np.float32(1e-8))
     return p
 
 
@@ -133,7 +147,8 @@ class Scorer:
         # one more dimension turns away keys that stand for no input: symbol M
         self.q = np.concatenate([e @ wq / np.float32(np.sqrt(WIDTH)), np.ones((M, 1), np.float32)], 1)
         self.k = np.concatenate([np.concatenate([e @ wk, np.zeros((M, 1), np.float32)], 1), np.array([[0] * WIDTH + [-1e4]], np.float32)])
-        self.v = np.concatenate([e @ wv, np.zeros((1, WIDTH), np.float32)])
+        # and one more of the values, all ones, gives the sum of the weights
+        self.v = np.concatenate([np.concatenate([e @ wv, np.ones((M, 1), np.float32)], 1), np.zeros((1, WIDTH + 1), np.float32)])
         lead = WINDOW - STRIDE
         self.bias = (bias[np.maximum(_DISTANCE, 0)] + _CAUSAL)[lead:]
 
@@ -161,15 +176,16 @@ class Scorer:
             x, y = s[:, lead:-1], s[:, lead + 1 :]
             a = self.q[x] @ self.k[key].transpose(0, 2, 1)
             a += self.bias
-            np.minimum(a, 30, out=a)
+            np.minimum(a, TOP, out=a)
             np.exp(a, out=a)
-            o = a @ self.v[key]
-            o /= a.sum(-1, keepdims=True)
-            z = tables["prior"][x]
-            z += o @ self.u
-            got = np.take_along_axis(z, tables["class"][y][..., None], -1)[..., 0]
+            o = (a @ self.v[key]).reshape(-1, WIDTH + 1)
+            before = x.ravel()
+            z = tables["prior"][before]
+            z += (o[:, :WIDTH] / o[:, WIDTH:]) @ self.u
+            np.minimum(z, TOP, out=z)
+            got = z.ravel()[np.arange(len(z)) * CLASSES + tables["class"][y.ravel()]]
             np.exp(z, out=z)
-            score = got - np.log(z.sum(-1)) + tables["within"][x, y]
+            score = (got - np.log((z @ _ONES[CLASSES])[:, 0])).reshape(x.shape) + tables["within"][x, y]
             score[place[:, lead:-1] >= many[r]] = 0
             total += np.bincount(row[k : k + 256], score.sum(-1), n)
         return total / np.log(10)
@@ -338,7 +354,8 @@ def training_windows(train: DataFrame, symbol: np.ndarray) -> DataFrame:
                 inside = (place >= 1) & (place < many[r, None])
                 w = np.where(place <= many[r, None], 0, -1).astype("<i2")
                 w[inside] = symbol[ids[(at[r, None] + place - 1)[inside]]]
-                yield arrow("n place w", part.column(0).take(pa.array(r)), f, pa.array([x.tobytes() for x in w], pa.binary()))
+                offsets = np.arange(len(w) + 1, dtype=np.int32) * (2 * (WINDOW + 1))
+                yield arrow("n place w", part.column(0).take(pa.array(r)), f, pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(w))]))
 
     return train.select("n", "ids").mapInArrow(work, "n long, place long, w binary")
 
@@ -372,16 +389,23 @@ def dealt(windows: DataFrame, rounds: int, many: int) -> DataFrame:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The windows in runs of PART rows at most."""
+    """The windows in runs of 2 * PART rows at most; a partition of dealt windows, some PART rows, is mostly one run."""
     have: list[np.ndarray] = []
+    many = 0
     for batch in batches:
-        for x in batch.column(0):
-            have.append(np.frombuffer(x.as_py(), "<i2"))
-            if len(have) == PART:
-                yield np.stack(have).astype(np.int64)
-                have = []
-    if have:
-        yield np.stack(have).astype(np.int64)
+        column = batch.column(0).cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        own = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i2").reshape(len(column), WINDOW + 1) if len(column) else np.zeros((0, WINDOW + 1), "<i2")
+        while len(own):
+            own, more = own[: 2 * PART - many], own[2 * PART - many :]
+            have.append(own.astype(np.int64))
+            many += len(own)
+            own = more
+            if many == 2 * PART:
+                yield np.concatenate(have)
+                have, many = [], 0
+    if many:
+        yield np.concatenate(have)
 
 
 def trained(train: DataFrame, tables: dict, rounds: int = ROUNDS) -> np.ndarray:
