@@ -1,14 +1,18 @@
-"""Every registered relational query against its SQL, and the identifier checks on known values."""
+"""Every registered relational query against its SQL, and the entry module without the corpus operators."""
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
-from veridoc.functions import identifiers
 from veridoc.plans import queries
 
 DIR = "/root/testdata/sf0.01"
-TABLES = ["region", "nation", "customer", "part", "orders", "lineitem", "events", "conversations"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
+#: Queries whose right answer may be no rows.
+MAY_BE_EMPTY: set[str] = set()
+
+
+def printed(value):
+    return repr(round(value, 9)) if isinstance(value, float) else str(value)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -16,21 +20,17 @@ def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
-    got = queries.QUERIES[name](spark, DIR).toPandas()
-    want = con.sql(queries.ORACLE[name]).df()
-    assert set(got.columns) == set(want.columns)
+    got = queries.QUERIES[name](spark, DIR)
+    if name not in queries.ORACLE:
+        assert got.count() > 0
+        return
+    want = con.sql(queries.ORACLE[name])
     columns = sorted(want.columns)
-    rows = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))
-    assert rows(got) == rows(want)
-
-
-def test_identifiers(spark):
-    df = spark.createDataFrame([("236",), ("237",), ("2x6",), (None,)], "n string")
-    assert [r[0] for r in df.select(identifiers.verhoeff_ok(F.col("n"), 3)).collect()] == [True, False, False, None]
-    digit = spark.createDataFrame([("520727",), ("L898902C3",)], "f string").select(identifiers.mrz_digit(F.col("f"))).collect()
-    assert [r[0] for r in digit] == [3, 6]
-    pan = spark.createDataFrame([("AAAPA0000A",), ("AAAXA0000A",)], "p string").select(identifiers.pan_ok(F.col("p"))).collect()
-    assert [r[0] for r in pan] == [True, False]
+    assert sorted(got.columns) == columns
+    rows = lambda found: sorted(tuple(map(printed, r)) for r in found)
+    have = rows(got.select(columns).collect())
+    assert have == rows(want.select(*[f'"{c}"' for c in columns]).fetchall())
+    assert have or name in MAY_BE_EMPTY, "no rows prove nothing"
 
 
 def test_entry_without_corpus_operators(monkeypatch):

@@ -1,107 +1,8 @@
-"""Registered queries of the relational operators over the driver's tables, and their SQL."""
+"""All registered queries of the relational part, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import changes, lists  # noqa: F401  (they register their queries)
+from .registry import ORACLE, QUERIES, Query, query, table
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import identifiers
-from ..operators import relational as R
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def f3_row_scope(spark: SparkSession, d: str) -> DataFrame:
-    grants = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
-    return R.scoped(table(spark, d, "customer"), grants, "c_nationkey").select("c_custkey", "c_nationkey")
-
-
-def f5_substring(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where(R.contains_any(["p_name", "p_brand"], "brand#1")).select("p_partkey")
-
-
-def f10_none(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return R.without(table(spark, d, "customer"), orders, "c_custkey").select("c_custkey")
-
-
-def f17_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = [("many", "l_quantity", "GTE", 30.0), ("cheap", "l_extendedprice", "LT", 20000.0), ("not_returned", "l_returnflag", "NEQ", "R")]
-    passed = [R.rule_passes(F.col(c), op, v) for _, c, op, v in rules]
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sum((p.cast("int") for p in passed), F.lit(0)).alias("n_passed"))
-
-
-def j1_enrich(spark: SparkSession, d: str) -> DataFrame:
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    dims = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select("n_nationkey", "n_name", "r_name")
-    c = table(spark, d, "customer")
-    return c.join(dims, c["c_nationkey"] == dims["n_nationkey"], "left").select("c_custkey", "n_name", "r_name")
-
-
-def a2_top_used(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_used(table(spark, d, "events").where("event_type is not null"), "user_id", 5)
-
-
-def a5_conditional_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("n_returned"), F.count_if(F.col("l_linestatus") == "O").alias("n_open"), F.count(F.lit(1)).alias("n_lines"))
-
-
-def a7_shared_values(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_partkey", "l_orderkey")
-    out = R.shared_values(lines, ["l_partkey"], "l_orderkey")
-    return out.select("l_partkey", "n_owners", F.concat_ws(",", F.col("owners").cast("array<string>")).alias("owners"))
-
-
-def w1_latest(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
-
-
-def w7_last_three(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 3).select("user_id", "event_id")
-
-
-def w10_prefix_budget(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").withColumn("size", F.length("text").cast("long"))
-    return R.prefix_budget(rows, "conv_id", "turn", "size", 400).select("conv_id", "turn", "spent_before")
-
-
-def o2_page(spark: SparkSession, d: str) -> DataFrame:
-    return R.page(table(spark, d, "orders"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3, 25).select("o_orderkey")
-
-
-def j5_missing(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", "event_type")
-    return R.missing_required(e, e.select("event_type").distinct(), "user_id", "event_type")
-
-
-def k_checks(spark: SparkSession, d: str) -> DataFrame:
-    number = F.lpad(F.col("c_custkey").cast("string"), 12, "4")
-    return table(spark, d, "customer").select("c_custkey", identifiers.normal_key(F.col("c_name")).alias("name_key"), (identifiers.mrz_digit(number)).alias("mrz_digit"))
-
-
-QUERIES: dict[str, Query] = {f.__name__: f for f in (f3_row_scope, f5_substring, f10_none, f17_rules, j1_enrich, a2_top_used, a5_conditional_counts, a7_shared_values, w1_latest, w7_last_three, w10_prefix_budget, o2_page, j5_missing, k_checks)}
-
-ORACLE: dict[str, str] = {
-    "f3_row_scope": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
-    "f5_substring": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1')",
-    "f10_none": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "f17_rules": "SELECT l_orderkey, l_linenumber, (l_quantity >= 30)::INT + (l_extendedprice < 20000)::INT + (l_returnflag <> 'R')::INT AS n_passed FROM lineitem",
-    "j1_enrich": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
-    "a2_top_used": "SELECT user_id, count(*) AS uses FROM events WHERE event_type IS NOT NULL GROUP BY user_id ORDER BY uses DESC, user_id LIMIT 5",
-    "a5_conditional_counts": "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n_returned, count(*) FILTER (l_linestatus = 'O') AS n_open, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey",
-    "a7_shared_values": "SELECT l_partkey, count(*) AS n_owners, array_to_string(list_slice(list_sort(list(l_orderkey)), 1, 20), ',') AS owners FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY l_partkey HAVING count(*) > 1",
-    "w1_latest": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-    "w7_last_three": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
-    "w10_prefix_budget": "SELECT conv_id, turn, spent_before FROM (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM conversations) WHERE spent_before < 400",
-    "o2_page": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50",
-    "j5_missing": "SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type FROM events) t EXCEPT SELECT user_id, event_type FROM events",
-    "k_checks": "SELECT c_custkey, regexp_replace(upper(c_name), '[^0-9A-Z]', '', 'g') AS name_key, ("
-    + " + ".join(f"substr(lpad(c_custkey::VARCHAR, 12, '4'), {i + 1}, 1)::INT * {[7, 3, 1][i % 3]}" for i in range(12))
-    + ") % 10 AS mrz_digit FROM customer",
-}
+__all__ = ["ORACLE", "QUERIES", "Query", "query", "table"]
