@@ -28,7 +28,7 @@ def verhoeff_ok(number: Column, digits: int = 12) -> Column:
     for i in range(digits):
         digit = F.substring(number, digits - i, 1).cast("int")
         total = F.get(product, total * 10 + F.get(permute, F.lit(i % 8 * 10) + digit))
-    return F.when(number.isNull(), None).when(number.rlike(f"^[0-9]{{{digits}}}$"), total == 0).otherwise(False)
+    return F.when(number.isNull(), None).when(number.rlike(rf"\A[0-9]{{{digits}}}\z"), total == 0).otherwise(False)
 
 
 def weighted_ok(code: Column, pattern: str, alphabet: str, check: Column) -> Column:
@@ -41,21 +41,68 @@ def gstin_ok(code: Column) -> Column:
     value = lambda i: F.instr(F.lit(alphabet), F.substring(code, i, 1)) - 1
     parts = [value(i) * (1 if i % 2 else 2) for i in range(1, 15)]
     total = reduce(lambda a, b: a + b, [F.floor(p / 36) + p % 36 for p in parts])
-    return weighted_ok(code, "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$", alphabet, ((36 - total % 36) % 36).cast("int"))
+    return weighted_ok(code, r"\A[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\z", alphabet, ((36 - total % 36) % 36).cast("int"))
 
 
 def mrz_digit(field: Column) -> Column:
     """The check digit of a machine-readable zone field: weights 7, 3, 1; A is 10, a filler 0."""
-    values = F.transform(F.split(F.upper(field), ""), lambda c: F.greatest(F.lit(0), F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1))
+    values = F.transform(F.filter(F.split(F.upper(field), ""), lambda c: c != ""), lambda c: F.greatest(F.lit(0), F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1))
     weighted = F.transform(values, lambda v, i: v * F.element_at(F.lit([7, 3, 1]), i % 3 + 1))
     return F.aggregate(weighted, F.lit(0), lambda a, b: a + b) % 10
 
 
-def pan_ok(code: Column) -> Column:
-    """Five letters, of which the fourth is a holder category, four digits and a letter."""
-    return code.rlike("^[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]$")
+#: What the fourth letter of a PAN says of its holder.
+PAN_HOLDERS = {"P": "Individual", "F": "Firm/LLP", "C": "Company", "H": "HUF", "A": "Association of Persons", "T": "Trust", "B": "Body of Individuals", "L": "Local Authority", "J": "Artificial Juridical Person", "G": "Government"}
 
 
-def normal_key(value: Column) -> Column:
-    """Upper case, letters and digits only: two printings of a value compare equal. Cut to 255."""
-    return F.substring(F.regexp_replace(F.upper(value), "[^0-9A-Z]", ""), 1, 255)
+def pan_ok(code: Column) -> Column:
+    """Five letters, of which the fourth is a holder category, four digits and a letter."""
+    return code.rlike(rf"\A[A-Z]{{3}}[{''.join(PAN_HOLDERS)}][A-Z][0-9]{{4}}[A-Z]\z")
+
+
+def gstin_verified(raw: Column) -> Column:
+    """Shape and check character hold once the confusable glyphs are read as their places want them."""
+    from .text import gstin_form
+
+    return (F.length(raw) == 15) & gstin_ok(gstin_form(raw))
+
+
+# ---- machine-readable zones ---------------------------------------------------------------------------------------
+
+#: The kinds of the 28 data characters of a passport's second line (letter, digit, digit or filler, as read).
+MRZ_KINDS = "LDDDDDDDFDLLLDDDDDDDSDDDDDDD"
+MRZ_LETTERS = ("012568$", "OIZSGBS")
+MRZ_DIGITS = ("OQDILZS$GB", "0001125568")
+
+
+def mrz(line: Column) -> Column:
+    """A passport's second line as {data, folds, personal, final}; null where the line is none.
+
+    Each of the 28 data characters is read as its place wants it; folds counts those that had to be changed, and a
+    personal number that doesn't check or isn't whole.
+    """
+    bare = F.replace(F.regexp_replace(F.upper(line), r"\s+", ""), F.lit("\u00ab"), F.lit("<"))
+    pattern = r"([A-Z0-9$]{8}[<0-9][0-9][A-Z]{3}[0-9A-Z$]{6}[0-9][MF<][0-9A-Z$]{6}[0-9])(?:([A-Z0-9<]{14}[0-9<])([0-9])|([<KL]{0,23})([0-9]))"
+    group = lambda k: F.regexp_extract(bare, pattern, k)
+    raw = group(1)
+    parts = []
+    for i, kind in enumerate(MRZ_KINDS):
+        c = F.substring(raw, i + 1, 1)
+        parts.append(F.translate(c, *MRZ_LETTERS) if kind == "L" else F.when(c == "<", c).otherwise(F.translate(c, *MRZ_DIGITS)) if kind == "F" else F.translate(c, *MRZ_DIGITS) if kind == "D" else c)
+    data = F.concat(*parts)
+    kinds = r"\A" + "".join({"L": "[A-Z]", "D": "[0-9]", "F": "[0-9<]", "S": "."}[k] for k in MRZ_KINDS) + r"\z"
+    tail = F.when(group(3) != "", group(2)).otherwise(group(4))
+    personal = F.when((group(3) != "") & ~group(2).rlike(r"\A[<KL]*\z"), group(2)).otherwise("<" * 15)
+    changed = reduce(lambda a, b: a + b, [(F.substring(raw, i + 1, 1) != F.substring(data, i + 1, 1)).cast("int") for i in range(len(MRZ_KINDS))])
+    last = F.substring(personal, 15, 1)
+    unsure = (tail != personal) | (mrz_digit(F.substring(personal, 1, 14)).cast("string") != F.when(last == "<", "0").otherwise(last))
+    read = F.struct(data.alias("data"), (changed + unsure.cast("int")).alias("folds"), personal.alias("personal"), F.when(group(3) != "", group(3)).otherwise(group(5)).alias("final"))
+    return F.when((raw != "") & data.rlike(kinds), read)
+
+
+def mrz_failures(read: Column) -> Column:
+    """Which parts of a line that was read don't agree with their check digits."""
+    data, part = read["data"], lambda a, n: F.substring(read["data"], a, n)
+    wrong = lambda body, digit, name: F.when(mrz_digit(body).cast("string") != digit, F.lit(name))
+    whole = F.concat(part(1, 10), part(14, 7), part(22, 7), read["personal"])
+    return F.array_compact(F.array(wrong(part(1, 9), part(10, 1), "number"), wrong(part(14, 6), part(20, 1), "date of birth"), wrong(part(22, 6), F.substring(data, 28, 1), "expiry"), wrong(whole, read["final"], "whole line")))
