@@ -26,7 +26,7 @@ class LowerWords:
 
     FIND = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
     PLAIN = regex.compile("[!-~¡-įı-ɏ]*").fullmatch
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,7 +60,7 @@ class SpacedWords:
     """Ids of words, each with a space before it, under a byte-level vocabulary: a text of words can be told from them."""
 
     FIND = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -90,7 +90,7 @@ class WordIds:
     For encoders that never merge across white space: a text's ids are those of its words in turn.
     """
 
-    KEPT = 1_000_000
+    KEPT = 500_000
 
     def __init__(self, encoder: LowerWords | SpacedWords):
         self.words = encoder

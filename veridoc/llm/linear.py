@@ -17,7 +17,7 @@ class Sparse:
     """Rows of (index, value) pairs; at: where each row begins, and the end."""
 
     def __init__(self, index: np.ndarray, value: np.ndarray, at: np.ndarray):
-        self.index, self.value, self.at = index.astype(np.int32), value.astype(np.float32), at
+        self.index, self.value, self.at = index.astype(np.int32, copy=False), value.astype(np.float32, copy=False), at
         self.row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
 
     def __len__(self) -> int:
@@ -39,8 +39,13 @@ class Sparse:
 
     @staticmethod
     def unpacked(rows: list[tuple[bytes, bytes]]) -> Sparse:
+        """Of packed rows, which are used up so that they and the result don't stand in memory together."""
         at = np.concatenate(([0], np.cumsum([len(i) // 4 for i, _ in rows]))).astype(np.int64)
-        return Sparse(np.frombuffer(b"".join(i for i, _ in rows), np.int32), np.frombuffer(b"".join(v for _, v in rows), np.float32), at)
+        index, value = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
+        for k in range(len(rows) - 1, -1, -1):
+            i, v = rows.pop()
+            index[at[k] : at[k + 1]], value[at[k] : at[k + 1]] = np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)
+        return Sparse(index, value, at)
 
     def take(self, rows: np.ndarray) -> Sparse:
         many = np.diff(self.at)[rows]

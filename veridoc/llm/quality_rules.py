@@ -85,7 +85,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Weights, bias and calibration. Without labelled rows every text gets probability 0.5."""
     rows = labelled_sample(docs, labels, label, sample)
     y = np.array([float(r["y"]) for r in rows])
-    x = linear.Sparse.unpacked([(r["index"], r["value"]) for r in rows])
+    packed = [(r["index"], r["value"]) for r in rows]
+    del rows
+    x = linear.Sparse.unpacked(packed)
     held = np.arange(len(y)) % 4 == 3
     w, b = linear.fit(x, y, 3 * BUCKETS, l2=1e-7, weight=np.where(held, 0.0, 1.0))
     a, c = linear.calibrate((x.dot(w) + b)[held], y[held])
