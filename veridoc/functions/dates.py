@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def full_year(year: Column) -> Column:
     """Two digits below 50 are of this century, others of the last."""
@@ -78,17 +80,23 @@ def first_date(text: Column) -> Column:
 def impossible_dates(text: Column) -> Column:
     """Dates that no calendar has, neither day first nor month first, as printed; each once, in order.
 
-    A number before it, or a dot or comma after one, makes it a part of something else. Years are of 1900 to 2100. With a
+    A digit before it, or a dot or comma after one, makes it a part of a number; a year of two digits in a longer chain is
+    none, and the date behind it counts. Years are of 1900 to 2100. With a
     year of two digits and a part over 39 it is a time or noise, unless a label says date. A year of five digits, 19 or
     20 first, counts after such a label, or if the day is real.
     """
+    pair = r"[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-]"
     label = r"(?:dated?|dt|dob|d\.o\.b|doj|birth|joining)\b[^0-9\n]{0,20}"
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![0-9])(?<![0-9][.,])(?:\b{label})?(?<![0-9/.\-])[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-][0-9]{{2,5}}(?![0-9])"), 0)
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![0-9])(?<![0-9][.,])(?:\b{label})?(?<![0-9])(?<![0-9][.,])(?:{pair}[0-9]{{2}}(?![/.\-]?[0-9])|{pair}[0-9]{{3,4}}(?![0-9])|(?<!/){pair}[0-9]{{5}}(?![0-9]))"), 0)
     raw = lambda d: F.regexp_extract(d, r"([0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,5})\z", 1)
 
     def bad(d: Column) -> Column:
-        a, b, c = (F.regexp_extract(raw(d), r"([0-9]+)[/.\-]([0-9]+)[/.\-]([0-9]+)", k) for k in (1, 2, 3))
-        x, y, width = a.cast("int"), b.cast("int"), F.length(c)
+        groups = lambda v: F.struct(*[F.regexp_extract(v, r"([0-9]+)[/.\-]([0-9]+)[/.\-]([0-9]+)", k).alias(f"g{k}") for k in (1, 2, 3)])
+        return let(let(raw(d), groups), lambda g: judged(d, g))
+
+    def judged(d: Column, g: Column) -> Column:
+        c = g["g3"]
+        x, y, width = g["g1"].cast("int"), g["g2"].cast("int"), F.length(c)
         year = F.when(width == 2, full_year(c.cast("int"))).otherwise(c.cast("int"))
         labelled = F.length(d) > F.length(raw(d))
         real = is_day(x, y, year) | is_day(y, x, year)

@@ -81,28 +81,41 @@ def mrz(line: Column) -> Column:
     Each of the 28 data characters is read as its place wants it; folds counts those that had to be changed, and a
     personal number that doesn't check or isn't whole.
     """
-    bare = F.replace(F.regexp_replace(F.upper(line), r"\s+", ""), F.lit("\u00ab"), F.lit("<"))
+    from .text import let
+
     pattern = r"([A-Z0-9$]{8}[<0-9][0-9][A-Z]{3}[0-9A-Z$]{6}[0-9][MF<][0-9A-Z$]{6}[0-9])(?:([A-Z0-9<]{14}[0-9<])([0-9])|([<KL]{0,23})([0-9]))"
-    group = lambda k: F.regexp_extract(bare, pattern, k)
-    raw = group(1)
-    parts = []
-    for i, kind in enumerate(MRZ_KINDS):
-        c = F.substring(raw, i + 1, 1)
-        parts.append(F.translate(c, *MRZ_LETTERS) if kind == "L" else F.when(c == "<", c).otherwise(F.translate(c, *MRZ_DIGITS)) if kind == "F" else F.translate(c, *MRZ_DIGITS) if kind == "D" else c)
-    data = F.concat(*parts)
+    bare = F.replace(F.regexp_replace(F.upper(line), r"\s+", ""), F.lit("\u00ab"), F.lit("<"))
     kinds = r"\A" + "".join({"L": "[A-Z]", "D": "[0-9]", "F": "[0-9<]", "S": "."}[k] for k in MRZ_KINDS) + r"\z"
-    tail = F.when(group(3) != "", group(2)).otherwise(group(4))
-    personal = F.when((group(3) != "") & ~group(2).rlike(r"\A[<KL]*\z"), group(2)).otherwise("<" * 15)
-    changed = reduce(lambda a, b: a + b, [(F.substring(raw, i + 1, 1) != F.substring(data, i + 1, 1)).cast("int") for i in range(len(MRZ_KINDS))])
-    last = F.substring(personal, 15, 1)
-    unsure = (tail != personal) | (mrz_digit(F.substring(personal, 1, 14)).cast("string") != F.when(last == "<", "0").otherwise(last))
-    read = F.struct(data.alias("data"), (changed + unsure.cast("int")).alias("folds"), personal.alias("personal"), F.when(group(3) != "", group(3)).otherwise(group(5)).alias("final"))
-    return F.when((raw != "") & data.rlike(kinds), read)
+
+    def place(c: Column, kind: str) -> Column:
+        digit = F.translate(c, *MRZ_DIGITS)
+        return {"L": F.translate(c, *MRZ_LETTERS), "D": digit, "F": F.when(c == "<", c).otherwise(digit), "S": c}[kind]
+
+    def parts(g: Column) -> Column:
+        long = g[2] != ""
+        data = F.concat(*[place(F.substring(g[0], i + 1, 1), kind) for i, kind in enumerate(MRZ_KINDS)])
+        personal = F.when(long & ~g[1].rlike(r"\A[<KL]*\z"), g[1]).otherwise("<" * 15)
+        return F.struct(g[0].alias("raw"), data.alias("data"), personal.alias("personal"), F.when(long, g[1]).otherwise(g[3]).alias("tail"), F.when(long, g[2]).otherwise(g[4]).alias("final"))
+
+    def read(p: Column) -> Column:
+        changed = F.aggregate(F.sequence(F.lit(1), F.lit(28)), F.lit(0), lambda n, i: n + (F.substr(p["raw"], i, F.lit(1)) != F.substr(p["data"], i, F.lit(1))).cast("int"))
+        last = F.substring(p["personal"], 15, 1)
+        unsure = (p["tail"] != p["personal"]) | (mrz_digit(F.substring(p["personal"], 1, 14)).cast("string") != F.when(last == "<", "0").otherwise(last))
+        got = F.struct(p["data"].alias("data"), (changed + unsure.cast("int")).alias("folds"), p["personal"].alias("personal"), p["final"].alias("final"))
+        return F.when((p["raw"] != "") & p["data"].rlike(kinds), got)
+
+    groups = let(bare, lambda x: F.array(*[F.regexp_extract(x, pattern, k) for k in range(1, 6)]))
+    return let(let(groups, parts), read)
 
 
 def mrz_failures(read: Column) -> Column:
     """Which parts of a line that was read don't agree with their check digits."""
-    data, part = read["data"], lambda a, n: F.substring(read["data"], a, n)
-    wrong = lambda body, digit, name: F.when(mrz_digit(body).cast("string") != digit, F.lit(name))
-    whole = F.concat(part(1, 10), part(14, 7), part(22, 7), read["personal"])
-    return F.array_compact(F.array(wrong(part(1, 9), part(10, 1), "number"), wrong(part(14, 6), part(20, 1), "date of birth"), wrong(part(22, 6), F.substring(data, 28, 1), "expiry"), wrong(whole, read["final"], "whole line")))
+    from .text import let
+
+    def wrong(r: Column) -> Column:
+        part = lambda a, n: F.substring(r["data"], a, n)
+        test = lambda body, digit, name: F.when(mrz_digit(body).cast("string") != digit, F.lit(name))
+        whole = F.concat(part(1, 10), part(14, 7), part(22, 7), r["personal"])
+        return F.array_compact(F.array(test(part(1, 9), part(10, 1), "number"), test(part(14, 6), part(20, 1), "date of birth"), test(part(22, 6), part(28, 1), "expiry"), test(whole, r["final"], "whole line")))
+
+    return let(read, wrong)

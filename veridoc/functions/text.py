@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once per row, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 # ---- fixed values: glyphs that scans confuse, titles, plates ------------------------------------------------------
 
 #: Letters and the digits they are read for, in identifiers, in claim ids (lower case) and in code payloads.
