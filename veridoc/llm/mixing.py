@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, partitions, stored
 
 LEAN = (0.5, 2.0)
 #: Bins of the Pareto rank within a source, and as many for certain documents: the running sum goes bin by bin.
@@ -72,7 +72,9 @@ def pareto_mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
     """
     token = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     rows = docs.select("doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"), n_words(F.col("text")).cast("long").alias("size"), F.substring(token, 1, 12).alias("token"), *keep)
-    sizes = stored(rows.groupBy("no_source", "name", "size").agg(F.count(F.lit(1)).alias("many")))
+    # a row for each length of a source: few tasks write it
+    few = max(8, partitions(docs.sparkSession) // 16)
+    sizes = stored(rows.groupBy("no_source", "name", "size").agg(F.count(F.lit(1)).alias("many")).coalesce(few))
     # one row per source
     sources = sizes.groupBy("no_source", F.col("name").alias("source")).agg(F.sum(F.col("size") * F.col("many")).alias("source_size"), F.sum("many").alias("docs"))
     aim = targets(sources, share, weights, most).select(
@@ -80,8 +82,7 @@ def pareto_mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
     )
     # written, so that its size is known: few sources are broadcast, more are joined by a shuffle
-    aim = stored(aim.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    aim = stored(solved(sizes, aim))
+    aim = stored(solved(sizes, aim.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))).coalesce(few))
     joined = rows.join(aim, (F.col("no_source") == F.col("aim_none")) & (F.col("name") == F.col("aim_name")))
     u = (F.conv("token", 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
     ranked = joined.withColumn("u", u).withColumn("p", F.least(F.lit(1.0), F.col("scale") * lean(F.col("size"), F.col("docs"), F.col("source_size"))))
