@@ -58,6 +58,9 @@ def _secure_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else _secure(v))
 
 
+_secure_udf = _secure_udf.asNondeterministic()  # so that it stays out of join conditions
+
+
 def secure_payload(digits: list[str]) -> str:
     """Fields as the digits of a secure code, for tests and fixtures."""
     return str(int.from_bytes(gzip.compress("\xff".join([*digits, ""]).encode("latin-1"), mtime=0), "big"))
@@ -96,7 +99,8 @@ def compared(codes: DataFrame, pages: DataFrame) -> DataFrame:
     """
     keys = codes.sparkSession.createDataFrame([(k, i, label) for k, labels in KEYS.items() for i, label in enumerate(labels)], "key string, place int, label string")  # fixed
     kinds = pages.select("claim", "document", "page", K.pane_type(F.col("text")).alias("type")).where("type is not null")
-    entries = codes.withColumn("readable", readable(F.col("value"))).select("claim", "document", "page", F.posexplode(payload(F.col("readable"))).alias("k", "e")).select("claim", "document", "page", "k", "e.key", F.col("e.value").alias("code_value"))
+    codes = codes if "readable" in codes.columns else codes.withColumn("readable", readable(F.col("value")))
+    entries = codes.select("claim", "document", "page", F.posexplode(payload(F.col("readable"))).alias("k", "e")).select("claim", "document", "page", "k", "e.key", F.col("e.value").alias("code_value"))
     fields = E.panes(pages).where("value is not null").withColumnRenamed("value", "page_value")
     met = entries.join(kinds, ["claim", "document", "page"]).join(F.broadcast(keys), "key").join(fields, ["claim", "document", "type", "label"])
     one = met.withColumn("r", F.row_number().over(Window.partitionBy("claim", "document", "page", "key").orderBy("place"))).where("r = 1")
@@ -107,8 +111,8 @@ def compared(codes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def foreign_chassis(value: Column, vin: Column) -> Column:
-    """The chassis of a new car's code that isn't the claim's; null else. The last six must agree exactly."""
-    entries = payload(readable(value))
+    """The chassis of a new car's readable code that isn't the claim's; null else. The last six must agree exactly."""
+    entries = payload(value)
     get = lambda *keys: F.get(F.filter(entries, lambda e: e["key"].isin(*keys)), F.lit(0))["value"]
     chassis, registration = get("chassisno", "chassis"), get("regno", "regnno", "registrationno", "registrationnumber")
     own = (F.right(T.id_form(chassis), F.lit(6)) == F.right(T.id_form(vin), F.lit(6))) & S.same_id(chassis, vin)
@@ -123,10 +127,11 @@ def findings(codes: DataFrame, pages: DataFrame, claims: DataFrame, scans: DataF
     """
     t = F.lit(None).cast("string")
     row = lambda rows, code, severity, value=t: rows.select("claim", "document", "page", F.lit(code).alias("code"), F.lit(severity).alias("severity"), value.alias("value"))
-    opaque = readable(F.col("value")).isNull()
+    codes = codes.withColumn("readable", readable(F.col("value")))
+    opaque = F.col("readable").isNull()
     out = row(codes.where(~opaque), "QR_FOUND", "INFO", F.col("value")).unionByName(row(codes.where(opaque), "QR_ENCRYPTED_PAYLOAD", "INFO"))
     out = out.unionByName(row(compared(codes, pages).where("not matches"), "QR_FIELD_MISMATCH", "ERROR", F.concat_ws(": ", "label", F.concat_ws(" / ", "code_value", "page_value"))))
-    met = codes.join(claims.select("claim", "vin"), "claim").withColumn("foreign", foreign_chassis(F.col("value"), F.upper("vin"))).where("foreign is not null")
+    met = codes.join(claims.select("claim", "vin"), "claim").withColumn("foreign", foreign_chassis(F.col("readable"), F.upper("vin"))).where("foreign is not null")
     out = out.unionByName(row(met, "QR_FIELD_MISMATCH", "ERROR", F.col("foreign")))
     docs = scans.withColumn("page", F.lit(None).cast("int"))
     bare = docs.join(codes.select("claim", "document").distinct(), ["claim", "document"], "left_anti")

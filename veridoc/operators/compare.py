@@ -168,9 +168,10 @@ def relative_findings(pages: DataFrame, claims: DataFrame) -> DataFrame:
     """Owners of old cars who aren't the customer and whose cards aren't in the claim."""
     met = pages.where("type = 'RC'").join(claims.select("claim", "vin", "customer"), "claim")
     other = ~F.exists(E.chassis_candidates(F.col("text")), lambda c: S.same_chassis(c, F.upper("vin"))) & ~F.col("text").rlike(TEMPORARY)
-    owners = met.where(other).select("claim", "document", "page", "customer", E.owner_of_rc(F.col("text")).alias("owner")).where("owner is not null").where(~S.same_name(F.col("customer"), F.col("owner")))
+    owners = met.where(other).select("claim", "document", "page", "customer", E.owner_of_rc(F.col("text")).alias("owner")).where("owner is not null")
+    owners = owners.withColumn("same", S.same_name(F.col("customer"), F.col("owner"))).where("not same").drop("same")
     cards = pages.where("card is not null").select("claim", F.explode(E.both(E.names(F.col("text")), F.array_compact(F.array(E.name_under(F.col("text"), r"(?<!father's |mother's )name"), E.name_above(F.col("text"), r"\bdob\b|date\s*of\s*birth"))))).alias("name")).distinct()
-    seen = owners.join(cards, "claim").where(S.same_name(F.col("owner"), F.col("name"))).select("claim", "document", "page").distinct()
+    seen = owners.join(cards, "claim").withColumn("same", S.same_name(F.col("owner"), F.col("name"))).where("same").select("claim", "document", "page").distinct()
     return _finding(owners.join(seen, ["claim", "document", "page"], "left_anti"), "CROSS_RELATION_KYC_MISMATCH", F.col("customer"), F.col("owner"))
 
 

@@ -76,7 +76,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     after = lambda label, value: F.concat(F.lit(label), value)
     holder = name(k)
     other = name(k + 9)
-    invoice = lines("TAX INVOICE", after("Invoice No: INV-", k.cast("string")), "Invoice Date: 05/06/2024", after("Bill To : ", holder), after("Chassis No: ", when(23, 8, vin(k + 5000), F.col("vin"))), after("Engine No: ENG", digits(k, 7)), "Model: SWIFT VXI", after("Auth. ", when(47, 14, "Sing", "Sign")))
+    invoice = lines("TAX INVOICE", after("Invoice No: INV-", k.cast("string")), "Invoice Date: 05/06/2024", after("Bill To : ", holder), after("Chassis No: ", when(23, 8, vin(k + 5511), F.col("vin"))), after("Engine No: ENG", digits(k, 7)), "Model: SWIFT VXI", after("Auth. ", when(47, 14, "Sing", "Sign")))
     nominee = when(31, 10, "Mrs. 42 SPOUSE", F.concat(F.lit("Mrs. "), pick(GIVEN, k), F.lit(" 42 SPOUSE")))
     policy = lines("POLICY SCHEDULE", "Reliance General Insurance Company Limited", after("Policy No: ", F.col("policy")), after("Insured's Name: ", when(29, 9, other, holder)), "Premium 12000", after("Chassis No: ", F.col("vin")), after("Engine No: ENG", digits(k, 7)), "Model: SWIFT VXI BS6", after("Regn. No. : ", F.col("plate")), "Name of the Nominee Age Relationship with Nominee", nominee, "Vehicle details")
     rc = lines("CERTIFICATE OF REGISTRATION", "Registering Authority PUNE", after("Regn. Number: ", F.col("plate")), after("Owner Name: ", holder), after("Chassis No: ", F.col("vin")))
