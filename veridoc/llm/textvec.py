@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
