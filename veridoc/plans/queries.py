@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, checks, lists, scalars  # noqa: F401  (they register their queries)
+from . import changes, checks, lists, scalars, stores  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES, Query, query, table
 
 __all__ = ["ORACLE", "QUERIES", "Query", "query", "table"]

@@ -1 +1 @@
-"""Part of the library; see the modules."""
+"""Readers and writers: folders of files, observation sheets, report tables, logs and dumps."""

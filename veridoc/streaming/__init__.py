@@ -1 +1 @@
-"""Part of the library; see the modules."""
+"""Requests and documents as they come."""
