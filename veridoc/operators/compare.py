@@ -171,8 +171,9 @@ def relative_findings(pages: DataFrame, claims: DataFrame) -> DataFrame:
     owners = met.where(other).select("claim", "document", "page", "customer", E.owner_of_rc(F.col("text")).alias("owner")).where("owner is not null")
     owners = owners.withColumn("same", S.same_name(F.col("customer"), F.col("owner"))).where("not same").drop("same")
     cards = pages.where("card is not null").select("claim", F.explode(E.both(E.names(F.col("text")), F.array_compact(F.array(E.name_under(F.col("text"), r"(?<!father's |mother's )name"), E.name_above(F.col("text"), r"\bdob\b|date\s*of\s*birth"))))).alias("name")).distinct()
-    seen = owners.join(cards, "claim").withColumn("same", S.same_name(F.col("owner"), F.col("name"))).where("same").select("claim", "document", "page").distinct()
-    return _finding(owners.join(seen, ["claim", "document", "page"], "left_anti"), "CROSS_RELATION_KYC_MISMATCH", F.col("customer"), F.col("owner"))
+    met = owners.join(cards, "claim", "left").withColumn("same", S.same_name(F.col("owner"), F.col("name")) & F.col("name").isNotNull())
+    unseen = met.groupBy("claim", "document", "page", "customer", "owner").agg(F.max("same").alias("seen")).where("not seen")
+    return _finding(unseen, "CROSS_RELATION_KYC_MISMATCH", F.col("customer"), F.col("owner"))
 
 
 def old_car_name_findings(pages: DataFrame, claims: DataFrame) -> DataFrame:
