@@ -28,11 +28,12 @@ _powers: dict[str, np.ndarray] = {}
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+        # a slice ends after the text that fills it, so most are within twice its size
+        size = max(n, 2 * SLICE_BYTES)
         out = np.full(size, _BASE if which == "up" else _INV, np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if size == SLICE_BYTES + 1:
+        if size == 2 * SLICE_BYTES:
             _powers[which] = have
     return have[:n]
 
