@@ -66,6 +66,33 @@ def test_sharding(spark, docs, rows):
     assert sum(a[i] != b[i] for i in a) < 0.5 * len(a) and max(Counter(a.values()).values()) <= math.ceil(4000 * 1.25 / 8)
 
 
+@pytest.mark.parametrize("slack", [0.0, 0.25])
+def test_ring_against_a_walk(spark, slack):
+    """Row by row along the ring: each to its first shard clockwise that isn't full, rounds and cells in order."""
+    rows = spark.range(3000).select(F.col("id").alias("i"), F.xxhash64(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700)).alias("h"), F.xxhash64("id").alias("s"))
+    got = {r["i"]: (r["home_shard"], r["shard"], r["slot"]) for r in sharding.bounded_ring(rows, F.col("h"), F.col("s"), [F.col("i")], range(7), slack=slack).collect()}
+    arcs, prefer = sharding.ring(range(7), 16)
+    walk = []
+    for r in rows.collect():
+        arc = arcs[r["h"] % sharding.POSITIONS]
+        cell = ((r["h"] >> 20) % sharding.CHUNKS * len(prefer) + arc) * sharding.SPREAD + r["s"] % sharding.SPREAD
+        walk.append((cell, r["h"], r["i"], arc))
+    walk.sort()
+    room = [3000 // 7 + (k < 3000 % 7) if not slack else math.ceil(3000 * (1 + slack) / 7) for k in range(7)]
+    free, want, left = list(room), {}, walk
+    for turn in range(7):
+        full = []
+        for cell, h, i, arc in left:
+            shard = prefer[arc][turn]
+            if free[shard]:
+                want[i] = (prefer[arc][0], shard, room[shard] - free[shard])
+                free[shard] -= 1
+            else:
+                full.append((cell, h, i, arc))
+        left = full
+    assert not left and got == want
+
+
 def test_mixing(spark, docs, rows):
     out = mixing.pareto_mix(docs).collect()
     sizes = defaultdict(int)

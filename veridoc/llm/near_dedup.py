@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .textvec import Texts, mix, over
+from .textvec import Texts, give_back, mix, over
 
 BANDS = 40
 ROWS = 5
@@ -112,6 +112,7 @@ def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                 shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
                 on[k] = 100 * shared >= percent * (len(a) + len(b) - shared)
             yield batch.select(["x", "y"]).filter(pa.array(on))
+        give_back()
 
     one = items.select(F.col("id").alias("x"), F.col("items").alias("xs"))
     two = items.select(F.col("id").alias("y"), F.col("items").alias("ys"))

@@ -6,6 +6,7 @@ so the cost per byte is some nanoseconds and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -129,6 +130,14 @@ def parts(texts: list[str]) -> Iterator[pa.Array]:
         yield part.column(0)
 
 
+def give_back() -> None:
+    """Memory that this process has freed but still holds goes back to the system: workers wait for their next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def over(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text") -> Callable:
     """For mapInArrow: work on each slice of each batch."""
 
@@ -138,5 +147,8 @@ def over(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str =
                 out = work(part)
                 if out is not None:
                     yield out
+                del out
+            # most of a worker's memory was this batch's
+            give_back()
 
     return run
