@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, cotraining, fingerprints, licenses, mixing, near_dedup, packing, quality_rules, sharding, token_counts
+from . import attention_lm, chat_format, cotraining, fingerprints, licenses, mixing, near_dedup, packing, periodic_runs, prefix_trie, quality_rules, sharding, token_counts
 from .common import read
 
 
@@ -31,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": lambda spark, d: token_counts.token_counts(read(spark, d, "documents"), tokenizer("byte_bpe_50k.json")),
     "op9_bin_completion": lambda spark, d: packing.pack_documents(read(spark, d, "documents"), tokenizer("word_bpe_49k.json")),
     "op10_license_join": lambda spark, d: licenses.license_labels(read(spark, d, "documents")),
+    "op11_periodic_runs": lambda spark, d: periodic_runs.run_digests(periodic_runs.collapse_runs(periodic_runs.with_periods(read(spark, d, "documents")))),
+    "op12_prefix_trie": lambda spark, d: prefix_trie.prefix_trie(read(spark, d, "conversations")),
+    "op13_chat_format": lambda spark, d: chat_format.read_back(chat_format.format_chats(chat_format.with_tricky(read(spark, d, "conversations")))),
 }
 
 WORDS = r"[^\x20\x09-\x0D]+"
