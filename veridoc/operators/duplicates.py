@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import extraction as E
+from . import relational as R
 
 #: Fields that fail a claim when shared, and those that are only shown.
 HARD = ["ACCOUNT_NO", "RECEIPT_NO", "APPLICATION_NO", "EMP_CODE", "VEHICLE_NO", "ADDRESS", *E.IDENTIFIERS]
@@ -40,42 +41,43 @@ def field_index(values: DataFrame) -> DataFrame:
     return values.withColumn("k", F.row_number().over(first)).where("k = 1").select("claim", "field", "norm", F.substring("value", 1, 255).alias("value"), "document", "page")
 
 
-def shared(index: DataFrame, claims: DataFrame) -> DataFrame:
-    """Values of active claims (claim, scope, status) that several of a scope have: scope, field, norm, claims, n_claims.
+def owned(index: DataFrame, claims: DataFrame) -> DataFrame:
+    """Values of active claims (claim, scope, status): scope, field, norm, claims, n_claims.
 
     claims: the first LISTED + 1 of them in order, so that each finds LISTED others in it.
     """
-    active = index.join(claims.where("status = 'ACTIVE'").select("claim", "scope"), "claim").select("scope", "field", "norm", "claim").distinct()
-    ranked = active.withColumn("k", F.row_number().over(Window.partitionBy("scope", "field", "norm").orderBy("claim")))
-    out = ranked.groupBy("scope", "field", "norm").agg(F.sort_array(F.collect_list(F.when(F.col("k") <= LISTED + 1, F.col("claim")))).alias("claims"), F.count(F.lit(1)).alias("n_claims"))
-    return out.where("n_claims > 1")
+    active = index.join(claims.where("status = 'ACTIVE'").select("claim", "scope"), "claim")
+    out = R.owned_values(active, ["scope", "field", "norm"], "claim", LISTED + 1)
+    return out.select("scope", "field", "norm", F.col("owners").alias("claims"), F.col("n_owners").alias("n_claims"))
 
 
-def findings(values: DataFrame, claims: DataFrame) -> DataFrame:
-    """claim, document, page, code, severity, value, others (at most LISTED claims), n_others.
+def shared(index: DataFrame, claims: DataFrame) -> DataFrame:
+    """As owned, only what several active claims of a scope have."""
+    return owned(index, claims).where("n_claims > 1")
 
-    One finding for a value of a claim, at its first place; a card's number has one on each page that prints it. A claim
-    that isn't active sees the active ones and isn't seen by them.
-    """
+
+def value_findings(values: DataFrame, claims: DataFrame) -> DataFrame:
+    """As findings, with field and norm."""
     index = field_index(values)
-    met = index.join(claims.select("claim", "scope", "status"), "claim").join(shared_or_single(index, claims), ["scope", "field", "norm"])
+    met = R.spread_join(index.join(claims.select("claim", "scope", "status"), "claim"), owned(index, claims), ["scope", "field", "norm"], "n_claims")
     own = F.when(F.col("status") == "ACTIVE", 1).otherwise(0)
     met = met.withColumn("n_others", F.col("n_claims") - own).where("n_others > 0").withColumn("others", F.slice(F.array_remove("claims", F.col("claim")), 1, LISTED))
     severity = F.when(F.col("field").isin(*HARD), "ERROR").otherwise("WARNING")
     out = met.select("claim", "document", "page", F.concat(F.lit("DUP_"), "field").alias("code"), severity.alias("severity"), "value", "others", "n_others", "field", "norm")
     cards = values.where(F.col("field").isin(*E.CARD_NUMBERS)).select("claim", "field", "norm", F.col("document").alias("d"), F.col("page").alias("p"), F.col("value").alias("v")).distinct()
-    again = out.join(cards, ["claim", "field", "norm"]).where(~((F.col("d") == F.col("document")) & F.col("p").eqNullSafe(F.col("page"))))
+    again = out.where(F.col("field").isin(*E.CARD_NUMBERS)).join(cards, ["claim", "field", "norm"]).where(~((F.col("d") == F.col("document")) & F.col("p").eqNullSafe(F.col("page"))))
     again = again.select("claim", F.col("d").alias("document"), F.col("p").alias("page"), "code", "severity", F.col("v").alias("value"), "others", "n_others", "field", "norm")
-    return out.unionByName(again).drop("field", "norm")
+    return out.unionByName(again)
+
 
+def findings(values: DataFrame, claims: DataFrame) -> DataFrame:
+    """claim, document, page, code, severity, value, others (at most LISTED claims), n_others.
 
-def shared_or_single(index: DataFrame, claims: DataFrame) -> DataFrame:
-    """As shared, and also the values that one active claim alone has, for claims that aren't active."""
-    if claims.where("status <> 'ACTIVE'").limit(1).count() == 0:
-        return shared(index, claims)
-    active = index.join(claims.where("status = 'ACTIVE'").select("claim", "scope"), "claim").select("scope", "field", "norm", "claim").distinct()
-    ranked = active.withColumn("k", F.row_number().over(Window.partitionBy("scope", "field", "norm").orderBy("claim")))
-    return ranked.groupBy("scope", "field", "norm").agg(F.sort_array(F.collect_list(F.when(F.col("k") <= LISTED + 1, F.col("claim")))).alias("claims"), F.count(F.lit(1)).alias("n_claims"))
+    One finding for a value of a claim, at its first place; a card's number has one on each page that prints it. A claim
+    that isn't active sees the active ones and isn't seen by them. values are used several times, so whoever reads them
+    from pages stores them first.
+    """
+    return value_findings(values, claims).drop("field", "norm")
 
 
 def verdicts(claims: DataFrame, found: DataFrame) -> DataFrame:

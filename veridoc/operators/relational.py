@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 # ---- filters -----------------------------------------------------------------------------------------------------
 
 
@@ -183,28 +185,56 @@ def kth_matches(left: DataFrame, right: DataFrame, group: Sequence[str], order_l
 def serial_numbers(rows: DataFrame, order: Sequence[str], name: str = "s_no", chunks: int = 64) -> DataFrame:
     """Rows numbered from 1 in a total order: within ranges of it, and then by what the ranges before have.
 
-    No window goes over the whole table; rows of one range are numbered together.
+    No window goes over the whole table; rows of one range are numbered together. The placed rows are stored, so that
+    both their numbers and the ranges' sizes come of the same cut.
     """
-    placed = rows.repartitionByRange(chunks, *order).withColumn("serial_part", F.spark_partition_id())
+    placed = stored(rows.repartitionByRange(chunks, *order).withColumn("serial_part", F.spark_partition_id()))
     within = placed.withColumn("serial_rank", F.row_number().over(Window.partitionBy("serial_part").orderBy(*order)))
-    sizes = within.groupBy("serial_part").agg(F.max("serial_rank").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.serial_part") < F.col("a.serial_part"), "left").groupBy("a.serial_part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("serial_before"))  # a row per range
+    # a row per range
+    sizes = placed.groupBy("serial_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("serial_part", F.coalesce(F.sum("n").over(Window.orderBy("serial_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("serial_before"))
     return within.join(F.broadcast(before), "serial_part").withColumn(name, (F.col("serial_before") + F.col("serial_rank")).cast("long")).drop("serial_part", "serial_rank", "serial_before")
 
 
 # ---- aggregates --------------------------------------------------------------------------------------------------
 
 
+def owned_values(rows: DataFrame, group: Sequence[str], owner: str, most: int) -> DataFrame:
+    """Of each value (group columns) its distinct owners: owners, the first `most` ascending, and n_owners.
+
+    In two phases, so that a value of very many owners is no task's load: each task counts its owners and keeps its
+    first `most` of each value (a bound on a row number goes before the shuffle), and only these meet.
+    """
+    distinct = rows.select(*group, owner).where(F.col(owner).isNotNull()).distinct()
+    counted = distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("n_owners"))
+    ranked = distinct.withColumn("owner_rank", F.row_number().over(Window.partitionBy(*group).orderBy(owner))).where(F.col("owner_rank") <= most)
+    listed = ranked.groupBy(*group).agg(F.sort_array(F.collect_list(owner)).alias("owners"))
+    return counted.join(listed, list(group))
+
+
 def shared_values(rows: DataFrame, group: Sequence[str], owner: str, most: int = 20) -> DataFrame:
     """Values that several owners share: group columns, owners (the first `most`, ascending) and n_owners.
 
-    Grouped instead of joined with itself, so a value of many owners makes one row. One window ranks the distinct owners
-    of a value, and one grouping counts them all and lists the first, so no list grows beyond `most`.
+    Grouped instead of joined with itself, so a value of many owners makes one row.
     """
-    distinct = rows.select(*group, owner).where(F.col(owner).isNotNull()).distinct()
-    ranked = distinct.withColumn("owner_rank", F.row_number().over(Window.partitionBy(*group).orderBy(owner)))
-    out = ranked.groupBy(*group).agg(F.sort_array(F.collect_list(F.when(F.col("owner_rank") <= most, F.col(owner)))).alias("owners"), F.count(F.lit(1)).alias("n_owners"))
-    return out.where("n_owners > 1")
+    return owned_values(rows, group, owner, most).where("n_owners > 1").select(*group, "owners", "n_owners")
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, share: int = 1000) -> DataFrame:
+    """Inner join with a table that has one row for each key and says in weight how many rows of left have it.
+
+    Keys with more than one in `share` of all these rows, which are fewer than `share` keys, are broadcast; the rows that
+    they find are then spread by all their columns, so that no key of the shuffled part is larger than that.
+    """
+    rest = [c for c in right.columns if c not in on]
+    total = right.agg(F.sum(weight).alias("_total"))
+    marked = right.crossJoin(F.broadcast(total))  # one row
+    large = F.col(weight) * share > F.col("_total")
+    hot = marked.where(large).select(*on, F.struct(*rest).alias("_hot"))
+    met = left.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.xxhash64(*left.columns)))
+    cold = marked.where(~large).select(*on, F.struct(*rest).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
+    out = met.join(cold, [*on, "_salt"], "left").withColumn("_met", F.coalesce("_hot", "_cold")).where(F.col("_met").isNotNull())
+    return out.select(*[out[c] for c in left.columns], *[F.col(f"_met.{c}").alias(c) for c in rest])
 
 
 def first_of(rows: DataFrame, key: Sequence[str], order: Sequence[str], again: str) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,22 +10,13 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from ..sources import files as S
 from ..sources import sheets
+from ..sources.scratch import own_folder
 from ..streaming import queue
 from .registry import query, table
 
 c = F.col
 
 
-def own_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="veridoc-")
-    return f"{shared.rstrip('/')}/stores-{uuid.uuid4().hex}"
-
-
 TREE = ["CLAIM000001/invoice.pdf", "CLAIM000001/panCard.png", "batch/CLAIM000002/a.txt", "batch/loose-CLAIM3.pdf", "CLAIM000009.pdf", "short.pdf", "a/b/c/d/e/f/CLAIM000007/x.pdf", "          .pdf"]
 
 

@@ -29,6 +29,23 @@ def read_sheet(spark: SparkSession, path: str, headers: Mapping[str, str] = HEAD
     return numbered.select("row", *[cell_text(F.col(f"`{found[key(h)]}`")).alias(c) for c, h in headers.items()])
 
 
+def observations(spark: SparkSession, path: str, headers: Mapping[str, str] = HEADERS) -> DataFrame:
+    """Observation workbooks below a path: file, row, problem and the columns of headers; at most MOST_ROWS rows of a sheet.
+
+    A file that is no workbook, lacks a column or has too many rows gives a row 0 that says so. A claim's first row of a
+    workbook counts, in the order of the sheet.
+    """
+    from pyspark.sql import Window
+
+    from . import workbooks
+
+    rows = workbooks.read_workbooks(spark, path, dict(headers), key="claimId", most=MOST_ROWS)
+    again = F.row_number().over(Window.partitionBy("file", "claimId").orderBy("row")) > 1
+    dated = F.col("invoiceDate").isNotNull() & cell_date(F.col("invoiceDate")).isNull()
+    more = F.when(dated, f"{headers['invoiceDate']} is no date").when(F.col("claimId").isNotNull() & again, f"{headers['claimId']} stands in an earlier row")
+    return rows.withColumn("problem", F.coalesce("problem", more))
+
+
 def cell_text(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(c, r"[ \s]+", " ")), F.lit(""))
 
