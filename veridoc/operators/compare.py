@@ -2,18 +2,18 @@
 
 Pages are (claim, document, page, text, card, type). Findings: claim, document, page, code, severity, expected, actual.
 Values of a claim are few, and their comparison isn't transitive, so they are clustered greedily, claim by claim and
-field by field, in tasks; reading, comparing keys, set-aside pages and findings are joins and expressions.
+field by field, by a fold over the distinct values; all else is joins and expressions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..functions import similarity as S
 from ..functions import text as T
+from ..sources.scratch import stored
 from . import classification as K
 from . import extraction as E
 
@@ -36,9 +36,9 @@ def page_fields(pages: DataFrame) -> DataFrame:
     return rows.where(F.array_contains(F.try_element_at(allowed, F.col("field")), F.col("type")))
 
 
-def pair_matches(values: DataFrame) -> DataFrame:
-    """Distinct values of a claim's field compared once each: claim, field, a, b (a before b), same."""
-    one = values.select("claim", "field", "value").distinct()
+def pair_matches(firsts: DataFrame) -> DataFrame:
+    """Distinct values (claim, field, value) of a claim's field compared once each: claim, field, a, b (a before b), same."""
+    one = firsts.select("claim", "field", "value")
     pairs = one.withColumnRenamed("value", "a").join(one.withColumnRenamed("value", "b"), ["claim", "field"]).where("a < b")  # within a claim's field
     same = F.lit(True)
     for matcher in dict.fromkeys(S.MATCHERS.values()):
@@ -48,26 +48,29 @@ def pair_matches(values: DataFrame) -> DataFrame:
 
 
 def clusters(values: DataFrame) -> DataFrame:
-    """values with cluster: of a claim's field each value, in order of document and page, joins the first cluster whose first value it matches."""
-    pairs = pair_matches(values).where("same").groupBy("claim", "field").agg(F.collect_list(F.struct("a", "b")).alias("same"))
-    rows = values.join(pairs, ["claim", "field"], "left")
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["document", "page", "value"], kind="stable").reset_index(drop=True)
-        same = {(p["a"], p["b"]) for p in (group["same"][0] if group["same"][0] is not None else [])}
-        heads: list[str] = []
-        out = []
-        for v in group["value"]:
-            k = next((k for k, h in enumerate(heads) if h == v or (min(h, v), max(h, v)) in same), None)
-            if k is None:
-                k = len(heads)
-                heads.append(v)
-            out.append(k)
-        return group.drop(columns="same").assign(cluster=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in values.schema.fields}
-    columns = ["claim", "field", *[c for c in values.columns if c not in ("claim", "field")]]
-    return rows.select(*columns, "same").groupBy("claim", "field").applyInPandas(one, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", cluster int")
+    """values with cluster: of a claim's field each value, in order of document and page, joins the first cluster whose first value it matches.
+
+    Equal values join the same cluster, so only a claim's distinct values are gone through, and only where it has several.
+    """
+    key = ["claim", "field"]
+    firsts = values.groupBy(*key, "value").agg(F.min(F.struct("document", "page")).alias("at"))
+    lists = firsts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("listed")).where(F.size("listed") > 1)
+    pairs = pair_matches(firsts.join(lists.select(*key), key, "left_semi")).where("same").groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("same"))
+    none = F.array().cast("array<struct<a: string, b: string>>")
+    rows = lists.join(pairs, key, "left").select(*key, F.transform("listed", lambda x: x["value"]).alias("listed"), F.coalesce("same", none).alias("same"))
+
+    def heads_with(heads: Column, v: Column) -> Column:
+        match = F.exists(heads, lambda h: F.array_contains(F.col("same"), F.struct(F.least(h, v).alias("a"), F.greatest(h, v).alias("b"))))
+        return F.when(match, heads).otherwise(F.concat(heads, F.array(v)))
+
+    def own(v: Column) -> Column:
+        """The first head that v is or matches."""
+        fits = F.transform("heads", lambda h, i: F.when((h == v) | F.array_contains(F.col("same"), F.struct(F.least(h, v).alias("a"), F.greatest(h, v).alias("b"))), i))
+        return F.array_min(F.array_compact(fits))
+
+    rows = rows.withColumn("heads", F.reduce("listed", F.array().cast("array<string>"), heads_with))
+    several = rows.select(*key, F.explode(F.transform("listed", lambda v: F.struct(v.alias("value"), own(v).alias("cluster")))).alias("x")).select(*key, "x.*")
+    return values.join(several, [*key, "value"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(0))).select(*values.columns, "cluster")
 
 
 def set_aside(pages: DataFrame, claims: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def field_findings(pages: DataFrame, claims: DataFrame | None = None) -> DataFra
     With claims (claim, vin): pages of another car are set aside, and noted. Pages that couldn't be classified take part;
     what they say is a note but for the numbers of cars, and they are noted.
     """
-    values = page_fields(pages)
+    values = stored(page_fields(pages))  # used for sizes, pairs and findings
     notes = None
     if claims is not None:
         aside = set_aside(pages, claims)

@@ -12,6 +12,7 @@ from ..operators import duplicates as U
 from ..operators import extraction as E
 from ..operators import redflags as R
 from ..operators import spelling as L
+from ..sources.scratch import stored
 from . import papers as P
 from .registry import query, table
 
@@ -207,7 +208,7 @@ def r4_pairs_of_pages(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(*[F.struct(page.alias("page"), text.alias("text"), doc.alias("doc")) for page, text, doc in ((F.lit(1), front, F.lit(1)), (place, second, F.lit(1)), (F.lit(12), passport, F.lit(2)), (F.lit(13), stamp, F.lit(3)), (F.lit(20), again, F.lit(4)))])
     from ..operators.classification import classified
 
-    pages = classified(table(spark, d, "customer").select(k.alias("claim"), F.explode(rows).alias("p")).select("claim", (c("claim") * 10 + c("p.doc")).alias("document"), "p.page", "p.text"))
+    pages = stored(classified(E.dealt(table(spark, d, "customer").select(k.alias("claim"), F.explode(rows).alias("p"))).select("claim", (c("claim") * 10 + c("p.doc")).alias("document"), "p.page", "p.text")))
     lists = [R.mismatch_flags(pages), R.number_flags(pages), R.checksum_flags(pages), R.signature_flags(pages.where("page = 13"))]
     return P.joined([x.select("claim", "code") for x in lists])
 
@@ -239,7 +240,7 @@ def r5_files_and_pictures(spark: SparkSession, d: str) -> DataFrame:
 )
 def d_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """DUP: values shared with other active claims of the scope."""
-    found = U.findings(U.page_values(P.pages(spark, d)), P.claims(spark, d).select("claim", "scope", "status"))
+    found = U.findings(stored(U.page_values(P.pages(spark, d))), P.claims(spark, d).select("claim", "scope", "status"))
     fields = ["DUP_POLICY_NO", "DUP_ACCOUNT_NO", "DUP_EMP_CODE", "DUP_VEHICLE_NO", "DUP_DOB", "DUP_ADDRESS"]
     return found.where(c("code").isin(*fields)).select("claim", "code", "severity", "n_others")
 
@@ -248,7 +249,7 @@ def d_duplicates(spark: SparkSession, d: str) -> DataFrame:
 def d_duplicate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """All claims print one address, which fails them all."""
     claims = P.claims(spark, d).select("claim", "scope", "status")
-    return U.verdicts(claims, U.findings(U.page_values(P.pages(spark, d)), claims)).select("claim", "status")
+    return U.verdicts(claims, U.findings(stored(U.page_values(P.pages(spark, d))), claims)).select("claim", "status")
 
 
 @query("SELECT text_md5, n AS n_docs, doc_id FROM (SELECT md5(lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) AS text_md5, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
@@ -306,7 +307,7 @@ def x_cars_and_holders(spark: SparkSession, d: str) -> DataFrame:
     policy = F.when(k % 4 == 0, text("Premium\nInsured's Name: ASHA RAO\nRegn. No: MH12AB1234\nChassis No: ", old)).when(k % 4 == 2, text("Premium\nInsured's Name: ASHA RAO\nRegn. No: MH12AB1234\nChassis No: ", third)).when(k % 4 == 1, text("Premium\nInsured's Name: ASHA RAO\nRegistration No: New\nChassis No: ", third)).otherwise(text("Premium\nInsured's Name: ASHA RAO\nRegistration No: New\nChassis No: ", own))
     rows = F.array_compact(F.array(F.struct(F.lit(1).alias("page"), invoice.alias("text")), F.when(k % 2 == 0, F.struct(F.lit(2).alias("page"), rc.alias("text"))), F.struct(F.lit(3).alias("page"), policy.alias("text"))))
     base = table(spark, d, "customer")
-    pages = classified(base.select(k.alias("claim"), F.explode(rows).alias("p")).select("claim", (c("claim") * 10 + c("p.page")).alias("document"), "p.page", "p.text"))
+    pages = stored(classified(E.dealt(base.select(k.alias("claim"), F.explode(rows).alias("p"))).select("claim", (c("claim") * 10 + c("p.page")).alias("document"), "p.page", "p.text")))
     claims = base.select(k.alias("claim"), own.alias("vin"), F.when(k % 5 == 0, "RAVI KUMAR").otherwise("ASHA RAO").alias("customer"))
     relative = claims.withColumn("customer", F.concat(F.lit("ASHA RAO"), F.repeat("vin", 0)))
     lists = [C.field_findings(pages, claims), C.car_findings(pages, claims), C.invoice_owner_findings(pages, claims), C.relative_findings(pages, relative), C.old_car_name_findings(pages, claims), C.imported_name_findings(pages, claims), C.holder_findings(pages, claims)]
