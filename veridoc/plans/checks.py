@@ -101,7 +101,7 @@ _LABELS = [
     "Ration Card No: RC-123456789", "RATION CARD\nNo: 123456789012", "Marriage certificate\nRegistration Number :\nBNG-M-123/2020", "Ration Card\nMobile 9812345678", "policy no: OG-26-1021-\n00036132", "Certificate No ABC", "Customer GSTIN: 27AAPFU0939F1ZV",
 ]
 _FOUND = [
-    "FSSAI_NO=12345678901234", "PF_NO=MH/BAN/12345/678", "GPF_NO=AB/1234", "KGID_NO=123456", "PRAN=123456789012", "ESI_NO=3112345678901", "PENSION_NO=KR/BN/12345", "CERT_REG_NO=birth:12/2024", "", "RATION_CARD_NO=RC-123456789", "RATION_CARD_NO=123456789012", "CERT_REG_NO=marriage:BNG-M-123/2020", "",
+    "FSSAI_NO=12345678901234", "PF_NO=MH/BAN/12345/678", "GPF_NO=AB/1234", "KGID_NO=123456", "PRAN=123456789012", "ESI_NO=3112345678901", "PENSION_NO=KR/BN/12345", "CERT_REG_NO=12/2024", "", "RATION_CARD_NO=RC-123456789", "RATION_CARD_NO=123456789012", "CERT_REG_NO=BNG-M-123/2020", "",
     "POLICY_NO=OG-26-1021-00036132", "", "GSTIN=27AAPFU0939F1ZV",
 ]
 
@@ -114,6 +114,25 @@ def e7_labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(found, ",").alias("found"))
 
 
+_CERTIFICATES = {
+    "Certificate of Birth\nRegistration No: B-2020/0054321": "CERT_REG_NO=B-2020/0054321", "MARRIAGE REGISTRATION CERTIFICATE\nRegistation No: 418 xyz\nDate of Registration : 18/02/2023": "CERT_REG_NO=418 (marriage certificate)",
+    "Issued under the Registration of Births and Deaths Act\nRegistration No: 418\nDate of Registration: 18/02/2023": "", "MARRIAGE CERTIFICATE\nRegistration No: 12": "", "BIRTH CERTIFICATE\nRegistration No / Date of Registration : 09/02/2016": "",
+    "DEATH CERTIFICATE\nREGISTRATION NO: abc / DATE OF REGISTRATION:\nWXYZ-0202-000765432 12-09-2020": "CERT_REG_NO=WXYZ-0202-000765432", "BIRTH CERTIFICATE\nDATE OF REGISTRATION: | REGISTRATION NO:\n30-11-2018 5312018": "CERT_REG_NO=5312018",
+    "BIRTH CERTIFICATE\nRegistration No: 683 / 2018\nDate of Registration: 30-11-2018": "CERT_REG_NO=683/2018", "BIRTH CERTIFICATE\nCertificate: 7312018\nRegistration No   Date of Registration": "CERT_REG_NO=7312018",
+    "MARRIAGE CERTIFICATE\n11. Registration No.: 14. Date of Registration: 18/02/2023": "", "Vehicle details\nRegistration No: MH12AB9876": "", "CERTIFICATE OF MARRIAGE\nKey No. K09876543210987654321": "KEY_NO=K09876543210987654321",
+    "TAX INVOICE\nKey No. K09876543210987654321": "", "BIRTH CERTIFICATE\nKey No: AB12": "", "BIRTH CERTIFICATE\nSchool Registration No: 99887": "", "BIRTH CERTIFICATE\nRegistration No: 2018-11-30": "",
+    "MARRIAGE CERTIFICATE\nRegistration No. 418 of 2023\nDate of issue: 1/2/2023": "CERT_REG_NO=418/2023", "BIRTH CERTIFICATE\nRegistration No: NA\n14/121 Some Town": "",
+}
+
+
+@query(f"SELECT p_partkey, {sql_words(list(_CERTIFICATES.values()), 'p_partkey')} AS found FROM part")
+def e7_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """Registration and key numbers of civil certificates in one and two columns, stated by hand."""
+    t = F.element_at(F.lit(list(_CERTIFICATES)), (c("p_partkey") % len(_CERTIFICATES)).cast("int") + 1)
+    found = F.array_sort(F.transform(E.value_rows({k: v for k, v in E.identifiers(t).items() if k in ("CERT_REG_NO", "KEY_NO")}), lambda v: F.concat(v["field"], F.lit("="), v["value"])))
+    return table(spark, d, "part").select("p_partkey", F.array_join(found, ",").alias("found"))
+
+
 @query(f"WITH {CLAIMS} SELECT k AS claim, CASE WHEN k % 23 = 8 THEN 'WVE1RTY2UKP' || lpad((k + 5511)::VARCHAR, 6, '0') ELSE vin END AS candidate, 1 AS vins, pan FROM c")
 def e6_cars_e9_cards(spark: SparkSession, d: str) -> DataFrame:
     """The invoice's chassis, and what the PAN card says."""
