@@ -36,18 +36,28 @@ CLAIMS = f"""c AS (SELECT c_custkey AS k, {sql_name('c_custkey')} AS name, {sql_
     || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || CASE WHEN c_custkey % 19 = 7 THEN '' ELSE chr((65 + (c_custkey // 26) % 26)::INT) END AS pan FROM customer)"""
 
 
+#: Numbers with a computed check digit, without it.
+_UID = "lpad((20000000000 + k * 7919)::VARCHAR, 11, '0') || '?'"
+_GSTIN = "'27AAPFU' || lpad((k % 10000)::VARCHAR, 4, '0') || 'F1Z?'"
+
+
+def masked(value):  # noqa: ANN001, ANN201
+    """All but the last sign."""
+    return F.regexp_replace(value, r".\z", "?")
+
+
 # ---- extraction --------------------------------------------------------------------------------------------------
 
 
 @query(
     f"WITH {CLAIMS} SELECT DISTINCT * FROM (SELECT k AS claim, 'POLICY_NO' AS field, policy AS value FROM c UNION ALL SELECT k, 'PAN', pan FROM c WHERE substr(pan, 4, 1) = 'P' AND length(pan) = 10 UNION ALL SELECT k, 'DL_NO', 'MH122011' || lpad(k::VARCHAR, 7, '0') FROM c WHERE k % 4 = 1 AND k % 12 <> 5 "
     "UNION ALL SELECT k, 'PASSPORT_NO', passport FROM c WHERE k % 5 = 0 UNION ALL SELECT k, 'VOTER_ID', epic FROM c WHERE k % 4 = 2 UNION ALL SELECT k, 'VOTER_ID', 'ABC' || (1999999 - k) FROM c WHERE k % 12 = 6 "
-    "UNION ALL SELECT k, 'UDYAM_NO', 'UDYAM-MH-12-' || lpad(k::VARCHAR, 7, '0') FROM c WHERE k % 6 = 3 AND k % 12 <> 9 UNION ALL SELECT k, 'POLICY_NO', 'UDYAM-MH-12-' || lpad(k::VARCHAR, CASE WHEN k % 12 = 9 THEN 6 ELSE 7 END, '0') FROM c WHERE k % 6 = 3 UNION ALL SELECT k, 'UAN', '1012' || lpad((k % 10000)::VARCHAR, 4, '0') || lpad((k // 10000 % 10000)::VARCHAR, 4, '0') FROM c)"
+    f"UNION ALL SELECT k, 'UDYAM_NO', 'UDYAM-MH-12-' || lpad(k::VARCHAR, 7, '0') FROM c WHERE k % 6 = 3 AND k % 12 <> 9 UNION ALL SELECT k, 'POLICY_NO', 'UDYAM-MH-12-' || lpad(k::VARCHAR, CASE WHEN k % 12 = 9 THEN 6 ELSE 7 END, '0') FROM c WHERE k % 6 = 3 UNION ALL SELECT k, 'UAN', '1012' || lpad((k % 10000)::VARCHAR, 4, '0') || lpad((k // 10000 % 10000)::VARCHAR, 4, '0') FROM c UNION ALL SELECT k, 'AADHAAR', {_UID} FROM c UNION ALL SELECT k, 'GSTIN', {_GSTIN} FROM c WHERE k % 10 = 8)"
 )
 def e7_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiers of all pages, also the number under a CERTIFICATE heading, which counts as a policy's; those with a computed check digit are left to c1_checks and e10."""
+    """Identifiers of all pages, also the number under a CERTIFICATE heading, which counts as a policy's; check digits are masked and left to c1_checks and e10."""
     rows = P.pages(spark, d).select("claim", F.explode(E.value_rows(E.identifiers(c("text")))).alias("v")).select("claim", "v.field", "v.value").distinct()
-    return rows.where(~c("field").isin("AADHAAR", "GSTIN"))
+    return rows.withColumn("value", F.when(c("field").isin("AADHAAR", "GSTIN"), masked(c("value"))).otherwise(c("value")))
 
 
 @query(f"WITH {CLAIMS} SELECT k AS claim, k % 9 <> 2 AS checks, k % 10 = 8 AS gstin FROM c")
@@ -77,7 +87,7 @@ def e1_fields(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CLAIMS} SELECT k AS claim, 'NAME' AS field, name AS value FROM c UNION SELECT k, 'NAME', {_OTHER} FROM c WHERE k % 29 = 9")
 def e2_names(spark: SparkSession, d: str) -> DataFrame:
     """customers' names on invoices, policies, registrations and payslips."""
-    rows = P.pages(spark, d).where("page <= 4").select("claim", F.lit("NAME").alias("field"), F.explode(E.names(c("text"))).alias("value"))
+    rows = P.pages(spark, d).select("claim", F.lit("NAME").alias("field"), F.explode(E.names(c("text"))).alias("value"))
     return rows.distinct()
 
 
@@ -143,25 +153,28 @@ def e6_cars_e9_cards(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"WITH {CLAIMS} SELECT k AS claim, 'INVOICE' AS type, 'Customer Name' AS label, name AS value FROM c UNION ALL SELECT k, 'INVOICE', 'Invoice No', 'INV-' || k FROM c UNION ALL SELECT k, 'INVOICE', 'Invoice Date', '05/06/2024' FROM c UNION ALL SELECT k, 'INSURANCE', 'Policy No', policy FROM c "
     f"UNION ALL SELECT k, 'INSURANCE', 'Insured''s Name', CASE WHEN k % 29 = 9 THEN {_OTHER} ELSE name END FROM c UNION ALL SELECT k, 'PAN', 'Holder Name', name FROM c UNION ALL SELECT k, 'PAN', 'Father''s Name', 'BALA ' || family FROM c "
-    "UNION ALL SELECT k, 'AADHAR', 'Gender', 'MALE' FROM c UNION ALL SELECT k, 'AADHAR', 'Holder Name', name FROM c UNION ALL SELECT k, 'AADHAR', 'Date of Birth', '05/11/1994' FROM c UNION ALL SELECT k, 'PAN', 'Mother''s Name', NULL FROM c"
+    "UNION ALL SELECT k, 'AADHAR', 'Gender', 'MALE' FROM c UNION ALL SELECT k, 'AADHAR', 'Holder Name', name FROM c UNION ALL SELECT k, 'AADHAR', 'Date of Birth', '05/11/1994' FROM c UNION ALL SELECT k, 'PAN', 'Mother''s Name', NULL FROM c "
+    "UNION ALL SELECT k, 'INVOICE', 'Customer Id', NULL FROM c UNION ALL SELECT k, 'INVOICE', 'Chassis No', CASE WHEN k % 23 = 8 THEN 'WVE1RTY2UKP' || lpad((k + 5511)::VARCHAR, 6, '0') ELSE vin END FROM c UNION ALL SELECT k, 'INSURANCE', 'Chassis No', vin FROM c "
+    "UNION ALL SELECT k, t, 'Engine No', 'ENG' || lpad(k::VARCHAR, 7, '0') FROM c, (VALUES ('INVOICE'), ('INSURANCE')) AS x(t) UNION ALL SELECT k, 'INVOICE', 'Model', 'SWIFT VXI' FROM c UNION ALL SELECT k, 'INSURANCE', 'Model', 'SWIFT VXI BS6' FROM c "
+    "UNION ALL SELECT k, 'PAN', 'PAN Number', CASE WHEN k % 19 <> 7 THEN pan END FROM c UNION ALL SELECT k, 'PAN', 'Date of Birth', '05/11/1994' FROM c UNION ALL SELECT k, 'AADHAR', 'VID', CASE WHEN k % 37 <> 11 THEN '9123 4567 8901 ' || lpad((k % 10000)::VARCHAR, 4, '0') END FROM c "
+    f"UNION ALL SELECT k, 'AADHAR', 'Father''s Name', NULL FROM c UNION ALL SELECT k, 'AADHAR', 'Aadhaar Number', {_UID} FROM c UNION ALL SELECT k, 'GST', 'PAN Number', NULL FROM c WHERE k % 10 IN (7, 8) UNION ALL SELECT k, 'GST', 'GSTIN', CASE WHEN k % 10 = 8 THEN {_GSTIN} END FROM c WHERE k % 10 IN (7, 8)"
 )
 def e11_panes(spark: SparkSession, d: str) -> DataFrame:
     """Fields of each kind of document; absent ones are null."""
     rows = E.panes(P.pages(spark, d))
-    shown = ["Customer Name", "Invoice No", "Invoice Date", "Policy No", "Insured's Name", "Holder Name", "Father's Name", "Mother's Name", "Gender", "Date of Birth"]
-    kept = c("label").isin(*shown) & ~((c("type") == "PAN") & (c("label") == "Date of Birth")) & ~((c("type") == "AADHAR") & (c("label") == "Father's Name"))
-    return rows.where(kept).select("claim", "type", "label", "value")
+    return rows.select("claim", "type", "label", F.when(c("label").isin("Aadhaar Number", "GSTIN"), masked(c("value"))).otherwise(c("value")).alias("value"))
 
 
-@query(f"WITH {CLAIMS} SELECT k AS claim, 'INVOICE' AS type, name AS holder FROM c UNION ALL SELECT k, 'RC', name FROM c UNION ALL SELECT k, 'PAYSLIP', name FROM c UNION ALL SELECT k, 'INSURANCE', CASE WHEN k % 29 = 9 THEN {_OTHER} ELSE name END FROM c")
+@query(f"WITH {CLAIMS} SELECT k AS claim, 'INVOICE' AS type, name AS holder FROM c UNION ALL SELECT k, 'RC', name FROM c UNION ALL SELECT k, 'PAYSLIP', name FROM c UNION ALL SELECT k, 'INSURANCE', CASE WHEN k % 29 = 9 THEN {_OTHER} ELSE name END FROM c "
+       "UNION ALL SELECT k, t, NULL FROM c, (VALUES ('KYC', 1, 0), ('KYC', 1, 0), ('KYC', 5, 0), ('KYC', 4, 1), ('KYC', 4, 2), ('RC', 10, 7), ('RC', 10, 8), ('UNKNOWN', 10, 7), ('UNKNOWN', 10, 8), ('RC', 6, 3), ('UNKNOWN', 1, 0)) AS x(t, m, r) WHERE k % m = r")
 def e14_holders(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.classified(spark, d).where("page <= 4")
+    rows = P.classified(spark, d)
     return rows.select("claim", "type", E.holder(c("text"), c("type")).alias("holder"))
 
 
-@query("SELECT c_custkey AS claim, 'Reliance' AS insurers FROM customer")
+@query("SELECT c_custkey AS claim, 2 AS page, 'Reliance' AS insurers FROM customer")
 def e15_insurers(spark: SparkSession, d: str) -> DataFrame:
-    return P.pages(spark, d).where("page = 2").select("claim", F.array_join(E.printed_insurers(c("text")), ",").alias("insurers"))
+    return P.pages(spark, d).select("claim", "page", F.array_join(E.printed_insurers(c("text")), ",").alias("insurers")).where("insurers <> ''")
 
 
 # ---- red flags ---------------------------------------------------------------------------------------------------
@@ -186,14 +199,17 @@ _ODD = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(_ODD.values())) + ") AS t(i, codes)")
+@query(f"SELECT p_partkey AS claim, {sql_words(list(_ODD.values()), 'p_partkey')} AS codes FROM part")
 def r2_misreadings(spark: SparkSession, d: str) -> DataFrame:
-    """Single lines whose flags are stated by hand."""
+    """Single lines whose flags are stated by hand, on a page for each part."""
     from ..operators.classification import classified
 
-    rows = spark.createDataFrame([(i, i, 1, t if t.startswith(("GST", "UIDAI", "UDYAM", "P<", "Rep", "Dri", "DEMO")) else f"Income tax department {t}") for i, t in enumerate(_ODD)], "claim int, document int, page int, text string")
+    bare = ("GST", "UIDAI", "UDYAM", "P<", "Rep", "Dri", "DEMO")
+    lines = [t if t.startswith(bare) else f"Income tax department {t}" for t in _ODD]
+    k = c("p_partkey")
+    rows = E.dealt(table(spark, d, "part").select(k.alias("claim"), k.alias("document"), F.lit(1).alias("page"), P.pick(lines, k).alias("text")))
     found = R.page_flags(classified(rows)).groupBy("claim").agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"))
-    return rows.join(found, "claim", "left").select(c("claim").alias("i"), F.coalesce("codes", F.lit("")).alias("codes"))
+    return rows.select("claim").join(found, "claim", "left").select("claim", F.coalesce("codes", F.lit("")).alias("codes"))
 
 
 @query(
@@ -254,14 +270,13 @@ def r5_files_and_pictures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {CLAIMS}, v AS (SELECT k, 'POLICY_NO' AS field, policy AS v FROM c UNION ALL SELECT k, 'ACCOUNT_NO', account FROM c UNION ALL SELECT k, 'EMP_CODE', lpad((k % 600)::VARCHAR, 5, '0') FROM c UNION ALL SELECT k, 'VEHICLE_NO', plate FROM c UNION ALL SELECT k, 'DOB', 'x' FROM c UNION ALL SELECT k, 'ADDRESS', 'x' FROM c), "
-    "a AS (SELECT field, v, k % 2 AS scope, count(*) AS n FROM v WHERE k % 19 > 0 GROUP BY ALL) SELECT k AS claim, 'DUP_' || field AS code, CASE WHEN field = 'DOB' THEN 'WARNING' ELSE 'ERROR' END AS severity, n - (k % 19 > 0)::INT AS n_others FROM v JOIN a USING (field, v) WHERE scope = k % 2 AND n - (k % 19 > 0)::INT > 0"
+    f"WITH {CLAIMS}, v AS (SELECT k, 'POLICY_NO' AS field, policy AS v FROM c UNION ALL SELECT k, 'ACCOUNT_NO', account FROM c UNION ALL SELECT k, 'EMP_CODE', lpad((k % 600)::VARCHAR, 5, '0') FROM c UNION ALL SELECT k, 'VEHICLE_NO', plate FROM c UNION ALL SELECT k, 'DOB', 'x' FROM c UNION ALL SELECT k, 'ADDRESS', 'x' FROM c UNION ALL SELECT k, 'NAME', name FROM c UNION SELECT k, 'NAME', " + _OTHER + " FROM c WHERE k % 29 = 9), "
+    "a AS (SELECT field, v, k % 2 AS scope, count(*) AS n FROM v WHERE k % 19 > 0 GROUP BY ALL) SELECT k AS claim, 'DUP_' || field AS code, CASE WHEN field IN ('DOB', 'NAME') THEN 'WARNING' ELSE 'ERROR' END AS severity, n - (k % 19 > 0)::INT AS n_others FROM v JOIN a USING (field, v) WHERE scope = k % 2 AND n - (k % 19 > 0)::INT > 0"
 )
 def d_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """DUP: values shared with other active claims of the scope."""
     found = U.findings(stored(U.page_values(P.pages(spark, d))), P.claims(spark, d).select("claim", "scope", "status"))
-    fields = ["DUP_POLICY_NO", "DUP_ACCOUNT_NO", "DUP_EMP_CODE", "DUP_VEHICLE_NO", "DUP_DOB", "DUP_ADDRESS"]
-    return found.where(c("code").isin(*fields)).select("claim", "code", "severity", "n_others")
+    return found.select("claim", "code", "severity", "n_others")
 
 
 @query(f"WITH {CLAIMS} SELECT k AS claim, 'FAILED' AS status FROM c")
@@ -286,7 +301,7 @@ def d_same_documents(spark: SparkSession, d: str) -> DataFrame:
 )
 def x_field_findings(spark: SparkSession, d: str) -> DataFrame:
     """COMPARE over the papers: planted names and chassis numbers."""
-    return C.field_findings(P.classified(spark, d)).where("code not like 'CROSS_UNCLASSIFIED'").select("claim", "code", "severity")
+    return C.field_findings(P.classified(spark, d)).select("claim", "code", "severity")
 
 
 _PAPER_KINDS = {
@@ -296,16 +311,24 @@ _PAPER_KINDS = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[2]}')" for k, v in _PAPER_KINDS.items()) + ", ('plate', 'CROSS_VEHICLE_NO_MISMATCH'), ('code', 'CROSS_EMP_CODE_MISMATCH'), ('unknown', 'CROSS_UNCLASSIFIED,CROSS_NAME_MISMATCH')) AS t(claim, codes)")
+_PAPER_PAIRS = [(f"Tax invoice\n{a}", f"Premium\n{b}", codes) for a, b, codes in _PAPER_KINDS.values()] + [
+    ("Registering authority\nRegn. No: MH12AB1234", "Premium\nRegistration No: MH14CD9999", "CROSS_VEHICLE_NO_MISMATCH"), ("Pay slip\nEmployee Code: E12345", "Identity card\nStaff ID: X99999", "CROSS_EMP_CODE_MISMATCH"),
+    ("Tax invoice\nBill To: Asha Rao", "letter\nCustomer Name: Lata Rao", "CROSS_UNCLASSIFIED,CROSS_NAME_MISMATCH"),
+]
+
+
+@query(f"SELECT c_custkey AS claim, {sql_words([x[2] for x in _PAPER_PAIRS], 'c_custkey')} AS codes FROM customer")
 def x_every_field(spark: SparkSession, d: str) -> DataFrame:
-    """One claim for each field, with an invoice and a policy that differ in it."""
+    """Two documents a claim that differ in one field, each field in turn."""
     from ..operators.classification import classified
 
-    rows = [(k, i + 1, i + 1, ("Tax invoice\n", "Premium\n")[i] + v[i]) for k, v in _PAPER_KINDS.items() for i in (0, 1)]
-    rows += [("plate", 1, 1, "Registering authority\nRegn. No: MH12AB1234"), ("plate", 2, 2, "Premium\nRegistration No: MH14CD9999"), ("code", 1, 1, "Pay slip\nEmployee Code: E12345"), ("code", 2, 2, "Identity card\nStaff ID: X99999"), ("unknown", 1, 1, "Tax invoice\nBill To: Asha Rao"), ("unknown", 2, 2, "letter\nCustomer Name: Lata Rao")]
-    pages = classified(spark.createDataFrame(rows, "claim string, document int, page int, text string"))
+    k = c("c_custkey")
+    both = F.array(*[F.struct(F.lit(i + 1).alias("page"), P.pick([x[i] for x in _PAPER_PAIRS], k).alias("text")) for i in (0, 1)])
+    base = table(spark, d, "customer").select(k.alias("claim"))
+    pages = E.dealt(table(spark, d, "customer").select(k.alias("claim"), F.explode(both).alias("p")))
+    pages = classified(pages.select("claim", (c("claim") * 10 + c("p.page")).alias("document"), "p.page", "p.text"))
     found = C.field_findings(pages).groupBy("claim").agg(F.array_join(F.sort_array(F.collect_set("code"), asc=False), ",").alias("codes"))
-    return pages.select("claim").distinct().join(found, "claim", "left").select("claim", F.coalesce("codes", F.lit("")).alias("codes"))
+    return base.join(found, "claim", "left").select("claim", F.coalesce("codes", F.lit("")).alias("codes"))
 
 
 @query(
@@ -357,10 +380,11 @@ _SPELLED = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(_SPELLED.values())) + ") AS t(claim, found)")
+@query(f"SELECT p_partkey AS claim, {sql_words(list(_SPELLED.values()), 'p_partkey')} AS found FROM part")
 def l_near_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Words whose verdicts are stated by hand."""
-    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(_SPELLED)], "claim int, document int, text string")
+    """Words whose verdicts are stated by hand, on a page for each part."""
+    k = c("p_partkey")
+    docs = table(spark, d, "part").select(k.alias("claim"), k.alias("document"), P.pick(list(_SPELLED), k).alias("text"))
     dictionary = spark.createDataFrame([("cleaner",), ("retention",)], "word string")
     terms = spark.createDataFrame([(t, t == "lucknow") for t in "retention november signature engineer lucknow dealer name clerk".split()], "term string, place boolean")
     found = L.findings(docs, dictionary, terms).groupBy("claim").agg(F.array_join(F.sort_array(F.collect_list(F.concat("code", F.lit(":"), F.coalesce("token", F.lit(""))))), ",").alias("found"))
@@ -411,7 +435,7 @@ def n_extraction_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Codes on policies: right ones, wrong names and policy numbers, another car's, opaque ones and none."""
     claims = P.claims(spark, d).select("claim", "k", "vin", "policy")
-    pages = P.pages(spark, d).where("page = 2 and claim % 29 <> 9")
+    pages = P.pages(spark, d).where("claim % 29 <> 9")
     k = c("k")
     holder = F.when(k % 5 == 1, "NOBODY ELSE").otherwise(P.name(k))
     number = F.when(k % 5 == 2, "XX-99-999999").otherwise(c("policy"))

@@ -47,8 +47,8 @@ def checked(body: Column, alphabet: str, fits) -> Column:  # noqa: ANN001
     return F.concat(body, F.get(options, F.lit(0)))
 
 
-def claims(spark: SparkSession, d: str) -> DataFrame:
-    """claim, scope, status, vin, customer and the numbers that the papers print."""
+def claims(spark: SparkSession, d: str, printed: bool = False) -> DataFrame:
+    """claim, scope, status, vin, customer and the numbers that the papers print; printed: only those that a claim's papers have."""
     k = F.col("k")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).repartition(E.tasks(spark), "k")
     pan_letter = F.substring(pick(FAMILY, F.floor(k / 8)), 1, 1)
@@ -56,7 +56,8 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     pan = F.concat(letters, when(11, 5, "X", when(17, 6, "C", "P")), when(13, 4, "Z", pan_letter), digits(k % 10000, 4), when(19, 7, "", F.chr(65 + F.floor(k / 26) % 26)))
     uid = checked(digits(20000000000 + k * 7919, 11), "0123456789", lambda v: I.verhoeff_ok(v))
     wrong = F.concat(F.substring(uid, 1, 11), ((F.substring(uid, 12, 1).cast("int") + 1) % 10).cast("string"))
-    gstin = F.when((k % 10).isin(7, 8), checked(F.concat(F.lit("27AAPFU"), digits(k % 10000, 4), F.lit("F1Z")), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", lambda v: I.gstin_ok(v)))
+    whole_gstin = checked(F.concat(F.lit("27AAPFU"), digits(k % 10000, 4), F.lit("F1Z")), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", lambda v: I.gstin_ok(v))
+    gstin = F.when((k % 10).isin(7, 8), whole_gstin) if printed else whole_gstin
     digit = lambda v: I.mrz_digit(v).cast("string")
     passport = F.concat(F.chr(65 + k % 8), digits(1000000 + k, 7))
     number, birth = F.concat(passport, F.lit("<")), F.lit("800101")
@@ -64,9 +65,10 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     first = F.concat(number, digit(number), F.lit("IND"), birth, digit(birth), F.lit("M"), expiry, digit(expiry))
     whole = F.concat(F.substring(first, 1, 10), F.substring(first, 14, 7), F.substring(first, 22, 7), F.lit("<" * 14 + "0"))
     final = when(25, 10, ((I.mrz_digit(whole) + 1) % 10).cast("string"), digit(whole))
+    zone = F.concat(first, F.lit("<" * 14 + "0"), final)
     return c.select(
         "k", k.alias("claim"), (k % 2).alias("scope"), when(19, 0, "DELETED", "ACTIVE").alias("status"), vin(k).alias("vin"), F.when(k % 53 == 15, "ASHOK MOTORS PVT LTD").otherwise(name(k)).alias("customer"),
-        pan.alias("pan"), when(9, 2, wrong, uid).alias("uid"), gstin.alias("gstin"), passport.alias("passport"), F.when(k % 5 == 0, F.concat(first, F.lit("<" * 14 + "0"), final)).alias("mrz"),
+        pan.alias("pan"), when(9, 2, wrong, uid).alias("uid"), gstin.alias("gstin"), passport.alias("passport"), (F.when(k % 5 == 0, zone) if printed else zone).alias("mrz"),
         F.concat(F.lit("OG-26-"), digits(k % 700, 6)).alias("policy"), F.concat(F.lit("501000"), digits(k % 500, 6)).alias("account"), F.concat(F.lit("MH12AB"), digits(k % 9000 + 1000, 4)).alias("plate"),
     )
 
@@ -96,7 +98,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     every = F.lit(True)
     papers = [(invoice, every), (policy, every), (rc, every), (slip, every), (pan, every), (aadhaar, every), (passport, k % 5 == 0), (licence, k % 4 == 1), (voter, k % 4 == 2), (gst, (k % 10).isin(7, 8)), (gst_use, (k % 10).isin(7, 8)), (udyam, k % 6 == 3), (letter, every)]
     rows = F.array_compact(F.array(*[F.when(keep, F.struct(F.lit(i + 1).alias("page"), text.alias("text"))) for i, (text, keep) in enumerate(papers)]))
-    out = claims(spark, d).select("claim", F.explode(rows).alias("p")).select("claim", "p.*")
+    out = claims(spark, d, printed=True).select("claim", F.explode(rows).alias("p")).select("claim", "p.*")
     return out.select("claim", (F.col("claim") * 10 + F.when(F.col("page") <= 6, 1).otherwise(F.col("page"))).alias("document"), "page", "text")
 
 

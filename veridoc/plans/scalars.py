@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions import dates as D
 from ..functions import geometry as G
@@ -304,14 +307,21 @@ def c4_zone(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.substring("m.data", 1, 8).alias("number"), "m.folds", F.array_join(I.mrz_failures(c("m")), ",").alias("failed"))
 
 
-_CODES = 12
+@pandas_udf(StringType())
+def secure_codes(keys: pd.Series) -> pd.Series:
+    """Codes that a printer would make, of numbered people; every third has a version before its fields."""
 
+    def one(i: int) -> str:
+        fields = [*(["V2"] if i % 3 == 0 else []), "3", f"ref{i}", f"Asha {i}", "05-11-1994", "FM"[i % 2], *[""] * 5, "411001", *[""] * 5]
+        return Q.secure_payload([*fields, "photo" * 60 + "".join(chr(33 + (i * 13 + j * j * 7) % 90) for j in range(400))])
 
-@query(f"SELECT range AS k, 'Name:Asha ' || range || '|DOB:05-11-1994|Gender:' || CASE WHEN range % 2 = 0 THEN 'FEMALE' ELSE 'MALE' END || '|PIN:411001|Reference Id:ref' || range AS fields FROM range({_CODES})")
+    return keys.map(one)
+
+
+@query("SELECT c_custkey AS k, 'Name:Asha ' || c_custkey || '|DOB:05-11-1994|Gender:' || CASE WHEN c_custkey % 2 = 0 THEN 'FEMALE' ELSE 'MALE' END || '|PIN:411001|Reference Id:ref' || c_custkey AS fields FROM customer")
 def c5_secure_codes(spark: SparkSession, d: str) -> DataFrame:
-    """A round trip of a few codes, with and without a version before them."""
-    fields = lambda i: (["V2"] if i % 3 == 0 else []) + ["3", f"ref{i}", f"Asha {i}", "05-11-1994", "FM"[i % 2], "", "", "", "", "", "411001"] + [""] * 5
-    rows = spark.createDataFrame([(i, Q.secure_payload([*fields(i), "photo" * 60 + "".join(chr(33 + (i * 13 + j * j * 7) % 90) for j in range(400))])) for i in range(_CODES)], "k long, value string")
+    """A round trip of each customer's code, with and without a version before it."""
+    rows = table(spark, d, "customer").select(c("c_custkey").alias("k")).withColumn("value", secure_codes(c("k")))
     return rows.select("k", Q.readable(c("value")).alias("fields"))
 
 
@@ -372,11 +382,14 @@ def _quoted(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)}, {_quoted(b or ('KYC' if a else 'UNKNOWN'))})" for i, (a, b) in enumerate(_PAGES.values())) + ") AS t(i, card, business, type)")
+_CARD, _BUSINESS = [x or "" for x, _ in _PAGES.values()], [x or "" for _, x in _PAGES.values()]
+
+
+@query(f"SELECT p_partkey, nullif(card, '') AS card, nullif(business, '') AS business, CASE WHEN business <> '' THEN business WHEN card <> '' THEN 'KYC' ELSE 'UNKNOWN' END AS type FROM (SELECT p_partkey, {sql_pick(','.join(_CARD), 'p_partkey')} AS card, {sql_pick(','.join(_BUSINESS), 'p_partkey')} AS business FROM part)")
 def k1_page_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """K1 to K3 on texts whose kinds are stated by hand."""
-    rows = spark.createDataFrame(list(enumerate(_PAGES)), "i int, text string")
-    return rows.select("i", K.card(c("text")).alias("card"), K.business_type(c("text")).alias("business"), K.page_type(c("text")).alias("type"))
+    """K1 to K3 on texts whose kinds are stated by hand, one for each part."""
+    text = P.pick(list(_PAGES), c("p_partkey"))
+    return text_columns(spark, d, {"card": K.card(text), "business": K.business_type(text), "type": K.page_type(text)})
 
 
 _SOFT = "Midjourney v5|image/png||,scanner|image/jpeg||,scanner|image/jpeg|Canon|R5,|application/pdf||"

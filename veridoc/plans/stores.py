@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..sources import files as S
-from ..sources import sheets
+from ..sources import sheets, workbooks
 from ..sources.scratch import own_folder
 from ..streaming import queue
 from .registry import query, table
@@ -17,40 +15,50 @@ from .registry import query, table
 c = F.col
 
 
-TREE = ["CLAIM000001/invoice.pdf", "CLAIM000001/panCard.png", "batch/CLAIM000002/a.txt", "batch/loose-CLAIM3.pdf", "CLAIM000009.pdf", "short.pdf", "a/b/c/d/e/f/CLAIM000007/x.pdf", "          .pdf"]
+#: Files of a customer k by k % 6: a claim's folder, one below another folder, a loose file there, files of the root with
+#: and without room for an id, and a folder that lies too deep.
+TREE = ["'CLAIM{k}/' || CASE WHEN c_custkey % 12 = 0 THEN 'invoice.pdf' ELSE 'panCard.png' END", "'batch/CLAIM{k}/a.txt'", "'batch/LOOSE{k}.pdf'", "'CLAIM{k}.pdf'", "'s{k}.pdf'", "'a/b/c/d/e/f/CLAIM{k}/x.pdf'"]
+_NUMBER = "lpad(CAST(c_custkey AS STRING), 6, '0')"
+_PATH = "CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(TREE)) + " END"
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """A folder with a small file for each customer, made by tasks and then listed."""
+    root = own_folder(spark, "tree")
+    path = _PATH.replace("{k}", f"' || {_NUMBER} || '")
+
+    def make(rows) -> None:  # noqa: ANN001
+        store, base = workbooks.opened(root)
+        for r in rows:
+            folder, _, _ = f"{base}/{r[0]}".rpartition("/")
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(f"{base}/{r[0]}") as f:
+                f.write(r[0].encode())
+
+    table(spark, d, "customer").selectExpr(f"{path} AS path").foreachPartition(make)
+    return S.listed(spark, root)
 
 
-def tree(spark: SparkSession) -> DataFrame:
-    """A small folder of files. Made on the driver, so in local mode only: elsewhere the files' table is built from names."""
-    names = spark.createDataFrame([(p,) for p in TREE], "path string")
-    if spark.sparkContext.master.startswith("local["):
-        root = own_folder(spark)
-        for p in TREE:
-            os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
-            with open(f"{root}/{p}", "w") as f:
-                f.write(p)
-        return S.listed(spark, root)
-    parts = F.split("path", "/")
-    return names.select("path", F.element_at(parts, -1).alias("name"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("folder"), (F.size(parts) - 1).alias("depth"), F.length("path").cast("long").alias("size"), F.current_timestamp().alias("modified"))
+_K = "lpad(c_custkey::VARCHAR, 6, '0')"
 
 
-@query("SELECT * FROM (VALUES ('CLAIM000009.pdf', 'CLAIM000009', NULL), ('short.pdf', NULL, 'NAME_TOO_SHORT'), ('          .pdf', NULL, 'NAME_TOO_SHORT')) AS t(path, claim, problem)")
+@query(f"SELECT 'CLAIM' || {_K} || '.pdf' AS path, 'CLAIM' || {_K} AS claim, NULL AS problem FROM customer WHERE c_custkey % 6 = 3 UNION ALL SELECT 's' || {_K} || '.pdf', NULL, 'NAME_TOO_SHORT' FROM customer WHERE c_custkey % 6 = 4")
 def s1_file_claims(spark: SparkSession, d: str) -> DataFrame:
     """Files of the root by name."""
-    return S.file_claims(tree(spark), 1, 11)
+    return S.file_claims(tree(spark, d), 1, 11)
 
 
-@query("SELECT * FROM (VALUES ('CLAIM000001', 'CLAIM000001', 'FOLDER'), ('batch/CLAIM000002', 'CLAIM000002', 'FOLDER'), ('CLAIM000009.pdf', 'CLAIM000009', 'FILE'), ('batch/loose-CLAIM3.pdf', 'loose-CLAIM', 'FILE')) AS t(path, claim, kind)")
+@query(f"SELECT CASE c_custkey % 6 WHEN 0 THEN 'CLAIM' WHEN 1 THEN 'batch/CLAIM' WHEN 2 THEN 'batch/LOOSE' ELSE 'CLAIM' END || {_K} || CASE WHEN c_custkey % 6 > 1 THEN '.pdf' ELSE '' END AS path, CASE c_custkey % 6 WHEN 2 THEN 'LOOSE' ELSE 'CLAIM' END || {_K} AS claim, CASE WHEN c_custkey % 6 > 1 THEN 'FILE' ELSE 'FOLDER' END AS kind FROM customer WHERE c_custkey % 6 < 4")
 def s2_folder_claims(spark: SparkSession, d: str) -> DataFrame:
     """Folders with an id, and loose files outside of them, down to a depth of five."""
-    return S.folder_claims(tree(spark), 1, 11)
+    return S.folder_claims(tree(spark, d), 1, 11)
 
 
-@query("SELECT * FROM (VALUES ('CLAIM000001', 'CLAIM000001/panCard.png', 'pan', 'image/png'), ('CLAIM000002', 'batch/CLAIM000002/a.txt', NULL, 'text/plain')) AS t(claim, path, type, mime)")
+@query(f"SELECT 'CLAIM' || {_K} AS claim, CASE WHEN c_custkey % 6 = 1 THEN 'batch/CLAIM' || {_K} || '/a.txt' ELSE 'CLAIM' || {_K} || '/panCard.png' END AS path, CASE WHEN c_custkey % 6 = 0 THEN 'pan' END AS type, CASE WHEN c_custkey % 6 = 1 THEN 'text/plain' ELSE 'image/png' END AS mime FROM customer WHERE c_custkey % 6 = 1 OR c_custkey % 12 = 6")
 def s4_documents(spark: SparkSession, d: str) -> DataFrame:
     """Files of claims' folders that aren't known yet."""
-    files = tree(spark)
-    known = spark.createDataFrame([("CLAIM000001", "CLAIM000001/invoice.pdf")], "claim string, path string")
+    files = tree(spark, d)
+    known = files.where("path LIKE '%/invoice.pdf'").select(F.element_at(F.split("path", "/"), 1).alias("claim"), "path")
     types = [{"id": "pan", "name": "PAN Card", "code": "PAN", "order": 1}]
     return S.documents(files, S.folder_claims(files, 1, 11), types, known).select("claim", "path", "type", "mime")
 
