@@ -42,7 +42,7 @@ def test_entry_without_corpus_operators(monkeypatch):
 
     def blocked(name, *args, **kwargs):
         if name.startswith("corpus_pipeline"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", blocked)

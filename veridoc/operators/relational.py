@@ -209,7 +209,9 @@ def owned_values(rows: DataFrame, group: Sequence[str], owner: str, most: int) -
     counted = distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("n_owners"))
     ranked = distinct.withColumn("owner_rank", F.row_number().over(Window.partitionBy(*group).orderBy(owner))).where(F.col("owner_rank") <= most)
     listed = ranked.groupBy(*group).agg(F.sort_array(F.collect_list(owner)).alias("owners"))
-    return counted.join(listed, list(group))
+    # a null is a value too
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"l.{g}")) for g in group]
+    return counted.alias("c").join(listed.alias("l"), same).select(*[F.col(f"c.{g}") for g in group], "n_owners", "owners")
 
 
 def shared_values(rows: DataFrame, group: Sequence[str], owner: str, most: int = 20) -> DataFrame:

@@ -26,7 +26,7 @@ def run_queue(spark, source: str, target: str, checkpoint: str, running: DataFra
 
     def batch(rows: DataFrame, number: int) -> None:
         free = rows if running is None else rows.join(running.select("claim"), "claim", "left_anti")
-        coalesced(free).coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        coalesced(free).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(REQUEST).json(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
