@@ -558,7 +558,59 @@ def test_completion_against_all_packings():
         lengths = [pick.randint(1, size - 1) for _ in range(pick.randint(1, 11))]
         number, _ = packing.pack(np.array(lengths), size)
         want = fewest(lengths, size)
-        assert packing.fewest(np.bincount(lengths, minlength=size + 1).tolist(), size) <= want == number.max() + 1
+        counts = np.bincount(lengths, minlength=size + 1).tolist()
+        assert packing.fewest(counts, size) <= want == number.max() + 1
+        assert packing.search(counts, size)[1]
+
+
+@pytest.mark.parametrize(("top", "many"), [(2047, 400), (300, 900), (12, 5000)])
+def test_best_fit_by_counts(top, many):
+    """As if each length were placed by itself: as much room is left in each sequence; equal rooms tie."""
+    import numpy as np
+
+    counts = np.bincount(np.random.default_rng(top).integers(1, top, many), minlength=2049).tolist()
+    room: list[int] = []
+    for x in range(2048, 0, -1):
+        for _ in range(counts[x]):
+            k = min((k for k, r in enumerate(room) if r >= x), key=lambda k: room[k], default=None)
+            if k is None:
+                k = len(room)
+                room.append(2048)
+            room[k] -= x
+    plan = packing.best_fit(counts, 2048)
+    assert sorted(room) == sorted(2048 - sum(x * k for x, k in f) for f, times in plan for _ in range(times))
+    assert [sum(k * times for f, times in plan for y, k in f if y == x) for x in range(2049)] == counts
+
+
+def test_packing_has_no_groups():
+    """The sequences of a hundred corpora together are no more than a hundred times those of one, at the same cost."""
+    import numpy as np
+
+    counts = np.bincount(np.random.default_rng(4).integers(400, 800, 5000), minlength=2049)
+    one, _ = packing.search(counts.tolist(), 2048, 300_000)
+    many, _ = packing.search((100 * counts).tolist(), 2048, 300_000)
+    assert packing.fewest((100 * counts).tolist(), 2048) <= packing.sequences(many) <= 100 * packing.sequences(one)
+    assert packing.sequences(one) < packing.sequences(packing.best_fit(counts.tolist(), 2048))
+    # where the steps run out at once best fit stands, and isn't called the fewest
+    plan, proven = packing.search(counts.tolist(), 2048, 0)
+    assert not proven and packing.sequences(plan) == packing.sequences(packing.best_fit(counts.tolist(), 2048))
+
+
+@pytest.mark.parametrize("salts", [1, 7])
+def test_packing_beyond_five_thousand_rests(spark, salts):
+    """One packing for all rests, a third of which have one length and are the same row: as few sequences as their sum asks."""
+    docs = spark.range(7000).selectExpr("if(id % 3 = 0, -1, id) doc_id", "if(id % 3 = 0, '', repeat('word ', int(id * 7919 % 900))) text")
+    out = packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), salts=salts).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in by.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(out) == 7000 and len(by) == -(-sum(r["length"] for r in out) // 2048) and all(r["proven"] for r in out)
 
 
 def test_completion_branches_on_all_fillings():

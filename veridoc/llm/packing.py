@@ -1,14 +1,19 @@
 """Best-fit packing of documents into token sequences, by bin completion with branch-and-bound.
 
-Only documents longer than a sequence are cut, into whole sequences and a rest. Rests are packed in groups: each group
-is a random part of the rests, so it has the lengths of the whole in small, and is packed by itself. Within a group
-only the counts of each length matter. Best fit, the longest first, gives the incumbent. If it has more sequences than
-the lower bound, a depth-first search over sequences looks for a packing with fewer: a sequence is filled around the
-longest rest that is left, by the undominated fillings (nothing left fits in, and no longer length could take the
-place of a chosen one). They are enumerated as far as they are asked for: in runs of NODES nodes, of each run the least
-waste first, and on the way back from a branch the next ones. A branch ends when its waste exceeds what a packing better
-than the incumbent can have. Only the steps of a whole search are bounded: where they don't run out the packing has the
-fewest sequences, and where they do the incumbent stays.
+Only documents longer than a sequence are cut, into whole sequences and a rest. For packing the rests only the number of
+each length matters, and there are fewer lengths than a sequence has tokens, so one search packs all rests of a corpus of
+any size: it counts in fillings and how often each is used. Best fit, the longest first, gives the incumbent. If it has
+more sequences than the lower bound, a depth-first search over fillings looks for a packing with fewer: a sequence is
+filled around the longest rest that is left, by the undominated fillings (nothing left fits in, and no longer length
+could take the place of a chosen one), and a filling is used as often as what is left allows, on the way back once less
+each time. Fillings are enumerated as far as they are asked for: in runs of NODES nodes, of each run the least waste
+first, and on the way back from a branch the next ones. A branch ends when its waste exceeds what a packing better than
+the incumbent can have; the first that ends is completed by best fit, which may be a better incumbent. Only the steps of
+the search are bounded: where they don't run out the packing has the fewest sequences (column proven), and where they do
+the incumbent stays.
+
+Rests of a length are numbered, those of a hash value after those of the values before, so that no task numbers all of a
+length, and each takes the place of its number.
 """
 
 from __future__ import annotations
@@ -16,11 +21,11 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LowerWords, WordIds
@@ -28,11 +33,15 @@ from .common import stored
 from .textvec import Texts, over
 
 SIZE = 2048
-#: Rests in a group on average; a group's last sequence may be part empty.
-GROUP = 5_000
-#: Nodes in a run of the enumeration of one sequence's fillings, and of a whole search.
-NODES, STEPS = 300, 1_000_000
+#: Parts of a length's rests that are numbered apart.
+SALTS = 1024
+#: Nodes in a run of the enumeration of one sequence's fillings, and of all searches of a packing.
+NODES, STEPS = 300, 2_000_000
 END = 0
+COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+#: Sequences: each filling, as (length, how often) in order, and how many sequences have it.
+Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
 def document_pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
@@ -79,40 +88,62 @@ class Left:
         self.counts = list(counts)
         self.distinct = [x for x, c in enumerate(counts) if c]
 
-    def take(self, x: int) -> None:
-        self.counts[x] -= 1
+    def take(self, x: int, many: int) -> None:
+        self.counts[x] -= many
         if not self.counts[x]:
             del self.distinct[bisect_left(self.distinct, x)]
 
-    def give(self, x: int) -> None:
+    def give(self, x: int, many: int) -> None:
         if not self.counts[x]:
             insort(self.distinct, x)
-        self.counts[x] += 1
+        self.counts[x] += many
+
+
+def sequences(plan: Plan) -> int:
+    return sum(times for _, times in plan)
 
 
-def best_fit(counts: list[int], size: int) -> list[list[int]]:
-    """Sequences, as lists of lengths: each length, the longest first, goes where the least room is left over."""
-    out: list[list[int]] = []
+def best_fit(counts: list[int], size: int) -> Plan:
+    """Each length, the longest first, goes where the least room is left over.
+
+    The least room that a length fits in stays the least while copies of it go there, so a sequence takes as many of them
+    as fit before the next one gets any, and sequences with one filling are filled together.
+    """
+    full: Plan = []
     rooms: list[int] = []  # distinct rooms, ascending
-    at: dict[int, list[int]] = {}  # sequences with such a room
+    at: dict[int, Plan] = {}  # fillings with such a room
+
+    def put(room: int, filling: tuple, times: int) -> None:
+        if not times:
+            return
+        if not room:
+            full.append((filling, times))
+            return
+        if room not in at:
+            at[room] = []
+            insort(rooms, room)
+        at[room].append((filling, times))
+
     for x in range(len(counts) - 1, 0, -1):
-        for _ in range(counts[x]):
+        many = counts[x]
+        while many:
             i = bisect_left(rooms, x)
             if i == len(rooms):
-                k, room = len(out), size
-                out.append([])
+                room, filling, times = size, (), -(-many // (size // x))  # new sequences
             else:
                 room = rooms[i]
-                k = at[room].pop()
+                filling, times = at[room].pop()
                 if not at[room]:
                     del rooms[i], at[room]
-            out[k].append(x)
-            if room - x:
-                if room - x not in at:
-                    at[room - x] = []
-                    insort(rooms, room - x)
-                at[room - x].append(k)
-    return out
+            k = room // x
+            whole = min(times, many // k)
+            rest = many - whole * k if whole < times else 0  # fewer than k, in one more sequence
+            put(room - k * x, (*filling, (x, k)), whole)
+            if rest:
+                put(room - rest * x, (*filling, (x, rest)), 1)
+            put(room, filling, times - whole - (rest > 0))
+            many -= whole * k + rest
+    return full + [part for room in rooms for part in at[room]]
 
 
 def fewest(counts: list[int], size: int) -> int:
@@ -201,78 +232,127 @@ def fillings(left: Left, size: int, most: int, steps: Steps) -> Iterator[tuple[i
     yield from found
 
 
-def bin_completion(counts: list[int], size: int, most: int, steps: int = STEPS) -> list[list[int]] | None:
+def bin_completion(counts: list[int], size: int, most: int, steps: Steps) -> Plan | None:
     """A packing into at most `most` sequences; None where there is none or the steps ran out."""
     left = Left(counts)
     waste_left = most * size - sum(x * c for x, c in enumerate(counts))
-    path: list[tuple[list[int], Iterator[tuple[int, list[int]]]]] = []
-    budget = Steps(steps)
-    options = fillings(left, size, waste_left, budget)
+    path: list[tuple[list[int], int, Iterator[tuple[int, list[int]]]]] = []
+    runs = lambda chosen: tuple((x, len([*same])) for x, same in groupby(chosen))
+    plan = lambda: [(runs(chosen), times) for chosen, times, _ in path]
+    options = fillings(left, size, waste_left, steps)
+    ended = False
     while left.distinct:
         option = next(options, None)
-        while option is None:
-            if not path or budget.left <= 0:
+        if option is None:
+            if not ended:
+                ended = True
+                completed = plan() + best_fit(left.counts, size)
+                if sequences(completed) <= most:
+                    return completed
+            if not path or steps.left <= 0:
                 return None
-            budget.left -= 1
-            chosen, options = path.pop()
+            steps.left -= 1
+            chosen, times, before = path.pop()
             waste_left += size - sum(chosen)
-            for x in chosen:
-                left.give(x)
-            option = next(options, None)
+            for x, k in runs(chosen):
+                left.give(x, k)
+            options = before
+            if times > 1:  # once less, and then something else
+                path.append((chosen, times - 1, before))
+                options = _without(chosen, fillings(left, size, waste_left, steps))
+            continue
         waste, chosen = option
-        for x in chosen:
-            left.take(x)
-        waste_left -= waste
-        path.append((chosen, options))
+        times = min(left.counts[x] // k for x, k in runs(chosen))
+        if waste:
+            times = min(times, waste_left // waste)
+        for x, k in runs(chosen):
+            left.take(x, k * times)
+        waste_left -= waste * times
+        path.append((chosen, times, options))
         if left.distinct:
-            options = fillings(left, size, waste_left, budget)
-    return [chosen for chosen, _ in path]
+            options = fillings(left, size, waste_left, steps)
+    return plan()
 
 
-def pack(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each length, in as few sequences as bin completion finds."""
-    counts = np.bincount(lengths, minlength=size + 1).tolist()
-    best = best_fit(counts, size)
-    bound = fewest(counts, size)
-    while len(best) > bound:
-        better = bin_completion(counts, size, len(best) - 1)
+def _without(chosen: list[int], options: Iterator[tuple[int, list[int]]]) -> Iterator[tuple[int, list[int]]]:
+    return (o for o in options if o[1] != chosen)
+
+
+def search(counts: list[int], size: int, steps: int = STEPS) -> tuple[Plan, bool]:
+    """A packing, and whether it is known to have the fewest sequences."""
+    best, bound, budget = best_fit(counts, size), fewest(counts, size), Steps(steps)
+    while sequences(best) > bound:
+        better = bin_completion(counts, size, sequences(best) - 1, budget)
         if better is None:
-            break
+            return best, budget.left > 0
         best = better
-    # rows of one length stand together in this order, and are dealt out one by one
-    order = np.argsort(lengths, kind="stable")
-    placed = np.array([x for b in best for x in b], np.int64)
-    rows = np.empty(len(lengths), np.int64)
-    rows[np.argsort(placed, kind="stable")] = order
-    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    sequence[rows] = np.repeat(np.arange(len(best)), [len(b) for b in best])
-    offset[rows] = [o for b in best for o in accumulate(b[:-1], initial=0)]
-    return sequence, offset
+    return best, True
+
+
+class Places:
+    """Where the rests go that are numbered by length and then among those of one length."""
+
+    def __init__(self, plan: Plan) -> None:
+        parts, sequence = [], 0
+        for filling, times in plan:
+            offset = 0
+            for x, k in filling:
+                parts.append((x, k * times, sequence, k, offset))
+                offset += x * k
+            sequence += times
+        parts.sort(key=lambda part: part[0])
+        self.length, many, self.sequence, self.each, self.offset = np.array(parts, np.int64).reshape(-1, 5).T
+        self.first = np.cumsum(many) - many
+
+    def of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset."""
+        i = np.searchsorted(self.first, number, "right") - 1
+        nth = number - self.first[i]
+        return self.sequence[i] + nth // self.each[i], self.offset[i] + nth % self.each[i] * self.length[i]
+
+
+def pack(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each length, in as few sequences as bin completion finds."""
+    plan, _ = search(np.bincount(lengths, minlength=size + 1).tolist(), size)
+    number = np.empty(len(lengths), np.int64)
+    number[np.argsort(lengths, kind="stable")] = np.arange(len(lengths))
+    return Places(plan).of(number)
+
+
+def numbered(rests: DataFrame, salts: int = SALTS) -> DataFrame:
+    """rests with nth, which counts those of each length from 0. No task has all rests of a length."""
+    rests = rests.withColumn("salt", F.pmod(F.xxhash64("doc_id", "ids_crc32", "n"), F.lit(salts)))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rests.groupBy("length", "salt").agg(F.count("*").alias("many"))
+    parts = parts.select("length", "salt", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("before"))
+    among = Window.partitionBy("length", "salt").orderBy("doc_id", "ids_crc32", "n")
+    rests = rests.withColumn("nth", F.row_number().over(among) - 1)
+    return rests.join(parts, ["length", "salt"]).withColumn("nth", F.col("nth") + F.col("before")).drop("salt", "before")
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """Every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, path: str, size: int = SIZE, salts: int = SALTS) -> DataFrame:
+    """Every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, proven.
 
     Null and empty texts are one token, the end. Repeated rows are packed one by one, rows with a null doc_id too; doc_id
     keeps its type and value, whatever it is. A text of any length is cut into whole sequences and a rest. Pieces of one
     length tie and may change places. An empty table gives an empty result; other columns of docs are not looked at.
-    Sequence numbers are unique, not gapless.
+    Sequence numbers are unique, not gapless. proven: whether no packing can have fewer sequences.
     """
     pieces = stored(document_pieces(docs, path, size))
     rests = pieces.where(F.col("length") < size)
-    many = rests.count()
-    groups = max(1, -(-many // group))
-    key = F.pmod(F.xxhash64("doc_id", "ids_crc32", "n"), F.lit(groups)).cast("long")
+    counts = np.zeros(size + 1, np.int64)
+    for r in rests.groupBy("length").agg(F.count("*").alias("many")).collect():  # a row for each length
+        counts[r["length"]] = r["many"]
+    plan, proven = search(counts.tolist(), size)
+    places, below = Places(plan), np.cumsum(counts) - counts
 
-    def one(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "ascending"), ("doc_id", "ascending"), ("n", "ascending")])
-        number, offset = pack(rows.column("length").to_numpy(), size)
-        sequence = pa.array(rows.column("g").to_numpy() + groups * (number + 1))
-        return rows.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", sequence).append_column("offset", pa.array(offset))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, offset = places.of(below[batch.column(3).to_numpy()] + batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*COLUMNS, "sequence_id", "offset"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    packed = rests.withColumn("g", key).groupBy("g").applyInArrow(one, schema)
+    packed = numbered(rests, salts).select(*COLUMNS, "nth").mapInArrow(place, schema)
     # whole sequences take negative numbers
-    whole = pieces.where(F.col("length") == size)
-    whole = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(whole)
+    whole = pieces.where(F.col("length") == size).select(*COLUMNS, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(whole).withColumn("proven", F.lit(proven))
