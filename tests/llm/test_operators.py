@@ -484,6 +484,61 @@ def test_cotraining_exchange_sees_all_documents(spark, monkeypatch):
     assert {(k, float(k % 2)) for k in range(9000, 9060)} <= got
 
 
+def test_cotraining_round_in_plain_python(spark, monkeypatch):
+    """Each round: what a view gives, from each document's buckets one by one, and whom the other view learns it from."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    def text(k):
+        good = k % 2 == 0
+        mixed = [f"{'good' if good ^ ((k * 31 + i * 17) % 100 < k % 60) else 'bad'}{(k * 7 + i) % 30}" for i in range(40)]
+        return " ".join(mixed) + "\n" * (k % 25 if good else 20)
+
+    rows = [(k, text(k), "en", "ab"[k % 2] if k % 3 else "c") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(cotraining, "GIVEN", 12)
+    asked, fits, surest, fit = [], [], cotraining.surest, cotraining.linear.fit
+    monkeypatch.setattr(cotraining, "surest", lambda *a: asked.append((a[2], list(a[3]), out := surest(*a))) or out)
+    monkeypatch.setattr(cotraining.linear, "fit", lambda x, y, *a, weight=None, **k: fits.append((y.copy(), weight.copy())) or fit(x, y, *a, weight=weight, **k))
+    cotraining.corpus_model(docs, labels)
+
+    buckets = {k: {n: x[0].tolist() for n, x in cotraining.features(pa.array([t]), [lang], [source]).items()} for k, t, lang, source in rows}
+
+    def sure(model, k, view):
+        if view == 0:
+            value = {b: float(model["idf"][b]) for b in buckets[k]["words"] if model["idf"][b] > 0}
+            norm = math.sqrt(sum(x * x for x in value.values())) or 1.0
+            z = sum(x / norm * float(model["w"][0][b]) for b, x in value.items())
+        else:
+            z = sum(float(model["w"][1][b]) / 3 for b in buckets[k]["meta"])
+        a, c = model["cal"][view]
+        return 1 / (1 + math.exp(-(a * (z + model["b"][view]) + c)))
+
+    assert len(asked) == cotraining.ROUNDS and sum(len(out) for _, _, out in asked) > 60
+    learnt = [{}, {}]  # by view: what it was told of documents without labels
+    for n, (model, before, out) in enumerate(asked):
+        for view in (0, 1):
+            for value in (0.0, 1.0):
+                p = {k: sure(model, k, view) for k in range(150, 400) if (k, view) not in before}
+                p = {k: x if value else 1 - x for k, x in p.items()}
+                got = {r["doc_id"] for r in out if (r["view"], r["value"]) == (view, value)}
+                can = sorted((x for x in p.values() if x >= cotraining.SURE + 1e-5), reverse=True)
+                may = [x for x in p.values() if x >= cotraining.SURE - 1e-5]
+                assert min(12, len(can)) <= len(got) <= min(12, len(may)) and all(p[k] >= cotraining.SURE - 1e-5 for k in got)
+                assert not got or min(p[k] for k in got) >= max((x for k, x in p.items() if k not in got and len(got) == 12), default=0) - 1e-5
+        for r in out:
+            learnt[1 - r["view"]].setdefault(r["doc_id"], r["value"])
+        for view in (0, 1):
+            y, weight = fits[2 * (n + 1) + view]
+            told = sorted(zip(y[weight == 0.5].tolist(), weight[weight == 0.5].tolist(), strict=True))
+            assert told == sorted((v, 0.5) for v in learnt[view].values())
+            # every fourth labelled row is held out for calibration, and none of the others is told anything else
+            assert (weight == 1).sum() == 150 - len(range(3, 150, 4)) and np.isin(y[weight == 1], (0, 1)).all()
+
+
 def test_token_counts(spark, docs, rows):
     from tokenizers import Tokenizer
 
