@@ -76,12 +76,12 @@ _OTHER = sql_name("k + 9")
 @query(
     f"WITH {CLAIMS} SELECT DISTINCT * FROM (SELECT k AS claim, 'CHASSIS' AS field, vin AS value FROM c UNION ALL SELECT k, 'CHASSIS', 'WVE1RTY2UKP' || lpad((k + 5511)::VARCHAR, 6, '0') FROM c WHERE k % 23 = 8 UNION ALL SELECT k, 'ENGINE', 'ENG' || lpad(k::VARCHAR, 7, '0') FROM c "
     "UNION ALL SELECT k, 'MODEL', m FROM c, (VALUES ('SWIFT VXI'), ('SWIFT VXI BS6')) AS t(m) UNION ALL SELECT k, 'EMP_CODE', 'E' || lpad((k % 600)::VARCHAR, 5, '0') FROM c UNION ALL SELECT k, 'DOB', '05/11/1994' FROM c UNION ALL SELECT k, 'ACCOUNT_NO', account FROM c "
-    "UNION ALL SELECT k, 'VEHICLE_NO', plate FROM c UNION ALL SELECT k, 'ADDRESS', '12 MG Road, Shivaji Park, Pune Maharashtra 411001' FROM c)"
+    "UNION ALL SELECT k, 'VEHICLE_NO', plate FROM c UNION ALL SELECT k, 'ADDRESS', '12 MG Road, Shivaji Park, Pune Maharashtra 411001' FROM c "
+    f"UNION ALL SELECT k, 'NAME', name FROM c UNION ALL SELECT k, 'NAME', {_OTHER} FROM c WHERE k % 29 = 9)"
 )
 def e1_fields(spark: SparkSession, d: str) -> DataFrame:
-    """E1, E4 and E5."""
-    rows = P.pages(spark, d).select("claim", F.explode(E.value_rows(E.fields(c("text")))).alias("v")).select("claim", "v.field", "v.value").distinct()
-    return rows.where((c("field") != "NAME") & ~c("field").startswith("RELATION"))
+    """E1, E4 and E5, with the names of E2; a relation needs a colon or dash after its label, which these papers don't print."""
+    return P.pages(spark, d).select("claim", F.explode(E.value_rows(E.fields(c("text")))).alias("v")).select("claim", "v.field", "v.value").distinct()
 
 
 @query(f"WITH {CLAIMS} SELECT k AS claim, 'NAME' AS field, name AS value FROM c UNION SELECT k, 'NAME', {_OTHER} FROM c WHERE k % 29 = 9")
@@ -226,7 +226,8 @@ def r3_file_and_claim_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "SELECT c_custkey AS claim, 'REDFLAG_AADHAAR_MISMATCH' AS code FROM customer WHERE c_custkey % 3 <> 2 UNION ALL SELECT c_custkey, 'REDFLAG_PASSPORT_MISMATCH' FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT c_custkey, 'REDFLAG_AADHAAR_CHECKSUM' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'REDFLAG_AADHAAR_CHECKSUM_UNSURE' FROM customer WHERE c_custkey % 2 = 1 "
-    "UNION ALL SELECT c_custkey, code FROM customer, (VALUES ('REDFLAG_SIGNATORY_UNREADABLE'), ('REDFLAG_NO_SIGNATURE')) AS t(code) WHERE c_custkey % 5 = 0"
+    "UNION ALL SELECT c_custkey, code FROM customer, (VALUES ('REDFLAG_SIGNATORY_UNREADABLE'), ('REDFLAG_NO_SIGNATURE')) AS t(code) WHERE c_custkey % 5 = 0 "
+    "UNION ALL SELECT c_custkey, 'REDFLAG_NO_SIGNATURE' FROM customer, (VALUES (1), (2), (4)) AS t(file)"
 )
 def r4_pairs_of_pages(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of one card on neighbouring pages, by birth date, or on a back far behind its front; sure and unsure checksums."""
@@ -244,7 +245,7 @@ def r4_pairs_of_pages(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.classification import classified
 
     pages = stored(classified(E.dealt(table(spark, d, "customer").select(k.alias("claim"), F.explode(rows).alias("p"))).select("claim", (c("claim") * 10 + c("p.doc")).alias("document"), "p.page", "p.text")))
-    lists = [R.mismatch_flags(pages), R.number_flags(pages), R.checksum_flags(pages), R.signature_flags(pages.where("page = 13"))]
+    lists = [R.mismatch_flags(pages), R.number_flags(pages), R.checksum_flags(pages), R.signature_flags(pages)]
     return P.joined([x.select("claim", "code") for x in lists])
 
 
@@ -364,14 +365,21 @@ def x_certificates(spark: SparkSession, d: str) -> DataFrame:
 # ---- spelling, claim ids, completeness -----------------------------------------------------------------------------
 
 
+#: Words that the papers print besides names and the payslips' words.
+PRINTED = """invoice bill chassis engine model swift auth sign sing policy schedule reliance general insurance company limited insured
+premium nominee age relationship with spouse vehicle details certificate registration registering authority pune number owner income
+department permanent account card father signature specimen unique identification male address road shivaji park maharashtra republic
+india passport driving licence election commission epic form legal business debit note supplier whom may concern dated claim unknown
+regards https encrypted images gstatic"""
+
+
 @query("SELECT c_custkey AS claim, 'SPELL_SUSPECT' AS code, 'profesion' AS token, 'profession' AS term FROM customer WHERE c_custkey % 7 = 1")
 def l_spelling(spark: SparkSession, d: str) -> DataFrame:
-    """SPELL over the payslips: dictionary and vocabulary are tables."""
-    slips = P.pages(spark, d).where("page = 4")
-    words = "pay slip employee name code uan bank no date of birth earnings basic tax net profession".split() + [w.lower() for w in P.GIVEN + P.FAMILY]
+    """SPELL over all papers: dictionary and vocabulary are tables."""
+    words = [*"pay slip employee name code uan bank no date of birth earnings basic tax net profession".split(), *PRINTED.split(), *(w.lower() for w in P.GIVEN + P.FAMILY)]
     dictionary = spark.createDataFrame([(w,) for w in words], "word string")
     terms = spark.createDataFrame([("profession", False), ("designation", False), ("earnings", False), ("lucknow", True)], "term string, place boolean")
-    return L.findings(slips, dictionary, terms).select("claim", "code", "token", "term")
+    return L.findings(P.pages(spark, d), dictionary, terms).select("claim", "code", "token", "term")
 
 
 _SPELLED = {
@@ -391,11 +399,16 @@ def l_near_misses(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "claim", "left").select("claim", F.coalesce("found", F.lit("")).alias("found"))
 
 
-@query("SELECT c_custkey AS claim, 'INTRA_CLAIMID_MISREAD' AS code FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT c_custkey, 'INTRA_CLAIMID_MISSING' FROM customer WHERE c_custkey % 3 = 2")
+#: The file of a paper, and the claims that have it.
+_FILES = "(VALUES (1, 1, 0), (7, 5, 0), (8, 4, 1), (9, 4, 2), (10, 10, 7), (10, 10, 8), (11, 10, 7), (11, 10, 8), (12, 6, 3), (13, 1, 0)) AS f(file, m, r)"
+
+
+@query(f"SELECT c_custkey AS claim, c_custkey * 10 + 13 AS document, 'INTRA_CLAIMID_MISREAD' AS code FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT c_custkey, c_custkey * 10 + file, 'INTRA_CLAIMID_MISSING' FROM customer, {_FILES} WHERE c_custkey % 3 = 2 AND c_custkey % m = r")
 def n_claim_ids(spark: SparkSession, d: str) -> DataFrame:
-    """INTRA over the letters: the claim's id is printed, misread or missing."""
-    letters = P.pages(spark, d).where("page = 13").select("claim", "document", "text")
-    return M.claim_id_findings(letters, P.claims(spark, d).select("claim", "vin")).select("claim", "code")
+    """INTRA over all files: the claim's id is misread in its letter, or, where all papers are another car's, missing in each file."""
+    files = P.pages(spark, d).groupBy("claim", "document").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    vin = F.when(c("k") % 3 == 2, F.concat(F.lit("JHMCM56557C"), P.digits(c("k"), 6))).otherwise(c("vin"))
+    return M.claim_id_findings(files, P.claims(spark, d).select("claim", vin.alias("vin"))).select("claim", "document", "code")
 
 
 _TYPES = [{"id": "1", "name": "PAN Card", "code": "PAN", "order": 1}, {"id": "2", "name": "Voter ID", "code": "VOTER_ID", "order": 2}, {"id": "3", "name": "Invoice", "code": None, "order": 3}, {"id": "4", "name": "Cancelled Cheque", "code": None, "order": 4}]
@@ -435,27 +448,26 @@ def n_extraction_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Codes on policies: right ones, wrong names and policy numbers, another car's, opaque ones and none."""
     claims = P.claims(spark, d).select("claim", "k", "vin", "policy")
-    pages = P.pages(spark, d).where("claim % 29 <> 9")
     k = c("k")
     holder = F.when(k % 5 == 1, "NOBODY ELSE").otherwise(P.name(k))
     number = F.when(k % 5 == 2, "XX-99-999999").otherwise(c("policy"))
     value = F.when(k % 5 == 3, "binary:AAAA").otherwise(F.concat(F.lit("InsuredName: "), holder, F.lit("|PolNo:"), number, F.lit("|RegNo: New|ChassisNo:"), F.when(k % 10 == 0, P.vin(k + 7)).otherwise(c("vin"))))
-    rows = claims.where("k % 29 <> 9").select("claim", (c("claim") * 10 + 1).alias("document"), F.lit(2).alias("page"), value.alias("value"), "k")
+    rows = claims.select("claim", (c("claim") * 10 + 1).alias("document"), F.lit(2).alias("page"), value.alias("value"), "k")
     codes = rows.where("k % 5 <> 4").drop("k")
     scans = rows.select("claim", "document", F.when(k % 15 == 4, 2).otherwise(0).alias("pages_cut"), (k % 15 == 9).alias("retries_spent"), F.lit(True).alias("expects"))
-    return codes, pages, claims.select("claim", "vin"), scans
+    return codes, P.pages(spark, d), claims.select("claim", "vin"), scans
 
 
 @query(
-    f"WITH {CLAIMS}, s AS (SELECT * FROM c WHERE k % 29 <> 9) SELECT k AS claim, 'QR_FOUND' AS code, 'INFO' AS severity FROM s WHERE k % 5 < 3 UNION ALL SELECT k, 'QR_ENCRYPTED_PAYLOAD', 'INFO' FROM s WHERE k % 5 = 3 UNION ALL SELECT k, 'QR_FIELD_MISMATCH', 'ERROR' FROM s WHERE k % 5 IN (1, 2) UNION ALL SELECT k, 'QR_FIELD_MISMATCH', 'ERROR' FROM s WHERE k % 10 = 0 "
-    "UNION ALL SELECT k, 'QR_MISSING', 'ERROR' FROM s WHERE k % 5 = 4 UNION ALL SELECT k, 'QR_PAGES_TRUNCATED', 'ERROR' FROM s WHERE k % 15 = 4 UNION ALL SELECT k, 'QR_RETRY_BUDGET_EXHAUSTED', 'ERROR' FROM s WHERE k % 15 = 9"
+    f"WITH {CLAIMS} SELECT k AS claim, 'QR_FOUND' AS code, 'INFO' AS severity FROM c WHERE k % 5 < 3 UNION ALL SELECT k, 'QR_ENCRYPTED_PAYLOAD', 'INFO' FROM c WHERE k % 5 = 3 UNION ALL SELECT k, 'QR_FIELD_MISMATCH', 'ERROR' FROM c WHERE k % 5 IN (1, 2) UNION ALL SELECT k, 'QR_FIELD_MISMATCH', 'ERROR' FROM c WHERE k % 10 = 0 UNION ALL SELECT k, 'QR_FIELD_MISMATCH', 'ERROR' FROM c WHERE k % 29 = 9 AND k % 5 IN (0, 2) "
+    "UNION ALL SELECT k, 'QR_MISSING', 'ERROR' FROM c WHERE k % 5 = 4 UNION ALL SELECT k, 'QR_PAGES_TRUNCATED', 'ERROR' FROM c WHERE k % 15 = 4 UNION ALL SELECT k, 'QR_RETRY_BUDGET_EXHAUSTED', 'ERROR' FROM c WHERE k % 15 = 9"
 )
 def q_codes(spark: SparkSession, d: str) -> DataFrame:
     """QR: codes against their page; another car's chassis differs by little, so only its serial tells it."""
     return Q.findings(*scanned(spark, d)).select("claim", "code", "severity")
 
 
-@query(f"WITH {CLAIMS} SELECT k AS claim, CASE WHEN k % 5 IN (1, 2) OR k % 10 = 0 THEN 'MISMATCH' WHEN k % 5 = 3 OR k % 15 IN (4, 9) THEN 'UNREADABLE' WHEN k % 5 = 4 THEN 'NO_QR' ELSE 'OK' END AS outcome FROM c WHERE k % 29 <> 9")
+@query(f"WITH {CLAIMS} SELECT k AS claim, CASE WHEN k % 5 IN (1, 2) OR k % 10 = 0 OR k % 29 = 9 AND k % 5 = 0 THEN 'MISMATCH' WHEN k % 5 = 3 OR k % 15 IN (4, 9) THEN 'UNREADABLE' WHEN k % 5 = 4 THEN 'NO_QR' ELSE 'OK' END AS outcome FROM c")
 def q_outcomes(spark: SparkSession, d: str) -> DataFrame:
     codes, pages, claims, scans = scanned(spark, d)
     return Q.outcomes(Q.findings(codes, pages, claims, scans), codes, scans)
