@@ -1,4 +1,4 @@
-"""Each stage of the pipeline on the rows that its predecessor kept, against plain Python; and texts longer than a slice."""
+"""Each stage of the pipeline on the rows that its predecessor kept, against plain Python, verdicts of models against the operators' own scores; and texts longer than a slice."""
 
 import re
 import zlib
