@@ -202,9 +202,14 @@ def registrable_domain(url: Column) -> Column:
     return F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")
 
 
+def base64(c: Column) -> Column:
+    """base64 in one line: Spark breaks it after 76 signs."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
 def url_token(url: Column) -> Column:
     """base64 of a URL that may itself stand in a path: - and _ for + and /, no padding."""
-    return F.rtrim(F.translate(F.base64(F.encode(url, "utf-8")), "+/", "-_"), F.lit("="))
+    return F.rtrim(F.translate(base64(F.encode(url, "utf-8")), "+/", "-_"), F.lit("="))
 
 
 def rewritten_links(html: Column, prefix: str) -> Column:

@@ -69,7 +69,7 @@ def secure_payload(digits: list[str]) -> str:
 def shown_value(raw: Column) -> Column:
     """Bytes of a code as text if they print, else binary: and their base64."""
     text = F.try_validate_utf8(raw.cast("string")) if hasattr(F, "try_validate_utf8") else raw.cast("string")
-    return F.when(text.rlike(r"\A[\x09\x0A\x0D\x20-\x7E -�]+\z"), text).otherwise(F.concat(F.lit("binary:"), F.base64(raw)))
+    return F.when(text.rlike(r"\A[\x09\x0A\x0D\x20-\x7E -�]+\z"), text).otherwise(F.concat(F.lit("binary:"), T.base64(raw)))
 
 
 def readable(value: Column) -> Column:
