@@ -10,6 +10,18 @@ from ..sources.scratch import own_folder
 from .registry import query, table
 
 c = F.col
+#: Rows of a written workbook, about: workbooks are written and read by a task each, so their number goes by rows.
+BOOK_ROWS = 200_000
+
+
+def in_books(rows: DataFrame, most: int = BOOK_ROWS) -> DataFrame:
+    """Rows dealt evenly to as many workbooks as keep each below `most` rows."""
+    return rows.repartition(rows.count() // most + 1)
+
+
+def read_back(spark: SparkSession, path: str, headers: dict[str, str], **options) -> DataFrame:  # noqa: ANN003
+    """All sheets of written workbooks: a full sheet goes on in another."""
+    return workbooks.read_workbooks(spark, path, headers, sheet="all", **options)
 
 
 @query(
@@ -20,9 +32,9 @@ def s5_workbook(spark: SparkSession, d: str) -> DataFrame:
     note = F.when(c("o_orderkey") % 3 > 0, F.concat(F.lit("=<"), c("o_custkey").cast("string"), F.lit('> & "é"')))
     rows = table(spark, d, "orders").select("o_orderkey", c("o_orderstatus").alias("Order Status"), c("o_totalprice").alias("Price"), c("o_orderdate").cast("date").alias("Day"), c("o_orderpriority").alias("Priority"), note.alias("Note"))
     path = f"{own_folder(spark)}/orders"
-    workbooks.write_workbooks(rows.repartition(8), path)
+    workbooks.write_workbooks(in_books(rows), path)
     # headers are found in another writing and order
-    back = workbooks.read_workbooks(spark, path, {"note": "NOTE", "priority": "priority", "price": "price.", "orderkey": "O-OrderKey", "status": "order status", "day": "Day"}, permissive=False)
+    back = read_back(spark, path, {"note": "NOTE", "priority": "priority", "price": "price.", "orderkey": "O-OrderKey", "status": "order status", "day": "Day"}, permissive=False)
     return back.select("orderkey", "status", c("price").cast("double").alias("price"), c("day").cast("date").alias("day"), "priority", "note")
 
 
@@ -49,8 +61,8 @@ def s19_claims_workbook(spark: SparkSession, d: str) -> DataFrame:
     k = c("c_custkey")
     rows = table(spark, d, "customer").select(k, F.when(k % 3 == 0, "=1").when(k % 3 == 2, "x").alias("note"), F.lit("2024-01-02").cast("date").alias("day"))
     path = f"{own_folder(spark)}/claims"
-    workbooks.write_workbooks(sheets.claims_report(rows, {"c_custkey": "Claim", "note": "Note", "day": "Day"}).repartition(3), path, "Claims")
-    return workbooks.read_workbooks(spark, path, {"claim": "Claim", "note": "Note", "day": "Day"}).select("claim", "note", "day")
+    workbooks.write_workbooks(in_books(sheets.claims_report(rows, {"c_custkey": "Claim", "note": "Note", "day": "Day"})), path, "Claims")
+    return read_back(spark, path, {"claim": "Claim", "note": "Note", "day": "Day"}).select("claim", "note", "day")
 
 
 @query(
@@ -65,7 +77,7 @@ def s20_observations_workbook(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(k.alias("claimId"), c("c_nationkey").alias("createdAt"), F.lit("2024-01-02").cast("date").alias("invoiceDate"), *text.values(), *checks)
     path = f"{own_folder(spark)}/export"
     workbooks.write_workbooks(sheets.observation_report(rows), path, "Observations")
-    return workbooks.read_workbooks(spark, path, {"number": "S No", "claim": "Claim Id", "status": "Status", "failed": "Failed Checks"}, key="claim").select("number", "claim", "status", "failed")
+    return read_back(spark, path, {"number": "S No", "claim": "Claim Id", "status": "Status", "failed": "Failed Checks"}, key="claim").select("number", "claim", "status", "failed")
 
 
 @query(
@@ -76,4 +88,4 @@ def s21_findings_workbook(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(c("user_id").alias("claim"), c("event_type").alias("validator"), F.when(c("value") > 90, "ERROR").otherwise("INFO").alias("severity"), c("event_id").alias("document"), F.lit(1).alias("page"), F.concat(F.lit("="), c("event_id").cast("string")).alias("message"))
     path = f"{own_folder(spark)}/findings"
     workbooks.write_workbooks(sheets.findings_report(rows, {"error": "Red Flags"}), path, "Findings")
-    return workbooks.read_workbooks(spark, path, {x: x for x in ("claim", "check", "document", "message")}).select("claim", "check", "document", "message")
+    return read_back(spark, path, {x: x for x in ("claim", "check", "document", "message")}).select("claim", "check", "document", "message")
