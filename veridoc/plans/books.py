@@ -49,7 +49,7 @@ def s6_observations(spark: SparkSession, d: str) -> DataFrame:
     text = lambda name: F.lit("x").alias(name)
     rows = table(spark, d, "customer").select(text("REMARKS "), date.alias("Invoice date"), F.when(k % 10 != 0, F.concat(F.lit("C"), k.cast("string"))).alias("claim-id"), text("Dealer Name"), text("Dealer Code"), text("VIN no."), k.cast("string").alias("Customer Name"), text("Scheme Type"))
     path = f"{own_folder(spark)}/observations"
-    workbooks.write_workbooks(rows.repartition(4), path)
+    workbooks.write_workbooks(in_books(rows, sheets.MOST_ROWS // 2), path)  # an import takes so many rows of a sheet
     return sheets.observations(spark, path).select(c("customerName").cast("long").alias("k"), sheets.cell_date(c("invoiceDate")).alias("invoice"), "problem")
 
 
