@@ -19,6 +19,11 @@ FIRST_PERMUTATION = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
 
 def verhoeff_ok(number: Column, digits: int = 12) -> Column:
     """Whether a number of so many digits has a right Verhoeff check digit, its last."""
+    return F.when(number.isNull(), None).when(number.rlike(rf"\A[0-9]{{{digits}}}\z"), _verhoeff(number, digits, 0) == 0).otherwise(False)
+
+
+def _verhoeff(number: Column, digits: int, start: int) -> Column:
+    """The product of permuted digits from the right, the first of which has place `start`."""
     powers = [list(range(10))]
     for _ in range(7):
         powers.append([FIRST_PERMUTATION[x] for x in powers[-1]])
@@ -27,8 +32,14 @@ def verhoeff_ok(number: Column, digits: int = 12) -> Column:
     total: Column = F.lit(0)
     for i in range(digits):
         digit = F.substring(number, digits - i, 1).cast("int")
-        total = F.get(product, total * 10 + F.get(permute, F.lit(i % 8 * 10) + digit))
-    return F.when(number.isNull(), None).when(number.rlike(rf"\A[0-9]{{{digits}}}\z"), total == 0).otherwise(False)
+        total = F.get(product, total * 10 + F.get(permute, F.lit((i + start) % 8 * 10) + digit))
+    return total
+
+
+def verhoeff_digit(body: Column, digits: int = 11) -> Column:
+    """The check digit of a number of so many digits without one: the product's inverse."""
+    inverse = [next(b for b in range(10) if _times(b, a) == 0) for a in range(10)]
+    return F.get(F.lit(inverse), _verhoeff(body, digits, 1)).cast("string")
 
 
 def weighted_ok(code: Column, pattern: str, alphabet: str, check: Column) -> Column:
@@ -37,11 +48,22 @@ def weighted_ok(code: Column, pattern: str, alphabet: str, check: Column) -> Col
 
 def gstin_ok(code: Column) -> Column:
     """15 characters, of which the last checks the others modulo 36 with factors 1 and 2."""
-    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    value = lambda i: F.instr(F.lit(alphabet), F.substring(code, i, 1)) - 1
+    return weighted_ok(code, r"\A[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\z", BASE_36, _gstin_check(code))
+
+
+BASE_36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _gstin_check(code: Column) -> Column:
+    value = lambda i: F.instr(F.lit(BASE_36), F.substring(code, i, 1)) - 1
     parts = [value(i) * (1 if i % 2 else 2) for i in range(1, 15)]
     total = reduce(lambda a, b: a + b, [F.floor(p / 36) + p % 36 for p in parts])
-    return weighted_ok(code, r"\A[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\z", alphabet, ((36 - total % 36) % 36).cast("int"))
+    return ((36 - total % 36) % 36).cast("int")
+
+
+def gstin_digit(body: Column) -> Column:
+    """The check character of the first 14."""
+    return F.substring(F.lit(BASE_36), _gstin_check(body) + 1, F.lit(1))
 
 
 def mrz_digit(field: Column) -> Column:
