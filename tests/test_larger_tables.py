@@ -71,3 +71,14 @@ def test_misread_claim_ids_against_all_places(spark):
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c string").select("i", S.misread_claim_id(F.col("t"), F.col("c"))).collect()
     assert [r[1] for r in sorted(got)] == [slow(*r) for r in rows]
     assert sum(slow(*r) is not None for r in rows) >= 4
+
+
+def test_check_characters_are_those_that_fit(spark):
+    """Computed, not tried out; each body has one."""
+    from veridoc.functions import identifiers as I
+
+    k = F.col("id")
+    uid = F.lpad((20_000_000_000 + k * 7919).cast("string"), 11, "0")
+    gstin = F.concat(F.lit("27AAPFU"), F.lpad((k % 10_000).cast("string"), 4, "0"), F.lit("F1Z"))
+    bad = spark.range(3000).where(~I.verhoeff_ok(F.concat(uid, I.verhoeff_digit(uid))) | ~I.gstin_ok(F.concat(gstin, I.gstin_digit(gstin))))
+    assert bad.count() == 0

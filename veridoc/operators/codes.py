@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..sources.scratch import stored
 from . import classification as K
 from . import extraction as E
 
@@ -98,10 +99,13 @@ def compared(codes: DataFrame, pages: DataFrame) -> DataFrame:
     Only what both have is compared; of the rows a key answers to the first that the page has.
     """
     keys = codes.sparkSession.createDataFrame([(k, i, label) for k, labels in KEYS.items() for i, label in enumerate(labels)], "key string, place int, label string")  # fixed
-    kinds = pages.select("claim", "document", "page", K.pane_type(F.col("text")).alias("type")).where("type is not null")
+    # only documents with codes are looked at, and of these only pages of the kinds that codes stand on are read
+    near = pages.select("claim", "document", "page", "text").join(codes.select("claim", "document").distinct(), ["claim", "document"], "left_semi")
+    typed = stored(E.dealt(near).withColumn("type", K.pane_type(F.col("text"))).where("type is not null"))
+    kinds = typed.drop("text").join(codes.select("claim", "document", "page").distinct(), ["claim", "document", "page"], "left_semi")
     codes = codes if "readable" in codes.columns else codes.withColumn("readable", readable(F.col("value")))
     entries = codes.select("claim", "document", "page", F.posexplode(payload(F.col("readable"))).alias("k", "e")).select("claim", "document", "page", "k", "e.key", F.col("e.value").alias("code_value"))
-    fields = E.panes(pages).where("value is not null").withColumnRenamed("value", "page_value")
+    fields = E.typed_panes(typed.join(kinds.select("claim", "document", "type").distinct(), ["claim", "document", "type"], "left_semi")).where("value is not null").withColumnRenamed("value", "page_value")
     met = entries.join(kinds, ["claim", "document", "page"]).join(F.broadcast(keys), "key").join(fields, ["claim", "document", "type", "label"])
     one = met.withColumn("r", F.row_number().over(Window.partitionBy("claim", "document", "page", "key").orderBy("place"))).where("r = 1")
     one = one.withColumn("r", F.row_number().over(Window.partitionBy("claim", "document", "page", "label").orderBy("k"))).where("r = 1")
