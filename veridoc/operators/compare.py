@@ -132,7 +132,7 @@ def invoice_owner_findings(pages: DataFrame, claims: DataFrame) -> DataFrame:
 
 def gst_findings(pages: DataFrame) -> DataFrame:
     """Certificates whose number is a GSTIN of the claim without its check character."""
-    is_cert = (F.col("card") == "GST") & F.col("text").rlike(K.GST_CERTIFICATE)
+    is_cert = F.col("text").rlike(K.GST_CERTIFICATE) & (F.col("card") == "GST")  # the cheaper one first
     certs = pages.where(is_cert).select("claim", "document", "page", E.certificate_gstin(F.col("text")).alias("c")).where("length(c) = 14").withColumn("key", T.id_form(F.col("c")))
     others = pages.where(~F.coalesce(is_cert, F.lit(False))).select("claim", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"\b[0-9]{2}[A-Z0-9]{13}\b"), 0))).alias("g")).where(I.gstin_verified(F.col("g")))
     whole = others.select("claim", "g", T.id_form(F.substring("g", 1, 14)).alias("key")).groupBy("claim", "key").agg(F.min("g").alias("g"))
