@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .common import stored
-from .textvec import Texts, over
+from .textvec import Texts, give_back, over
 
 SAMPLE = 4000
 ROUNDS = 3
@@ -133,8 +133,9 @@ def featured(rows: DataFrame, names: list[str]) -> list[dict]:
         got = features(get("text"), get("lang").to_pylist(), get("source").to_pylist())
         return pa.RecordBatch.from_arrays([*map(get, names), *(pa.array([x.tobytes() for x in got[k]], pa.binary()) for k in got)], [*names, *got])
 
-    out = rows.select(*names, *COLUMNS).mapInArrow(over(work), schema).collect()
-    return [r.asDict() | {k: np.frombuffer(r[k], np.int32) for k in ("words", "meta", "begin")} for r in out]
+    found = rows.select(*names, *COLUMNS).mapInArrow(over(work), schema).toArrow()  # no rows of it in the JVM nor in Python
+    buckets = {k: np.split(all_, at[1:-1]) if len(at) > 1 else [] for k in ("words", "meta", "begin") for all_, at in [linear.joined(found.column(k), np.int32)]}
+    return [dict(zip([*names, *buckets], r, strict=True)) for r in zip(*(found.column(c).to_pylist() for c in names), *buckets.values(), strict=True)]
 
 
 def features(texts: pa.Array, langs: list, sources: list) -> dict[str, list[np.ndarray]]:
@@ -271,7 +272,9 @@ RESULT = {"text_score": "double", "meta_score": "double", "score": "double", "to
 def corpus_model(docs: DataFrame, labels: DataFrame, originals: DataFrame | None = None) -> dict:
     """Trained on labelled rows, of originals if given, and what the views give of all docs without labels."""
     known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
-    return train(sample(docs if originals is None else originals, labels, SAMPLE), ask=lambda model, given: surest(docs, known, model, given))
+    model = train(sample(docs if originals is None else originals, labels, SAMPLE), ask=lambda model, given: surest(docs, known, model, given))
+    give_back()  # the training rows were most of the driver's memory
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

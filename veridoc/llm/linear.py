@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 
 #: Pairs of a sparse sample that are worked on at once.
 RUN = 1 << 19
 
 
+def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of four bytes in a column's binary values, all in one array, and where each value's begin, and the end."""
+    one = pa.concat_arrays(column.chunks or [pa.array([], column.type)]).cast(pa.large_binary())
+    bounds = np.frombuffer(one.buffers()[1], np.int64)[one.offset : one.offset + len(one) + 1] // 4 if len(one) else np.zeros(1, np.int64)
+    return (np.frombuffer(one.buffers()[2], kind)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, kind)), bounds - bounds[0]
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
@@ -24,7 +34,16 @@ class Sparse:
         return len(self.at) - 1
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.index], len(self))
+        out = np.zeros(len(self))
+        for p, q in self.runs():
+            at = slice(self.at[p], self.at[q])
+            out[p:q] = np.bincount(self.row[at] - p, self.value[at] * w[self.index[at]], q - p)
+        return out
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Rows that have some RUN pairs together: the first, and the one after the last."""
+        cuts = np.unique(np.concatenate((np.searchsorted(self.at, np.arange(0, self.at[-1], RUN)), [len(self)])))
+        return zip(cuts, cuts[1:], strict=False)
 
     @staticmethod
     def join(parts: list[Sparse]) -> Sparse:
@@ -38,13 +57,9 @@ class Sparse:
         return [(self.index[a:b].tobytes(), self.value[a:b].tobytes()) for a, b in zip(self.at, self.at[1:], strict=False)]
 
     @staticmethod
-    def unpacked(rows: list[tuple[bytes, bytes]]) -> Sparse:
-        """Of packed rows, which are used up so that they and the result don't stand in memory together."""
-        at = np.concatenate(([0], np.cumsum([len(i) // 4 for i, _ in rows]))).astype(np.int64)
-        index, value = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
-        for k in range(len(rows) - 1, -1, -1):
-            i, v = rows.pop()
-            index[at[k] : at[k + 1]], value[at[k] : at[k + 1]] = np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)
+    def unpacked(index: pa.ChunkedArray, value: pa.ChunkedArray) -> Sparse:
+        """Of the two columns of packed rows."""
+        (index, at), (value, _) = joined(index, np.int32), joined(value, np.float32)
         return Sparse(index, value, at)
 
     def take(self, rows: np.ndarray) -> Sparse:
@@ -67,11 +82,9 @@ def fit(x: Sparse, y: np.ndarray, size: int, l2: float = 1e-4, steps: int = 80,
         return w, b
     share = np.where(on, weight, 0) / weight[on].sum()
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    # rows of one run have some RUN pairs
-    cuts = np.unique(np.concatenate((np.searchsorted(x.at, np.arange(0, x.at[-1], RUN)), [len(x)])))
     for t in range(1, steps + 1):
         g, gb = l2 * w, 0.0
-        for p, q in zip(cuts, cuts[1:], strict=False):
+        for p, q in x.runs():
             at = slice(x.at[p], x.at[q])
             row = x.row[at] - p
             error = (sigmoid(np.bincount(row, x.value[at] * w[x.index[at]], q - p) + b) - np.where(on[p:q], y[p:q], 0)) * share[p:q]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .textvec import Texts, mix, over
+from .textvec import Texts, give_back, mix, over
 
 SAMPLE = 3000
 #: Buckets of each kind of n-gram, a power of two.
@@ -63,7 +63,7 @@ def logits(t: Texts, w: np.ndarray, b: float) -> np.ndarray:
     return z
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> pa.Table:
     """At most `most` rows (doc_id, y, index, value) with a label, the first by a hash of doc_id.
 
     Tasks make the features of whole texts; no text comes to the driver.
@@ -78,19 +78,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1))], ["doc_id", "y", "index", "value"])
 
     got = texts.mapInArrow(over(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y double, index binary, value binary")
-    return sorted(got.collect(), key=lambda r: str(r["doc_id"]))
+    # as Arrow, so that neither the JVM nor Python makes rows of it
+    found = got.toArrow()
+    ids = [str(x) for x in found.column("doc_id").to_pylist()]
+    order = pa.array(sorted(range(len(ids)), key=ids.__getitem__), pa.int64())
+    columns = found.columns
+    names = found.column_names
+    del found
+    for k in range(len(columns)):  # one at a time, so that two copies of all don't stand in memory together
+        columns[k] = columns[k].take(order)
+    return pa.table(columns, names)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
     """Weights, bias and calibration. Without labelled rows every text gets probability 0.5."""
     rows = labelled_sample(docs, labels, label, sample)
-    y = np.array([float(r["y"]) for r in rows])
-    packed = [(r["index"], r["value"]) for r in rows]
+    y = rows.column("y").to_numpy()
+    x = linear.Sparse.unpacked(rows.column("index"), rows.column("value"))
     del rows
-    x = linear.Sparse.unpacked(packed)
     held = np.arange(len(y)) % 4 == 3
     w, b = linear.fit(x, y, 3 * BUCKETS, l2=1e-7, weight=np.where(held, 0.0, 1.0))
     a, c = linear.calibrate((x.dot(w) + b)[held], y[held])
+    del x
+    give_back()  # the sample was most of the driver's memory
     return {"w": w.astype(np.float32), "b": b, "a": a, "c": c}
 
 
