@@ -9,12 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """f(x) with x worked out once per row, however often f uses it."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def says(c: Column, *words: str) -> Column:
+    """Whether a text has one of some lower-case words in any case: cheap, so it is asked before a pattern that needs one of them."""
+    low = F.lower(c)
+    return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+
+
 # ---- fixed values: glyphs that scans confuse, titles, plates ------------------------------------------------------
 
 #: Letters and the digits they are read for, in identifiers, in claim ids (lower case) and in code payloads.

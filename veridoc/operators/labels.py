@@ -64,6 +64,12 @@ class Label:
     near: int = 0
     whole: bool = False
 
+    @property
+    def words(self) -> tuple[str, ...]:
+        """Of these a text with the label has one, in any case; none where a label begins with initials, which may be parted."""
+        firsts = {x.split(" ")[0] for x in self.labels}
+        return () if any(w.isupper() for w in firsts) else tuple(sorted(firsts))
+
     @property
     def pattern(self) -> str:
         word = "" if self.number is False else rf"\s*{NUMBER}" if self.number else rf"\s*(?:{NUMBER})?"
