@@ -82,3 +82,9 @@ def test_check_characters_are_those_that_fit(spark):
     gstin = F.concat(F.lit("27AAPFU"), F.lpad((k % 10_000).cast("string"), 4, "0"), F.lit("F1Z"))
     bad = spark.range(3000).where(~I.verhoeff_ok(F.concat(uid, I.verhoeff_digit(uid))) | ~I.gstin_ok(F.concat(gstin, I.gstin_digit(gstin))))
     assert bad.count() == 0
+
+
+def test_facts_are_not_gathered_by_their_field(spark):
+    """All rules of an order are tried in one task: fields are few, so a task of one would have every order."""
+    rows = queries.QUERIES["f17_rule_table"](spark, "/root/testdata/sf0.001").select("o_orderkey", F.spark_partition_id().alias("task"))
+    assert rows.distinct().count() == rows.select("o_orderkey").distinct().count()

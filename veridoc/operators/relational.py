@@ -300,7 +300,8 @@ def evaluated(facts: DataFrame, rules: DataFrame, key: str, numbers: Sequence[st
     rows = [fact(c, "n", n=F.col(c)) for c in numbers] + [fact(c, "t", t=F.col(c)) for c in texts] + [fact(c, "t", t=collapsed(F.col(c))) for c in statuses] + [fact(c, "s", s=F.col(c)) for c in sets]
     long = facts.select(key, F.explode(F.array(*rows)).alias("f")).select(key, "f.*")
     value = F.when(F.col("field").isin(*statuses), collapsed(F.upper(F.trim("value")))).otherwise(F.col("value")) if statuses else F.col("value")
-    met = long.join(rules.withColumn("value", value), "field")
+    # rules are few: facts stay where they are, as by field they would meet in as many tasks as there are fields
+    met = long.join(F.broadcast(rules.withColumn("value", value)), "field")
     equal_only = F.col("operator").isin("EQ", "NEQ")
     present = F.coalesce(F.array_contains("s", F.col("value")), F.lit(False))
     passed = (
