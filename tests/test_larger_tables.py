@@ -88,3 +88,16 @@ def test_facts_are_not_gathered_by_their_field(spark):
     """All rules of an order are tried in one task: fields are few, so a task of one would have every order."""
     rows = queries.QUERIES["f17_rule_table"](spark, "/root/testdata/sf0.001").select("o_orderkey", F.spark_partition_id().alias("task"))
     assert rows.distinct().count() == rows.select("o_orderkey").distinct().count()
+
+
+def test_folders_of_files_are_made_by_many_tasks(spark):
+    from veridoc.plans import stores
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tree", "tree")
+    try:
+        stores.tree(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for job in tracker.getJobIdsForGroup("tree") for s in tracker.getJobInfo(job).stageIds]
+    assert max(info.numTasks for s in stages if (info := tracker.getStageInfo(s))) >= 8

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import extraction as E
 from ..operators import relational as R
 from ..sources import files as S
 from ..sources import sheets, workbooks
@@ -35,7 +36,8 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
             with store.open_output_stream(f"{base}/{r[0]}") as f:
                 f.write(r[0].encode())
 
-    table(spark, d, "customer").selectExpr(f"{path} AS path").foreachPartition(make)
+    # a file each is much work for little data, and the table may be one file
+    table(spark, d, "customer").selectExpr(f"{path} AS path").repartition(E.tasks(spark)).foreachPartition(make)
     return S.listed(spark, root)
 
 
