@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridoc.functions import payloads, similarity
-from veridoc.operators import checks, codes, labels
+from veridoc.operators import checks, classification, codes, compare, duplicates, extraction, labels
 
 
 def edits(a, b):
@@ -82,3 +82,20 @@ def test_registry(spark):
         checks.chosen(x, ["SPELL"])
     with pytest.raises(ValueError, match="nothing"):
         checks.check("NEW", "nothing")
+
+
+def test_pages_are_read_and_classified_once(spark, monkeypatch):
+    """COMPARE and DUP share one reading of a page, and QR takes the kind that a page was given."""
+    texts = [(1, 10, 1, "TAX INVOICE\nInvoice No: 5\nBill To : ASHA RAO\nChassis No: WVE1RTY2UKP000001"), (1, 11, 2, "PAY SLIP\nEmployee Name: ASHA RAO\nBank A/C No 501000123456\nNet Pay 9000"), (2, 20, 1, "CERTIFICATE OF REGISTRATION\nRegn. Number: MH12AB1234\nOwner Name: LATA RAO"), (2, 21, 2, None)]
+    pages = spark.createDataFrame(texts, "claim long, document long, page int, text string")
+    x = checks.Inputs(spark.createDataFrame([(1, "WVE1RTY2UKP000001"), (2, None)], "claim long, vin string"), pages)
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(duplicates.page_values(x.classified)), plain(compare.page_fields(x.classified))
+    read_once, real = [], extraction.fields
+    monkeypatch.setattr(extraction, "fields", lambda t: read_once.append(1) or real(t))
+    assert (plain(x.values), plain(compare.page_fields(x.read))) == want
+    assert want[0] and want[1] and len(read_once) == 1
+    found = spark.createDataFrame([(1, 10, 1, "ChassisNo: WVE1RTY2UKP000009")], "claim long, document long, page int, value string")
+    slow = plain(codes.compared(found, pages))
+    monkeypatch.setattr(classification, "pane_type", None)
+    assert plain(codes.compared(found, x.classified)) == slow != []

@@ -20,6 +20,7 @@ from . import codes as Q
 from . import compare as C
 from . import completeness as M
 from . import duplicates as U
+from . import extraction as E
 from . import redflags as R
 from . import spelling as L
 
@@ -48,9 +49,14 @@ class Inputs:
     def classified(self) -> DataFrame:
         return stored(K.classified(self.pages))
 
+    @cached_property
+    def read(self) -> DataFrame:
+        """The fields and numbers of every page, for COMPARE and DUP: patterns go over a page once."""
+        return stored(E.read(E.dealt(self.classified)))
+
     @cached_property
     def values(self) -> DataFrame:
-        return stored(U.page_values(self.classified))
+        return stored(U.page_values(self.read))
 
     def has(self, names: Sequence[str]) -> bool:
         return all(getattr(self, n) is not None for n in names)
@@ -97,7 +103,7 @@ def _intra(x: Inputs) -> list[DataFrame]:
 
 @check("QR", "codes", "scans")
 def _qr(x: Inputs) -> list[DataFrame]:
-    return [Q.findings(x.codes, x.classified.select("claim", "document", "page", "text"), x.claims.select("claim", "vin"), x.scans)]
+    return [Q.findings(x.codes, x.classified, x.claims.select("claim", "vin"), x.scans)]
 
 
 @check("REDFLAG")
@@ -115,7 +121,7 @@ def _full(x: Inputs) -> list[DataFrame]:
 @check("COMPARE")
 def _compare(x: Inputs) -> list[DataFrame]:
     pages, claims = x.classified, x.claims.select("claim", "vin", "customer")
-    found = [C.field_findings(pages, claims), C.car_findings(pages, claims), C.invoice_owner_findings(pages, claims), C.relative_findings(pages, claims), C.old_car_name_findings(pages, claims), C.imported_name_findings(pages, claims), C.holder_findings(pages, claims), C.gst_findings(pages)]
+    found = [C.field_findings(pages, claims, x.read), C.car_findings(pages, claims), C.invoice_owner_findings(pages, claims), C.relative_findings(pages, claims), C.old_car_name_findings(pages, claims), C.imported_name_findings(pages, claims), C.holder_findings(pages, claims), C.gst_findings(pages)]
     return [f.withColumnRenamed("actual", "value") for f in found]
 
 

@@ -96,12 +96,15 @@ def payload(value: Column) -> Column:
 def compared(codes: DataFrame, pages: DataFrame) -> DataFrame:
     """Codes against the fields of their page's own kind of document: claim, document, page, label, code_value, page_value, matches.
 
-    Only what both have is compared; of the rows a key answers to the first that the page has.
+    Only what both have is compared; of the rows a key answers to the first that the page has. Pages may have card and
+    type, as classified; then they aren't classified again.
     """
     keys = codes.sparkSession.createDataFrame([(k, i, label) for k, labels in KEYS.items() for i, label in enumerate(labels)], "key string, place int, label string")  # fixed
     # only documents with codes are looked at, and of these only pages of the kinds that codes stand on are read
-    near = pages.select("claim", "document", "page", "text").join(codes.select("claim", "document").distinct(), ["claim", "document"], "left_semi")
-    typed = stored(E.dealt(near).withColumn("type", K.pane_type(F.col("text"))).where("type is not null"))
+    known = {"card", "type"} <= set(pages.columns)
+    near = pages.select("claim", "document", "page", "text", *(["card", "type"] if known else [])).join(codes.select("claim", "document").distinct(), ["claim", "document"], "left_semi")
+    pane = K.pane_of(F.col("text"), F.col("type"), F.col("card")) if known else K.pane_type(F.col("text"))
+    typed = stored(E.dealt(near).withColumn("type", pane).drop("card").where("type is not null"))
     kinds = typed.drop("text").join(codes.select("claim", "document", "page").distinct(), ["claim", "document", "page"], "left_semi")
     codes = codes if "readable" in codes.columns else codes.withColumn("readable", readable(F.col("value")))
     entries = codes.select("claim", "document", "page", F.posexplode(payload(F.col("readable"))).alias("k", "e")).select("claim", "document", "page", "k", "e.key", F.col("e.value").alias("code_value"))
@@ -131,7 +134,7 @@ def findings(codes: DataFrame, pages: DataFrame, claims: DataFrame, scans: DataF
     """
     t = F.lit(None).cast("string")
     row = lambda rows, code, severity, value=t: rows.select("claim", "document", "page", F.lit(code).alias("code"), F.lit(severity).alias("severity"), value.alias("value"))
-    codes = codes.withColumn("readable", readable(F.col("value")))
+    codes = stored(codes.withColumn("readable", readable(F.col("value"))))  # read in Python, and used by every rule below
     opaque = F.col("readable").isNull()
     out = row(codes.where(~opaque), "QR_FOUND", "INFO", F.col("value")).unionByName(row(codes.where(opaque), "QR_ENCRYPTED_PAYLOAD", "INFO"))
     out = out.unionByName(row(compared(codes, pages).where("not matches"), "QR_FIELD_MISMATCH", "ERROR", F.concat_ws(": ", "label", F.concat_ws(" / ", "code_value", "page_value"))))

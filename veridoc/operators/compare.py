@@ -29,9 +29,9 @@ TEMPORARY = r"(?i)temporary\s+(?:certificate\s+of\s+)?registration"
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
-    """Every value in the scope of its field: claim, document, page, type, field, value."""
-    read = {k: v for k, v in E.fields(F.col("text")).items() if k in SCOPES}
-    rows = pages.select("claim", "document", "page", "type", F.explode(E.value_rows(read)).alias("v")).select("claim", "document", "page", "type", "v.field", "v.value")
+    """Every value in the scope of its field: claim, document, page, type, field, value. Pages have text, or read."""
+    readers = {k: v for k, v in E.readings(pages).items() if k in SCOPES}
+    rows = pages.select("claim", "document", "page", "type", F.explode(E.value_rows(readers)).alias("v")).select("claim", "document", "page", "type", "v.field", "v.value")
     allowed = F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit([*x, "UNKNOWN"]) for pair in SCOPES.items() for x in pair])
     return rows.where(F.array_contains(F.try_element_at(allowed, F.col("field")), F.col("type")))
 
@@ -81,13 +81,13 @@ def set_aside(pages: DataFrame, claims: DataFrame) -> DataFrame:
     return met.where(~own).select("claim", "document", "page", F.get("vins", F.lit(0)).alias("vin"))
 
 
-def field_findings(pages: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+def field_findings(pages: DataFrame, claims: DataFrame | None = None, read: DataFrame | None = None) -> DataFrame:
     """CROSS_<field>_MISMATCH for each cluster but the largest, where it crosses a kind of document or a document.
 
     With claims (claim, vin): pages of another car are set aside, and noted. Pages that couldn't be classified take part;
-    what they say is a note but for the numbers of cars, and they are noted.
+    what they say is a note but for the numbers of cars, and they are noted. read: what the pages' fields are, if known.
     """
-    values = stored(page_fields(pages))  # used for sizes, pairs and findings
+    values = stored(page_fields(pages if read is None else read))  # used for sizes, pairs and findings
     notes = None
     if claims is not None:
         aside = set_aside(pages, claims)

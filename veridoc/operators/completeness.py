@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..sources.scratch import stored
 from . import classification as K
 
 LARGEST = 25 * 1024 * 1024
@@ -37,7 +38,7 @@ def claim_id_findings(documents: DataFrame, claims: DataFrame) -> DataFrame:
     """Documents (claim, document, text) and claims (claim, vin): where the id is missing, if it is so everywhere, or misread: claim, document, code, severity, value."""
     t, vin = F.col("text"), F.col("vin")
     met = documents.where(F.coalesce(F.trim("text"), F.lit("")) != "").join(claims.select("claim", "vin"), "claim").withColumn("exact", F.coalesce(S.has_claim_id(t, vin), F.lit(False)))
-    met = met.withColumn("misread", F.when(~F.col("exact"), S.misread_claim_id(t, vin)))
+    met = stored(met.select("claim", "document", "exact", F.when(~F.col("exact"), S.misread_claim_id(t, vin)).alias("misread")))  # used twice, and the search is the work
     found = met.groupBy("claim").agg(F.max(F.col("exact") | F.col("misread").isNotNull()).alias("found"))
     rows = met.join(found, "claim").where("not exact")
     missing = rows.where("not found").select("claim", "document", F.lit("INTRA_CLAIMID_MISSING").alias("code"), F.lit("ERROR").alias("severity"), F.lit(None).cast("string").alias("value"))

@@ -24,11 +24,12 @@ LISTED = 20
 def page_values(pages: DataFrame) -> DataFrame:
     """Every value of the fields above on every page: claim, document, page, field, value, norm.
 
-    Values of fewer than MIN_LENGTH letters and digits are no evidence; nor are lines that name a town only.
+    Values of fewer than MIN_LENGTH letters and digits are no evidence; nor are lines that name a town only. Pages have
+    text, or read.
     """
-    t = F.col("text")
-    readers = {k: v for k, v in E.fields(t).items() if k in HARD + SOFT} | E.identifiers(t)
-    readers["VEHICLE_NO"] = E.both(readers["VEHICLE_NO"], E.plates(t))
+    all_ = E.readings(pages)
+    readers = {k: v for k, v in all_.items() if k in HARD + SOFT}
+    readers["VEHICLE_NO"] = E.both(readers["VEHICLE_NO"], all_["PLATES"])
     rows = pages.select("claim", "document", "page", F.explode(E.value_rows(readers)).alias("v")).select("claim", "document", "page", "v.field", "v.value")
     rows = rows.where((F.col("field") != "ADDRESS") | ~E.is_town_line(F.col("value")))
     rows = rows.withColumn("norm", T.normal_value(F.col("field"), F.col("value")))

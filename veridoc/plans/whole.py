@@ -22,8 +22,8 @@ _SCANNED = "k % 5 IN (1, 2, 4) OR k % 10 = 0 OR k % 15 = 9 OR k % 29 = 9 AND k %
 
 
 def inputs(spark: SparkSession, d: str) -> A.Inputs:
-    codes, _, _, scans = H.scanned(spark, d)
-    return A.Inputs(stored(P.claims(spark, d)), P.pages(spark, d), H.DAY, codes=codes, scans=scans)
+    codes, pages, _, scans = H.scanned(spark, d)
+    return A.Inputs(stored(P.claims(spark, d).select("claim", "scope", "status", "vin", "customer")), pages, H.DAY, codes=codes, scans=scans)
 
 
 @query(f"WITH {H.CLAIMS} SELECT k AS claim, v AS validator, CASE WHEN CASE v WHEN 'INTRA' THEN false WHEN 'QR' THEN {_SCANNED} WHEN 'REDFLAG' THEN {_FLAGGED} WHEN 'COMPARE' THEN {_DIFFERS} ELSE true END THEN 'FAILED' ELSE 'PASSED' END AS status FROM c, (VALUES ('INTRA'), ('QR'), ('REDFLAG'), ('COMPARE'), ('DUP')) AS t(v)")
