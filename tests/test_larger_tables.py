@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from veridoc.functions import geometry
 from veridoc.functions import similarity as S
 from veridoc.functions import text as T
 from veridoc.plans import books, queries
@@ -101,3 +102,21 @@ def test_folders_of_files_are_made_by_many_tasks(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     stages = [s for job in tracker.getJobIdsForGroup("tree") for s in tracker.getJobInfo(job).stageIds]
     assert max(info.numTasks for s in stages if (info := tracker.getStageInfo(s))) >= 8
+
+
+def test_runs_of_words_are_not_shuffled(spark):
+    """Words go through a shuffle one by one; the runs made of them, eight times as much, go through none."""
+    rows = [(1, 1, k, t) for k, t in enumerate(["--", "Asha", "Ra", "o", "asha", "rao", None, "12", "MG"])] + [(1, 2, 0, "rao"), (2, 1, 0, "Asharaokumar")]
+    words = spark.createDataFrame(rows, "document long, page int, k int, text string").select("*", (F.col("k") / 10).alias("x"), F.lit(0.5).alias("y"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
+    values = spark.createDataFrame([(1, 1, "ASHA RAO"), (1, 1, "ASHA RAO"), (1, 1, "12 MG Road"), (1, 1, "--"), (1, 1, "MG"), (1, 2, "asha"), (2, 1, "asha rao"), (3, 1, "rao")], "document long, page int, value string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = geometry.located(words, values)
+        got = sorted((r["document"], r["page"], r["value"], r["n_words"], round(r["box"]["x"], 6), round(r["box"]["w"], 6)) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == [(1, 1, "ASHA RAO", 3, 0.1, 0.3), (1, 1, "MG", 1, 0.8, 0.1), (2, 1, "asha rao", 1, 0.0, 0.1)]
+    plan = plan.split("Initial Plan")[-1]
+    assert "Exchange" not in plan[: plan.index("Window")] and "Exchange" in plan[plan.index("Window") :]

@@ -60,9 +60,11 @@ def located(words: DataFrame, values: DataFrame) -> DataFrame:
     """
     run = Window.partitionBy("document", "page").orderBy("k").rowsBetween(0, MOST_WORDS - 1)
     runs = words.select("document", "page", "k", F.collect_list(F.struct(T.normalized(F.col("text")).alias("t"), F.struct("x", "y", "w", "h").alias("b"))).over(run).alias("run"))
-    wanted = values.select("document", "page", "value", T.normalized(F.col("value")).alias("key")).where("key <> ''").distinct()
-    # a run begins like the value, so they meet by their first character
-    met = runs.withColumn("head", F.substring(F.element_at("run", 1)["t"], 1, 1)).join(wanted.withColumn("head", F.substring("key", 1, 1)), ["document", "page", "head"])
+    # by page alone, as the runs are made and the found ones grouped: words are shuffled once, before they are repeated in runs
+    wanted = values.select("document", "page", "value", T.normalized(F.col("value")).alias("key")).where("key <> ''").repartition("document", "page").distinct()
+    # one of the first word and the value begins with the other; not an equality, which would shuffle the runs by it
+    begin = F.element_at("run", 1)["t"]
+    met = runs.where(begin != "").join(wanted.withColumnsRenamed({"document": "d", "page": "p"}), (F.col("document") == F.col("d")) & (F.col("page") == F.col("p")) & (F.startswith("key", begin) | F.startswith(begin, F.col("key"))))
     joined = lambda n: F.array_join(F.transform(F.slice("run", 1, n), lambda w: w["t"]), "")
     length = F.array_min(F.filter(F.sequence(F.lit(1), F.size("run")), lambda n: F.startswith(joined(n), F.col("key"))))
     found = met.withColumn("n", length).where("n is not null")
