@@ -126,3 +126,38 @@ def test_serial_numbers(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
     got = relational.serial_numbers(rows, ["x"], chunks=7).orderBy("x").collect()
     assert [(r["x"], r["s_no"]) for r in got] == [(i, i + 1) for i in range(1000)]
+
+
+@pytest.mark.parametrize("few", [10_000, 5])
+def test_values_and_owners_meet_in_one_pass(spark, tmp_path, monkeypatch, few):
+    """Against plain Python, with values that have many rows apart and not; values are read once for each part of the findings."""
+    monkeypatch.setattr(duplicates, "FEW", few)
+    rows = value_rows(random.Random(7), range(60), 30) + [(k, k, 1, "ACCOUNT_NO", "hot", "hot") for k in range(60)] + [(k, k, None, "DOB", "x", None) for k in (1, 3)]
+    of = {k: (None if k == 9 else k % 2, "DELETED" if k % 7 == 0 else None if k == 10 else "ACTIVE") for k in range(58)}
+    spark.createDataFrame(rows, live_duplicates.VALUE).repartition(3).write.parquet(f"{tmp_path}/v")
+    claims = spark.createDataFrame([(k, *v) for k, v in of.items()], "claim long, scope int, status string")
+    found = duplicates.value_findings(spark.read.parquet(f"{tmp_path}/v"), claims)
+    owners = defaultdict(set)
+    for k, *_, f, _, n in rows:
+        if k in of and of[k][0] is not None and of[k][1] == "ACTIVE" and n is not None:
+            owners[of[k][0], f, n].add(k)
+    others = {(k, f, n): sorted(owners[of[k][0], f, n] - {k}) for k, *_, f, _, n in rows if k in of}
+    want = [(k, f"DUP_{f}", n, tuple(x[:20]), len(x)) for (k, f, n), x in others.items() if x]
+    got = [(r["claim"], r["code"], r["norm"], tuple(r["others"]), r["n_others"]) for r in found.collect()]
+    assert sorted(got) == sorted(want) and max(w[4] for w in want) > 20
+    if few > 60:
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+
+
+def test_a_batch_is_written_by_many_tasks(spark, tmp_path):
+    from veridoc.plans import streams
+
+    sizes = []
+
+    def stream():
+        seen = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.foreachBatch(lambda df, _: sizes.append(df.count()))
+        return seen.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+
+    streams.in_batches([spark.range(1000), spark.range(500)], f"{tmp_path}/in", stream)
+    assert sizes == [1000, 500]
+    assert sum(f.endswith(".parquet") for f in os.listdir(f"{tmp_path}/in")) == 8  # four shuffle partitions

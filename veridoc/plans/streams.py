@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.scratch import own_folder
 from ..streaming import live_duplicates, runs, sessions
@@ -12,10 +15,15 @@ from .registry import query, table
 c = F.col
 
 
-def in_files(rows: list[DataFrame], path: str) -> None:
-    """Each table as a file of its own, in order of age."""
+#: Files that a stream takes at once, and so that a batch may have.
+FILES = 1000
+
+
+def in_batches(rows: list[DataFrame], path: str, stream: Callable[[], StreamingQuery]) -> None:
+    """Each table as a batch of the stream, which takes all files that are there: they are written and read by many tasks."""
     for part in rows:
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(min(FILES, int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")))).write.mode("append").parquet(path)
+        stream().awaitTermination()
 
 
 @query(
@@ -34,8 +42,8 @@ def z_runs_over_time(spark: SparkSession, d: str) -> DataFrame:
     root = own_folder(spark, "runs")
     all_ = events.unionByName(ends)
     day = F.dayofmonth("at")
-    in_files([all_.where(day <= 10), all_.where((day > 10) & (day <= 20)), all_.where(day > 20)], f"{root}/events")
-    runs.run_stream(spark, f"{root}/events", f"{root}/runs", f"{root}/state", 1).awaitTermination()
+    parts = [all_.where(day <= 10), all_.where((day > 10) & (day <= 20)), all_.where(day > 20)]
+    in_batches(parts, f"{root}/events", lambda: runs.run_stream(spark, f"{root}/events", f"{root}/runs", f"{root}/state", FILES))
     done = spark.read.parquet(f"{root}/runs")
     return done.select("claim", F.unix_micros("at").alias("at"), F.unix_micros("started").alias("started"), "requests", "checks")
 
@@ -71,9 +79,8 @@ def z_live_duplicates(spark: SparkSession, d: str) -> DataFrame:
     parts = [values(orders.where(k % 3 == i), c("o_custkey")) for i in range(3)]
     again = values(orders.where(k % 50 == 0), c("o_custkey") + 1).unionByName(values(orders.where(k % 50 == 7), c("o_custkey"), None))
     root = own_folder(spark, "live")
-    in_files([*parts, again], f"{root}/values")
     claims = orders.select(k.alias("claim"), (k % 2).alias("scope"), F.lit("ACTIVE").alias("status"))
-    live_duplicates.duplicate_stream(spark, f"{root}/values", f"{root}/index", f"{root}/state", claims, 1, 8).awaitTermination()
+    in_batches([*parts, again], f"{root}/values", lambda: live_duplicates.duplicate_stream(spark, f"{root}/values", f"{root}/index", f"{root}/state", claims, FILES, 8))
     found = live_duplicates.LiveDuplicates(spark, f"{root}/index", 8).findings()
     return found.select("claim", "code", "value", "n_others", F.concat_ws(",", c("others").cast("array<string>")).alias("others"))
 
