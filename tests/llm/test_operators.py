@@ -349,6 +349,29 @@ def test_language_model_gradient():
         assert slope == pytest.approx(float(g[at]), abs=1e-5)
 
 
+def test_language_model_memory_is_used_again():
+    """A step of training asks the system for next to no pages once its arrays were there."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from veridoc.llm import attention_lm as A
+if hasattr(A, "keep_freed"):
+    A.keep_freed()
+rng = np.random.default_rng(0)
+x, y, prior = rng.integers(0, A.M, (64, A.WINDOW)), rng.integers(0, A.CLASSES, (64, A.WINDOW)), rng.normal(size=(A.M, A.CLASSES)).astype(np.float32)
+faults = []
+for _ in range(30):
+    A.gradient(A.initial(), x, y, prior)
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print((faults[-1] - faults[9]) / 20)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert float(out.stdout) < 100
+
+
 def test_fingerprints(spark, docs):
     one = docs.dropDuplicates(["doc_id"])
     rows = sorted(((r["doc_id"], r["text"] or "") for r in one.collect()), key=lambda x: x[0])

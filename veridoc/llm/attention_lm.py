@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bpe import SpacedWords, WordIds
 from .common import stored
-from .textvec import Texts, over, slices
+from .textvec import Texts, give_back, keep_freed, over, slices
 
 VOCABULARY = 50_257
 M = 2048
@@ -72,7 +72,7 @@ _DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
 _CAUSAL = np.where(_DISTANCE >= 0, 0, -1e9).astype(np.float32)
 
 
-_ONES = {n: np.ones((n, 1), np.float32) for n in (WINDOW, CLASSES)}
+_ONES = {n: np.ones((n, 1), np.float32) for n in (WINDOW, CLASSES, WIDTH)}
 #: Logits are held below this, in training and in scoring, so that no row's greatest must be sought first.
 TOP = 30
 
@@ -82,35 +82,42 @@ def gradient(p: np.ndarray, x: np.ndarray, y: np.ndarray, prior: np.ndarray) ->
     e_, wq, wk, wv, bias, u = unpack(p)
     shape = (len(x), WINDOW, WIDTH)
     some = np.maximum(x, 0).ravel()
-    e = e_[some]
+    e = e_.take(some, 0)
     root = np.float32(np.sqrt(WIDTH))
     q, k, v = (e @ (wq / root)).reshape(shape), (e @ wk).reshape(shape), (e @ wv).reshape(shape)
     a = q @ k.transpose(0, 2, 1)
     a += bias[np.maximum(_DISTANCE, 0)] + _CAUSAL
     np.minimum(a, TOP, out=a)
     np.exp(a, out=a)
-    a /= a @ _ONES[WINDOW]
+    # weights stay as they are: what comes of them, half as wide, is divided by their sums instead
+    sums = a.reshape(-1, WINDOW) @ _ONES[WINDOW]
     o = (a @ v).reshape(-1, WIDTH)
-    z = prior[some]
+    o /= sums
+    z = prior.take(some, 0)
     z += o @ u
     np.minimum(z, TOP, out=z)
     np.exp(z, out=z)
-    z /= z @ _ONES[CLASSES]
     goal = y.ravel()
     on = goal >= 0
     n = max(int(on.sum()), 1)
-    at = np.arange(len(goal)) * CLASSES + np.maximum(goal, 0)
+    at = np.arange(0, len(goal) * CLASSES, CLASSES) + np.maximum(goal, 0)
     flat = z.reshape(-1)
-    loss = -float(np.log(flat[at][on] + 1e-12).sum()) / n
-    flat[at] -= 1
-    z *= (on / np.float32(n)).astype(z.dtype)[:, None]
+    total = (z @ _ONES[CLASSES])[:, 0]
+    loss = -float(np.log(flat[at] / total + 1e-12) @ on) / n
+    part = (on / np.float32(n)).astype(z.dtype)
+    z *= (part / total)[:, None]
+    flat[at] -= part
     du = o.T @ z
-    do = (z @ u.T).reshape(shape)
+    do = z @ u.T
+    do /= sums
+    # the mean of a row of ds under its weights is that of do and o
+    mean = (do * o) @ _ONES[WIDTH]
+    do = do.reshape(shape)
     dv = a.transpose(0, 2, 1) @ do
     ds = do @ v.transpose(0, 2, 1)
-    ds -= (ds * a) @ _ONES[WINDOW]
+    ds -= mean.reshape(len(x), WINDOW, 1)
     ds *= a
-    dbias = np.bincount(np.maximum(_DISTANCE, 0).ravel(), (ds.reshape(len(x), -1).sum(0).reshape(WINDOW, WINDOW) * (_DISTANCE >= 0)).ravel(), WINDOW)
+    dbias = np.bincount(np.maximum(_DISTANCE, 0).ravel(), ((np.ones(len(x), ds.dtype) @ ds.reshape(len(x), -1)).reshape(WINDOW, WINDOW) * (_DISTANCE >= 0)).ravel(), WINDOW)
     dq, dk, dv = ((ds @ k).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), dv.reshape(-1, WIDTH))
     dwq, dwk, dwv = e.T @ dq / root, e.T @ dk, e.T @ dv
     de = dq @ (wq.T / root)
@@ -124,17 +131,25 @@ def gradient(p: np.ndarray, x: np.ndarray, y: np.ndarray, prior: np.ndarray) ->
 def train_part(p: np.ndarray, windows: np.ndarray, classes: np.ndarray, prior: np.ndarray, rate: float = 0.01) -> np.ndarray:
     """Adam over windows of WINDOW + 1 symbols (-1 after the text's end)."""
     p = p.copy()
-    m, v = np.zeros_like(p), np.zeros_like(p)
+    m, v, step = np.zeros_like(p), np.zeros_like(p), np.zeros_like(p)
     steps = -(-len(windows) // BATCH)
     for t in range(max(steps, min(STEPS, 20 * steps))):
         w = windows[(t % steps) * BATCH : (t % steps + 1) * BATCH]
         y = np.where(w[:, 1:] >= 0, classes[np.maximum(w[:, 1:], 0)], -1)
         _, g = gradient(p, w[:, :-1], y, prior)
-        m *= 0.9
-        m += np.float32(0.1) * g
-        v *= 0.99
-        v += np.float32(0.01) * g * g
-        p -= np.float32(rate / (1 - 0.9 ** (t + 1))) * m / (np.sqrt(v / np.float32(1 - 0.99 ** (t + 1))) + np.float32(1e-8))
+        m *= np.float32(0.9)
+        v *= np.float32(0.99)
+        np.multiply(g, np.float32(0.1), out=step)
+        m += step
+        g *= step
+        g *= np.float32(0.1)
+        v += g
+        np.multiply(v, np.float32(1 / (1 - 0.99 ** (t + 1))), out=step)
+        np.sqrt(step, out=step)
+        step += np.float32(1e-8)
+        np.divide(m, step, out=step)
+        step *= np.float32(rate / (1 - 0.9 ** (t + 1)))
+        p -= step
     return p
 
 
@@ -144,50 +159,60 @@ class Scorer:
     def __init__(self, p: np.ndarray, tables: dict):
         e, wq, wk, wv, bias, u = unpack(p)
         self.tables, self.u = tables, u
-        # one more dimension turns away keys that stand for no input: symbol M
-        self.q = np.concatenate([e @ wq / np.float32(np.sqrt(WIDTH)), np.ones((M, 1), np.float32)], 1)
-        self.k = np.concatenate([np.concatenate([e @ wk, np.zeros((M, 1), np.float32)], 1), np.array([[0] * WIDTH + [-1e4]], np.float32)])
-        # and one more of the values, all ones, gives the sum of the weights
+        # a key that stands for no input is symbol M: its value has no weight
+        self.q = e @ wq / np.float32(np.sqrt(WIDTH))
+        self.k = np.concatenate([e @ wk, np.zeros((1, WIDTH), np.float32)])
+        # one more dimension of the values, all ones, gives the sum of the weights
         self.v = np.concatenate([np.concatenate([e @ wv, np.ones((M, 1), np.float32)], 1), np.zeros((1, WIDTH + 1), np.float32)])
         lead = WINDOW - STRIDE
         self.bias = (bias[np.maximum(_DISTANCE, 0)] + _CAUSAL)[lead:]
+        self.within = tables["within"].ravel()
 
     def __call__(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of texts whose ids begin at `at`."""
+        """Of texts whose ids begin at `at`.
+
+        Texts stand one after the other, each from a multiple of STRIDE on with STRIDE places of no input before it, so
+        that windows are views of one row of places, and their keys and values are looked up once a place.
+        """
         tables, lead = self.tables, WINDOW - STRIDE
         many = np.diff(at) + 1  # tokens to score, the edge included
         n = len(many)
-        windows = -(-many // STRIDE)
-        row = np.repeat(np.arange(n), windows)
-        first = (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
         total = np.zeros(n)
-        symbols = tables["symbol"][ids] if len(ids) else np.zeros(0, np.int16)
-        total += np.bincount(np.repeat(np.arange(n), many - 1), tables["id_score"][ids], n) if len(ids) else 0
-        for k in range(0, len(row), 256):
-            r, f = row[k : k + 256, None], first[k : k + 256, None]
-            # place i of a text: 0 is the edge before it, i the symbol of its i-th id
-            place = f - lead + np.arange(WINDOW + 1)
-            inside = (place >= 1) & (place < many[r])
-            if len(symbols):
-                s = np.where(inside, symbols[np.where(inside, at[r] + place - 1, 0)], 0).astype(np.int64)
-            else:
-                s = np.zeros(place.shape, np.int64)
-            key = np.where((place[:, :-1] < 0) | (place[:, :-1] >= many[r]), M, s[:, :-1])
-            x, y = s[:, lead:-1], s[:, lead + 1 :]
-            a = self.q[x] @ self.k[key].transpose(0, 2, 1)
+        if not n:
+            return total
+        if len(ids):
+            total += np.bincount(np.repeat(np.arange(n), many - 1), tables["id_score"][ids], n)
+        blocks = -(-many // STRIDE) + 1  # of STRIDE places, the one before the text included
+        begin = (np.cumsum(blocks) - blocks + 1) * STRIDE  # the edge before the text; its i-th id is i places further
+        key = np.full(int(blocks.sum()) * STRIDE + 1, M, np.int64)
+        symbol = np.zeros(len(key), np.int64)  # as inputs and targets, places after the text's end are its edge
+        if len(ids):
+            of_ids = np.arange(len(ids)) + np.repeat(begin + 1 - at[:-1], many - 1)
+            key[of_ids] = symbol[of_ids] = tables["symbol"][ids]
+        key[begin] = 0
+        row = np.repeat(np.arange(n), blocks)
+        last = (begin + many)[row]  # scored are the places before this one
+        for k in range(1, len(row), 256):
+            r = row[k : k + 256]
+            first, end = k * STRIDE, (k + len(r)) * STRIDE
+            near = key[first - lead : end]
+            keys, values = (np.ascontiguousarray(t.take(near, 0)) for t in (self.k, self.v))
+            view = lambda t: np.lib.stride_tricks.as_strided(t, (len(r), WINDOW, t.shape[1]), (STRIDE * t.strides[0], *t.strides), writeable=False)  # noqa: B023, E731
+            x, y = symbol[first:end], symbol[first + 1 : end + 1]
+            a = self.q.take(x, 0).reshape(len(r), STRIDE, WIDTH) @ view(keys).transpose(0, 2, 1)
             a += self.bias
             np.minimum(a, TOP, out=a)
             np.exp(a, out=a)
-            o = (a @ self.v[key]).reshape(-1, WIDTH + 1)
-            before = x.ravel()
-            z = tables["prior"][before]
-            z += (o[:, :WIDTH] / o[:, WIDTH:]) @ self.u
+            o = (a @ view(values)).reshape(-1, WIDTH + 1)
+            z = tables["prior"].take(x, 0)
+            z += (o[:, :WIDTH] / np.maximum(o[:, WIDTH:], np.float32(1e-37))) @ self.u
             np.minimum(z, TOP, out=z)
-            got = z.ravel()[np.arange(len(z)) * CLASSES + tables["class"][y.ravel()]]
+            got = z.ravel()[np.arange(0, len(x) * CLASSES, CLASSES) + tables["class"][y]]
             np.exp(z, out=z)
-            score = (got - np.log((z @ _ONES[CLASSES])[:, 0])).reshape(x.shape) + tables["within"][x, y]
-            score[place[:, lead:-1] >= many[r]] = 0
-            total += np.bincount(row[k : k + 256], score.sum(-1), n)
+            score = got - np.log((z @ _ONES[CLASSES])[:, 0]) + self.within[x * M + y]
+            place = np.arange(first, end).reshape(len(r), STRIDE)
+            scored = (place >= begin[r, None]) & (place < last[k : k + 256, None])
+            total += np.bincount(r, np.where(scored, score.reshape(place.shape), 0).sum(-1), n)
         return total / np.log(10)
 
 
@@ -247,11 +272,13 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """Of training rows (text): word hash, count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for batch in batches:
             parts = [np.unique(Texts(b.column(0), lower=True).hashes(), return_counts=True) for b in slices(batch)]
             if parts:
                 h, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 yield arrow("hash count", h.view(np.int64), np.bincount(which, np.concatenate([p[1] for p in parts])).astype(np.int64))
+            give_back()
 
     return rows.mapInArrow(work, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
 
@@ -266,6 +293,7 @@ def encoded(rows: DataFrame, path: str, head: tuple[np.ndarray, np.ndarray], end
     total = np.log10(base[0] + 0.1 * (base[1] + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         hashes, counts = shared.value
         words = WordIds(SpacedWords(path))
 
@@ -318,6 +346,7 @@ def table_of_pairs(train: DataFrame, symbol: np.ndarray) -> np.ndarray:
     """Counts of pairs of neighbouring symbols over all training texts, edges included: M * M numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         total = np.zeros(M * M, np.int32)
         for part in few(batches):
             ids, at = ids_of(part.column(0))
@@ -327,6 +356,8 @@ def table_of_pairs(train: DataFrame, symbol: np.ndarray) -> np.ndarray:
             total[key] += many.astype(np.int32)
         on = np.flatnonzero(total)
         yield arrow("pair count", on.astype(np.int32), total[on])
+        del total
+        give_back()
 
     sums = train.select("ids").mapInArrow(work, "pair int, count int").groupBy("pair").agg(F.sum("count").alias("count"))
     got = sums.select("pair", F.col("count").cast("double").alias("count")).toArrow()  # M * M rows at most
@@ -418,9 +449,11 @@ def trained(train: DataFrame, tables: dict, rounds: int = ROUNDS) -> np.ndarray:
         start = spark.sparkContext.broadcast(p)
 
         def work(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            keep_freed()
             for w in runs(batches):
                 out = train_part(start.value, w, *shared.value)
                 yield arrow("weight p", np.array([float(len(w))]), pa.array([(out.astype(np.float64) * len(w)).tobytes()], pa.binary()))
+            give_back()
 
         mean = averaged(parts.where(F.col("turn") == k).select("w").mapInArrow(work, "weight double, p binary"))
         p = p if mean is None else mean.astype(np.float32)
@@ -458,9 +491,12 @@ def score_documents(docs: DataFrame, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast((p, tables))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         model = Scorer(*shared.value)
         for part in few(batches):
             yield arrow("n score", part.column(0), model(*ids_of(part.column(1))))
+        del model
+        give_back()
 
     scores = coded.select("n", "ids").mapInArrow(score, "n long, score double")
     # words outside the head: joined with their counts
