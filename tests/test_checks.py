@@ -1,6 +1,7 @@
 """Edits, names, labels, payload entries and the registry of checks."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,37 @@ def test_pages_are_read_and_classified_once(spark, monkeypatch):
     slow = plain(codes.compared(found, pages))
     monkeypatch.setattr(classification, "pane_type", None)
     assert plain(codes.compared(found, x.classified)) == slow != []
+
+
+def test_kinds_of_pages_are_not_worked_out_again(spark, monkeypatch):
+    """Plates stand on registrations and policies; where a page's type is known, it isn't looked for in its text."""
+    texts = [(1, 10, 1, "CERTIFICATE OF REGISTRATION\nRegn. Number: MH12AB1234\nOwner Name: LATA RAO"), (1, 11, 2, "POLICY SCHEDULE\nPolicy No: OG-26-1\nKA 05 MN 0042"), (2, 20, 1, "PAN MH12AB1234"), (2, 21, 2, None)]
+    pages = classification.classified(spark.createDataFrame(texts, "claim long, document long, page int, text string"))
+    plates = lambda df: sorted((r["document"], tuple(r["read"]["PLATES"])) for r in df.collect())
+    want = plates(extraction.read(pages.drop("type")))
+    monkeypatch.setattr(classification, "business_type", None)
+    assert plates(extraction.read(pages)) == want == [(10, ("MH12AB1234",)), (11, ("KA 05 MN 0042",)), (20, ()), (21, ())]
+
+
+def test_rules_run_at_the_same_time(spark, monkeypatch):
+    """Rules that wait for each other end, what they share is worked out once, and an error of one is the run's."""
+    met = threading.Barrier(2, timeout=60)
+    pages = spark.createDataFrame([(1, 10, 1, "x")], "claim long, document long, page int, text string")
+    x = checks.Inputs(pages.select("claim"), pages)
+    once, real = [], classification.classified
+    monkeypatch.setattr(classification, "classified", lambda p: once.append(1) or real(p))
+
+    def rule():
+        met.wait()
+        return x.classified.select("claim", "document", "page", F.lit("SOME").alias("code"))
+
+    monkeypatch.setitem(checks.CHECKS, "PAIR", checks.Check("PAIR", (), lambda _: [rule, rule]))
+    got = checks.run_checks(x, ["PAIR"])
+    assert [(r["claim"], r["code"], r["severity"], r["validator"]) for r in got.collect()] == [(1, "SOME", None, "PAIR")] * 2 and once == [1]
+
+    def broken():
+        raise ZeroDivisionError
+
+    monkeypatch.setitem(checks.CHECKS, "PAIR", checks.Check("PAIR", (), lambda _: [lambda: pages, broken]))
+    with pytest.raises(ZeroDivisionError):
+        checks.run_checks(x, ["PAIR"])

@@ -87,7 +87,7 @@ def impossible_dates(text: Column) -> Column:
     """
     pair = r"[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-]"
     label = r"(?:dated?|dt|dob|d\.o\.b|doj|birth|joining)\b[^0-9\n]{0,20}"
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![0-9])(?<![0-9][.,])(?:\b{label})?(?<![0-9])(?<![0-9][.,])(?:{pair}[0-9]{{2}}(?![/.\-]?[0-9])|{pair}[0-9]{{3,4}}(?![0-9])|(?<!/){pair}[0-9]{{5}}(?![0-9]))"), 0)
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?=[0-9dbj])(?<![0-9])(?<![0-9][.,])(?:\b{label})?(?<![0-9])(?<![0-9][.,])(?:{pair}[0-9]{{2}}(?![/.\-]?[0-9])|{pair}[0-9]{{3,4}}(?![0-9])|(?<!/){pair}[0-9]{{5}}(?![0-9]))"), 0)
     raw = lambda d: F.regexp_extract(d, r"([0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,5})\z", 1)
 
     def bad(d: Column) -> Column:
