@@ -39,3 +39,13 @@ def test_empty_and_missing_folders(spark, tree):
     assert rows(files.listed(spark, f"{tree}/empty")) == []
     with pytest.raises(Exception, match="nothing_here"):
         files.listed(spark, f"{tree}/nothing_here")
+
+
+def test_loose_files_meet_no_folders(spark, tree):
+    """Most files lie in the root or in one folder, which as a join's key would put them all in one task."""
+    found = files.folder_claims(files.listed(spark, tree), 1, 11)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    want = [(f"a/b/c/d/CLAIM{i:06}", f"CLAIM{i:06}", "FOLDER") for i in range(12)] + [(f"CLAIM{i:06}.pdf", f"CLAIM{i:06}", "FILE") for i in range(9)] + [("a/b/CLAIM000077", "CLAIM000077", "FOLDER"), ("a/b/LOOSE000079.pdf", "LOOSE000079", "FILE")]
+    got = sorted(tuple(r) for r in found.select("path", "claim", "kind").collect())
+    assert [r for r in got if r[1][:5] in ("CLAIM", "LOOSE")] == sorted(want)

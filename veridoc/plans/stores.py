@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
     def make(rows) -> None:  # noqa: ANN001
         store, base = workbooks.opened(root)
+        folder_made = lru_cache(1000)(lambda folder: store.create_dir(folder, recursive=True))  # many files lie in a few folders
         for r in rows:
-            folder, _, _ = f"{base}/{r[0]}".rpartition("/")
-            store.create_dir(folder, recursive=True)
+            folder_made(f"{base}/{r[0]}".rpartition("/")[0])
             with store.open_output_stream(f"{base}/{r[0]}") as f:
                 f.write(r[0].encode())
 

@@ -152,8 +152,10 @@ def folder_claims(files: DataFrame, start: int, length: int, deepest: int = DEEP
     inside = files.where((F.col("folder") != "") & (F.col("depth") <= deepest)).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("path"), F.get(parts, n - 1).alias("name")))).alias("f")).select("f.*").distinct()
     folders = inside.where(reject(F.col("name"), start, length).isNull()).select("path", claim_id(F.col("name"), start, length).alias("claim"), F.lit("FOLDER").alias("kind"))
     stem = F.regexp_replace("name", r"\.[^.]*\z", "")
-    loose = files.where(F.col("depth") <= deepest).where(reject(stem, start, length).isNull()).select("path", claim_id(stem, start, length).alias("claim"), F.lit("FILE").alias("kind"), F.col("folder").alias("parent"))
-    return folders.unionByName(loose.join(folders.select(F.col("path").alias("parent")), "parent", "left_anti").drop("parent"))
+    # a file's own folder is among these folders if its name has an id, so no file needs to meet them
+    held = (F.col("folder") != "") & reject(F.get(parts, F.size(parts) - 1), start, length).isNull()
+    loose = files.where((F.col("depth") <= deepest) & reject(stem, start, length).isNull() & ~held)
+    return folders.unionByName(loose.select("path", claim_id(stem, start, length).alias("claim"), F.lit("FILE").alias("kind")))
 
 
 def documents(files: DataFrame, claims: DataFrame, types: list[dict], known: DataFrame) -> DataFrame:
