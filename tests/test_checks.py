@@ -134,3 +134,12 @@ def test_rules_run_at_the_same_time(spark, monkeypatch):
     monkeypatch.setitem(checks.CHECKS, "PAIR", checks.Check("PAIR", (), lambda _: [lambda: pages, broken]))
     with pytest.raises(ZeroDivisionError):
         checks.run_checks(x, ["PAIR"])
+
+
+def test_normal_values_are_worked_out_once(spark):
+    """A filter on the normal form would be moved before the column and work it out again."""
+    pages = spark.createDataFrame([(1, 10, 1, "Bank A/C No 501000123456\nDOB: 05/11/1994\nUAN: 1012 0000 0001\nMH12AB1234")], "claim long, document long, page int, text string")
+    values = duplicates.page_values(pages)
+    plan = values._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("Generate explode")[0]
+    assert sorted((r["field"], r["norm"]) for r in values.collect()) == [("ACCOUNT_NO", "501000123456"), ("DOB", "5-11-1994"), ("UAN", "101200000001")]

@@ -33,10 +33,11 @@ def page_values(pages: DataFrame) -> DataFrame:
     all_ = E.readings(pages)
     readers = {k: v for k, v in all_.items() if k in HARD + SOFT}
     readers["VEHICLE_NO"] = E.both(readers["VEHICLE_NO"], all_["PLATES"])
-    rows = pages.select("claim", "document", "page", F.explode(E.value_rows(readers)).alias("v")).select("claim", "document", "page", "v.field", "v.value")
-    rows = rows.where((F.col("field") != "ADDRESS") | ~E.is_town_line(F.col("value")))
-    rows = rows.withColumn("norm", T.normal_value(F.col("field"), F.col("value")))
-    return rows.where(F.length(F.regexp_replace("norm", r"\s", "")) >= MIN_LENGTH)
+    # inside the array, as a filter on a column is moved before it and works it out a second time
+    told = F.filter(E.value_rows(readers), lambda v: (v["field"] != "ADDRESS") | ~E.is_town_line(v["value"]))
+    normal = F.transform(told, lambda v: F.struct(v["field"].alias("field"), v["value"].alias("value"), T.normal_value(v["field"], v["value"]).alias("norm")))
+    long = F.filter(normal, lambda v: F.length(F.regexp_replace(v["norm"], r"\s", "")) >= MIN_LENGTH)
+    return pages.select("claim", "document", "page", F.explode(long).alias("v")).select("claim", "document", "page", "v.*")
 
 
 def field_index(values: DataFrame, *more: str) -> DataFrame:
